@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, read
 
 #: Pretokens kept with their ids; a full cache is emptied.
-CACHE = 200_000
+CACHE = 600_000
 #: Pretokens longer than this aren't kept.
 LONG = 64
 
@@ -44,13 +44,15 @@ class ByteBPE:
         byte_of = {c: b for b, c in letters.items()}
         vocab = spec["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self.start = {b: vocab[c] for b, c in letters.items()}
-        self.ranks = {
-            (vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)
-        }
-        self.strings = {i: bytes(byte_of[c] for c in s) for s, i in vocab.items()}
+        self.start = [vocab[letters[b]] for b in range(256)]
+        #: Rank of a pair of ids (packed in one integer), and the id it makes by rank.
+        self.ranks = {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.makes = [vocab[a + b] for a, b in merges]
+        strings = {i: bytes(byte_of[c] for c in s) for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t["content"]}
-        self.strings |= {i: s.encode() for s, i in self.special.items()}
+        strings |= {i: s.encode() for s, i in self.special.items()}
+        self.strings = [strings.get(i, b"") for i in range(max(strings) + 1)]
+        self.decimal = [str(i) for i in range(len(self.strings))]
         longest = sorted(self.special, key=len, reverse=True)
         self._split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self._full, self._quick = regex.compile(self.PATTERN), re.compile(self._FAST)
@@ -68,37 +70,36 @@ class ByteBPE:
         Symbols are a doubly linked list; a queue holds candidate pairs, and an
         entry whose pair has changed since is skipped as stale.
         """
-        symbol = [self.start[b] for b in data]
+        start, rank_of, makes = self.start, self.ranks.get, self.makes
+        symbol = [start[b] for b in data]
         n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
-        ranks = self.ranks
         queue = []
         for i in range(n - 1):
-            found = ranks.get((symbol[i], symbol[i + 1]))
-            if found:
-                queue.append((found[0], i, symbol[i], symbol[i + 1], found[1]))
-        heapq.heapify(queue)
+            rank = rank_of(symbol[i] << 32 | symbol[i + 1])
+            if rank is not None:
+                queue.append(rank << 32 | i)
+        heapify(queue)
         while queue:
-            _, i, left, right, whole = heapq.heappop(queue)
-            if not alive[i] or symbol[i] != left:
+            top = heappop(queue)
+            i, rank = top & 0xFFFFFFFF, top >> 32
+            left, j = symbol[i], after[i]
+            if left < 0 or j >= n or rank_of(left << 32 | symbol[j]) != rank:
                 continue
-            j = after[i]
-            if j >= n or symbol[j] != right:
-                continue
-            symbol[i], alive[j] = whole, False
+            symbol[i] = whole = makes[rank]
+            symbol[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                found = ranks.get((whole, symbol[k]))
-                if found:
-                    heapq.heappush(queue, (found[0], i, whole, symbol[k], found[1]))
+                rank = rank_of(whole << 32 | symbol[k])
+                if rank is not None:
+                    heappush(queue, rank << 32 | i)
             h = before[i]
             if h >= 0:
-                found = ranks.get((symbol[h], whole))
-                if found:
-                    heapq.heappush(queue, (found[0], h, symbol[h], whole, found[1]))
-        return tuple(s for s, a in zip(symbol, alive, strict=True) if a)
+                rank = rank_of(symbol[h] << 32 | whole)
+                if rank is not None:
+                    heappush(queue, rank << 32 | h)
+        return tuple([s for s in symbol if s >= 0])
 
     def _ids(self, piece: str) -> tuple[int, ...]:
         ids = self.merge(piece.encode())
@@ -160,7 +161,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", ids_col: st
 
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``rows`` with the text of the ids (null: empty); ids outside the vocabulary raise."""
+    """``rows`` with the text of the ids (null: empty); ids past the vocabulary's last raise."""
     bounded_batches(rows.sparkSession)
     out = rows.drop(text_col)
     schema = out.withColumn(text_col, F.lit(None).cast("string")).schema
@@ -186,7 +187,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             for text in batch.column(1).to_pylist():
                 ids = coder.encode(text or "")
                 counts.append(len(ids))
-                ids_hex.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                ids_hex.append(hashlib.sha256(",".join(map(coder.decimal.__getitem__, ids)).encode()).hexdigest())
                 text_hex.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(text_hex)],
