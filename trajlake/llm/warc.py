@@ -221,7 +221,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
      d AS (SELECT page_id, url, strlen(h) AS n, min(page_id) OVER (PARTITION BY h) AS one,
-           list_aggregate(list_transform(range(32), i -> substr('{_ALPHABET}', 1 + (
+           list_aggregate(list_transform(range(32), lambda i: substr('{_ALPHABET}', 1 + (
              (('0x' || substr(s, (i // 4) * 5 + 1, 5))::BIGINT >> ((3 - i % 4) * 5)) & 31)::INTEGER, 1)), 'string_agg', '') AS digest
            FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
