@@ -35,7 +35,19 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame, collect: bool = True) -> None:
+    """Deletes scratch tables that nothing reads any more, and lets Spark drop the shuffle files of finished jobs."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if collect:
+        spark._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:

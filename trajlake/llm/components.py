@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import release, scratch
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -33,19 +33,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             jumped = hook.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("q"), "pp")
             jumped = scratch(jumped, "jump")
             moved = not jumped.where("pp is not null").isEmpty()
-            hook = jumped.select("c", F.col("q").alias("p"))
+            old, hook = hook if hasattr(hook, "scratch_path") else jump_table, jumped.select("c", F.col("q").alias("p"))
+            release(old, collect=False)
+            jump_table = jumped
             if not moved:
                 break
         root_of = hook.select(F.col("c").alias("root"), "p")
-        labels = scratch(
-            labels.join(root_of, "root", "left").select("node", F.coalesce("p", "root").alias("root")),
-            "labels",
-        )
+        moved_to = labels.join(root_of, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+        old_labels, labels = labels, scratch(moved_to, "labels")
         ends = e
         for end in ("a", "b"):
             ends = ends.join(hook.select(F.col("c").alias(end), F.col("p").alias(f"p_{end}")), end, "left")
         x, y = F.coalesce("p_a", "a"), F.coalesce("p_b", "b")
-        e = scratch(
+        old_edges, e = e, scratch(
             ends.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct(), "edges"
         )
+        release(old_labels, old_edges, jump_table, collect=False)
+    release(e, collect=False)
     return labels

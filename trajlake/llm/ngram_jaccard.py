@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read, scratch
+from .common import bounded_batches, read, release, scratch
 from .components import connected_components
 from .wordhash import U, as_long, chunks, lists, mix, sets
 
@@ -201,7 +201,8 @@ def jaccard_components(
         plain.mapInArrow(_survey(words), "doc_id long, size long, node long, piece int, counts binary"), "survey"
     )
     rank = spark.sparkContext.broadcast(_order(survey))
-    every = survey.where("piece is null").select("doc_id", "size", "node")
+    every = scratch(survey.where("piece is null").select("doc_id", "size", "node"), "sizes")
+    release(survey)
     classes = scratch(every.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("class_id")), "classes")
 
     profile = plain.mapInArrow(
@@ -217,6 +218,7 @@ def jaccard_components(
     active = scratch(active.dropDuplicates(["node"]), "active")
     texts = plain.join(active.select("node", "doc_id"), "doc_id").select("node", "text")
     texts = scratch(texts.mapInArrow(_own(words), "node long, text string"), "texts")
+    release(profile)
 
     need = F.expr(f"({num} * (x_size + y_size) + {num + den - 1}) div {num + den}")
     sized = F.expr(f"{den} * least(x_size, y_size) >= {num} * greatest(x_size, y_size)")
@@ -233,10 +235,13 @@ def jaccard_components(
             F.zip_with("x_bins", "y_bins", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, v: acc + v
         )
         pairs = scratch(pairs.where(sized & (most >= need)).select("x", "y"), "pairs")
+        slim = pairs
         for side in ("x", "y"):
-            pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text")), side)
-        out = pairs.select("x", "y", "x_text", "y_text").mapInArrow(_verify(words, num, den), "x long, y long")
-        return scratch(out, "links")
+            slim = slim.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text")), side)
+        out = slim.select("x", "y", "x_text", "y_text").mapInArrow(_verify(words, num, den), "x long, y long")
+        out = scratch(out, "links")
+        release(pairs)
+        return out
 
     step = float(np.log(den / num)) if num < den else 1e-9
     stratum = F.floor(F.log(F.col("size").cast("double")) / F.lit(step))
@@ -259,6 +264,7 @@ def jaccard_components(
         ),
         "known",
     )
+    release(postings, labels)
     by_root = known.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
     main = by_root.groupBy("token").agg(
         F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")
@@ -278,11 +284,12 @@ def jaccard_components(
         .select(F.least("x_node", "y_node").alias("x"), F.greatest("x_node", "y_node").alias("y"))
     )
     more = verified(cross)
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more), "x", "y")
+    labels = connected_components(links.unionByName(more), "x", "y")
+    release(known, active, texts, links, more)
 
     named = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch(named, "named")
+    release(classes, labels)
     least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = named.join(least, "root").select("node", "class_id", "component_id")
     return (

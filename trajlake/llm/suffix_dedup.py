@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read, scratch
+from .common import bounded_batches, read, release, scratch
 from .wordhash import U, Words, _powers, as_long, chunks, lists, mix
 
 #: A passage counts as repeated from so many words on.
@@ -169,6 +169,7 @@ def repeated_spans(
     )
     windows = plain.join(wanted, "doc_id").select("doc_id", "text", "seeds")
     windows = scratch(windows.mapInArrow(_windows(length, seed), "window long, doc_id long, pos int"), "windows")
+    release(found)
     once = windows.where("window is not null")
     first = once.groupBy("window").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("last"))
     first = first.where("kept < last").select("window", "kept")
@@ -177,7 +178,10 @@ def repeated_spans(
         windows.where("window is null").select("doc_id", "pos", F.col("doc_id").alias("kept"))
     )
     by_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "kept")).alias("marks"))
-    return by_doc.mapInArrow(_spans(length), "doc_id long, first_word int, n_words int, kept_doc_ids array<long>")
+    spans = by_doc.mapInArrow(_spans(length), "doc_id long, first_word int, n_words int, kept_doc_ids array<long>")
+    spans = scratch(spans, "spans")
+    release(windows)
+    return spans
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
