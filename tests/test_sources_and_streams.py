@@ -33,7 +33,7 @@ def test_contexts_merge_or_conflict(spark):
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i // 2, i % 3, float(i)) for i in range(60)]
     for k in range(3):
-        part = spark.createDataFrame(rows[k::3], "event_id long, g long, v double").withColumn("ts", F.timestamp_seconds("event_id"))
+        part = spark.createDataFrame(rows[k::3], "event_id long, g long, v double").withColumn("ts", F.timestamp_seconds(F.col("event_id") + 9000))
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     events = ledger.tail(spark, str(tmp_path / "in"), schema, "parquet")
