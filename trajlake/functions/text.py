@@ -1,10 +1,23 @@
-"""Column functions on texts: tokens, keywords, answers, labels. All run inside the JVM."""
+"""Column functions on texts: tokens, keywords, answers, labels. All run inside the JVM, but for ``compression``."""
 
 from __future__ import annotations
 
+import bz2
+import gzip
+import lzma
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_COMPRESS = {
+    "zlib": zlib.compress,
+    "gzip": lambda raw, level: gzip.compress(raw, compresslevel=level),
+    "bz2": bz2.compress,
+    "lzma": lambda raw, level: lzma.compress(raw, preset=level),
+}
+
 #: Leakage patterns are looked for without case.
 LEAKAGE = {
     "url": r"(?i)https?://",
@@ -42,9 +55,9 @@ def dedupe_fold(values: Column) -> Column:
 
 
 def clean_keyword(phrase: Column, forbidden: str, generic: list[str]) -> Column:
-    """The phrase with single spaces, or null: outside 2..160 characters or 1..12 words, forbidden or generic."""
+    """The phrase with single spaces, or null: outside 2..160 characters or 1..12 keyword tokens, forbidden or generic."""
     p = squeeze(phrase)
-    words = F.size(F.split(p, " "))
+    words = F.size(F.regexp_extract_all(p, F.lit("([A-Za-z0-9_./:-]+)"), 1))
     bad = ~F.length(p).between(2, 160) | p.rlike(forbidden) | F.lower(p).isin(generic) | ~words.between(1, 12)
     return F.when(~bad, p)
 
@@ -52,7 +65,7 @@ def clean_keyword(phrase: Column, forbidden: str, generic: list[str]) -> Column:
 def phrase_match(phrase: Column, view: Column) -> Column:
     """The phrase is part of the view, or four fifths of its terms of three letters or more are."""
     p, v = F.lower(squeeze(phrase)), F.lower(squeeze(view))
-    terms = F.filter(F.split(p, r"[^a-z0-9_]+"), lambda t: F.length(t) > 2)
+    terms = F.filter(F.regexp_extract_all(p, F.lit("([a-z0-9_./:-]+)"), 1), lambda t: F.length(t) > 2)
     hits = lambda ts: F.size(F.filter(ts, lambda t: F.contains(v, t)))
     part = let(terms, lambda ts: (F.size(ts) > 0) & (hits(ts) * 5 >= F.size(ts) * 4))
     return F.contains(v, p) | part
@@ -185,3 +198,20 @@ def ordered_class(name: Column, rules: list[tuple[str, str]], other: str = "othe
     for part, label in reversed(rules):
         out = F.when(F.contains(F.lower(name), F.lit(part)), label).otherwise(out)
     return out
+
+
+def compression(text: Column, algorithm: str = "zlib", level: int = 9) -> Column:
+    """(ratio, savings in per cent) of the UTF-8 text; empty: (inf, 0), null: null. In Arrow batches."""
+    if algorithm not in _COMPRESS:
+        raise ValueError(f"unknown algorithm: {algorithm}")
+    pack = _COMPRESS[algorithm]
+
+    @F.pandas_udf("ratio double, savings double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        before = [None if t is None else t.encode() for t in texts]
+        after = [len(pack(b, level)) if b else 0 for b in before]
+        ratio = [None if b is None else len(b) / n if n else float("inf") for b, n in zip(before, after, strict=True)]
+        saved = [None if b is None else 100 * (1 - n / len(b)) if n else 0.0 for b, n in zip(before, after, strict=True)]
+        return pd.DataFrame({"ratio": ratio, "savings": saved}, dtype="float64")
+
+    return F.when(text.isNotNull(), run(text))

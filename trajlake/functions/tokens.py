@@ -187,3 +187,12 @@ def merge_offsets(base: Column, more: Column) -> Column:
 
 def pad_offsets(offsets: Column, n: int) -> Column:
     return F.concat(offsets, F.array_repeat(F.element_at(offsets, -1), n))
+
+
+def masked_spans(tokens: Column, mask: Column) -> Column:
+    """The runs of tokens whose mask is 1, in order; an empty or all-zero mask has none."""
+    off = lambda i: ~F.coalesce(F.get(mask, i) == 1, F.lit(False))
+    ends = lambda step: F.filter(
+        F.transform(mask, lambda v, i: F.when((v == 1) & off(i + step), i)), lambda i: i.isNotNull()
+    )
+    return F.zip_with(ends(-1), ends(1), lambda a, b: F.slice(tokens, a + 1, b - a + 1))

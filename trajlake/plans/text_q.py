@@ -32,6 +32,11 @@ def phrase_matches(spark, d):
     return _docs(spark, d, hit=x.phrase_match(F.substring("text", 5, 40), F.lower("text")), miss=x.phrase_match(F.lit("quantum the pad"), F.col("text")))
 
 
+def compression_ratio(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", x.compression(F.col("text")).alias("c"))
+    return docs.select("doc_id", F.round("c.ratio", 6).alias("ratio"), F.round("c.savings", 6).alias("savings"))
+
+
 def stems(spark, d):
     w = _t(spark, d, "documents").where("lang = 'en'").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
     return w.where("w <> ''").groupBy(x.stem(F.col("w")).alias("stem")).agg(F.count(F.lit(1)).alias("n"))
@@ -152,9 +157,9 @@ h AS (SELECT doc_id, i, list_filter(list_transform(flatten(list_transform(ps, la
 a AS (SELECT doc_id, flatten(list(hs ORDER BY i)) AS ts FROM h GROUP BY 1)
 SELECT doc_id, len(ts) AS n_tokens, md5(array_to_string(ts, ' ')) AS digest FROM a""",
     "dedupe_text": "SELECT doc_id, len(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda s: lower(trim(s))), lambda s: s <> ''))) AS n FROM documents",
-    "sanitize_keyword": f"WITH k AS (SELECT doc_id, {_SQ('left(text, 60)')} AS p FROM documents) SELECT doc_id, CASE WHEN NOT (length(p) NOT BETWEEN 2 AND 160 OR regexp_matches(p, '(?i)eaux|http') OR lower(p) IN ('the', 'and', 'of', 'code') OR len(string_split(p, ' ')) NOT BETWEEN 1 AND 12) THEN p END AS keyword FROM documents JOIN k USING (doc_id)",
+    "sanitize_keyword": f"WITH k AS (SELECT doc_id, {_SQ('left(text, 60)')} AS p FROM documents) SELECT doc_id, CASE WHEN NOT (length(p) NOT BETWEEN 2 AND 160 OR regexp_matches(p, '(?i)eaux|http') OR lower(p) IN ('the', 'and', 'of', 'code') OR len(regexp_extract_all(p, '[A-Za-z0-9_./:-]+')) NOT BETWEEN 1 AND 12) THEN p END AS keyword FROM documents JOIN k USING (doc_id)",
     "phrase_matches": f"""WITH v AS (SELECT doc_id, lower({_SQ('substr(text, 5, 40)')}) AS p, lower({_SQ('text')}) AS v FROM documents),
-t AS (SELECT *, list_filter(string_split_regex(p, '[^a-z0-9_]+'), lambda s: length(s) > 2) AS ts, ['quantum', 'the', 'pad'] AS ms FROM v)
+t AS (SELECT *, list_filter(regexp_extract_all(p, '[a-z0-9_./:-]+'), lambda s: length(s) > 2) AS ts, ['quantum', 'the', 'pad'] AS ms FROM v)
 SELECT doc_id, contains(v, p) OR (len(ts) > 0 AND len(list_filter(ts, lambda s: contains(v, s))) * 5 >= len(ts) * 4) AS hit, contains(v, 'quantum the pad') OR len(list_filter(ms, lambda s: contains(v, s))) * 5 >= 12 AS miss FROM t""",
     "stems": """WITH w AS (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents WHERE lang = 'en'),
 b AS (SELECT CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END AS b FROM w WHERE w <> '')

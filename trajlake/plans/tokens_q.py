@@ -90,6 +90,12 @@ _add("sft_loss", lambda: F.round(-k.masked_mean(_C("p"), _C("m")), 9), f"round(-
 _add("response_lengths", lambda: k.response_length(F.transform(_C("x"), lambda v: (v > 0.9).cast("double"))), "coalesce(n - list_position(list_transform(x, lambda v: v > 0.9), true) + 1, 0)::BIGINT AS value")
 _IX = "list_transform(x, lambda v: floor(v * 3)::INTEGER)"
 _ix = lambda: F.transform(_C("x"), lambda v: F.floor(v * 3).cast("int"))
+_ON = "list_filter(range(1, n + 1), lambda i: m[i] = 1 AND {})"
+_FROM, _TO = _ON.format("(i = 1 OR m[i - 1] <> 1)"), _ON.format("(i = n OR m[i + 1] <> 1)")
+_SPANS = lambda: k.masked_spans(_C("x"), _C("m"))
+_add("masked_spans", lambda: F.size(_SPANS()).cast("long"), f"len({_FROM}) AS value",
+     lambda: F.round(F.aggregate(_SPANS(), F.lit(0.0), lambda a, s: a + F.size(s) * F.element_at(s, -1)), 6),
+     f"round(coalesce(list_sum(list_transform(range(1, len({_FROM}) + 1), lambda j: (({_TO})[j] - ({_FROM})[j] + 1) * x[({_TO})[j]])), 0), 6) AS other")
 _add("sublist_positions", lambda: F.size(k.positions_of(_ix(), F.array(F.lit(0), F.lit(0)))).cast("long"), f"len(list_filter(range(1, n), lambda i: {_IX}[i] = 0 AND {_IX}[i + 1] = 0)) AS value")
 _add("common_prefix", lambda: k.common_prefix(_ix(), F.transform(_C("y"), lambda v: F.floor(v * 3).cast("int"))),
      f"coalesce(list_position({_Z('floor(x[i] * 3) = floor(y[i] * 3)')}, false) - 1, n)::BIGINT AS value")
