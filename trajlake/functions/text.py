@@ -155,9 +155,14 @@ def loop_signature(text: Column, chars: int = 400) -> Column:
     return F.md5(F.left(F.trim(text), F.lit(chars)).cast("binary"))
 
 
+#: Names whose counters before .py are generated.
+COUNTED = ["debug", "test", "issue", "apply[_-]?fix", "fix", "script", "attempt", "try"]
+
+
 def collapse_counters(text: Column) -> Column:
-    """Generated counters before .py become #, white space single."""
-    return squeeze(F.regexp_replace(text, r"([A-Za-z_])\d+(\.py)", "$1#$2"))
+    """Generated counters of script names become #, white space single; other numbers stay."""
+    pattern = rf"(?i)\b((?:{'|'.join(COUNTED)})(?:[_-][a-z]+)*[_-]?)\d+(?=\.py\b)"
+    return squeeze(F.regexp_replace(text, pattern, "$1#"))
 
 
 def safe_label(value: Column, default: str = "unknown", longest: int = 64) -> Column:
