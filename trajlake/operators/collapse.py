@@ -1,8 +1,9 @@
-"""Unrecovered mode collapse of trajectories, by windows and aggregates over all trajectories at once.
+"""Unrecovered mode collapse of trajectories, with one shuffle by trajectory.
 
 A step counts as recovered when a long enough run of clean command steps, or a command before the final submission,
 comes after it. Both are known from three numbers of a trajectory, so that no rule needs a scan of its own:
 the last step that ends a clean run of three, that of four, and the last command before the last submission.
+All windows, and the aggregates that follow them, keep the partitioning by trajectory.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_counters, squeeze
+from ..functions.text import collapse_counters, let, squeeze
 
 #: Limits of the rules.
 LONG_RESPONSE, RUN_PATTERN = 8_000, r"(?s)(.)\1{2047}"
@@ -50,48 +51,39 @@ def cycles(messages: DataFrame, key: str, order: str, role: str, content: str, c
     return _repetition(steps, key)
 
 
-def _repetition(steps: DataFrame, key: str) -> DataFrame:
-    """Adds ``repetition``: why a single response counts as repeating itself, or null."""
-    long = F.length("content") >= LONG_RESPONSE
-    prose = F.lower(F.regexp_replace("content", r"(?s)```.*?```", " "))
-    words = F.when(long, F.regexp_extract_all(prose, F.lit(r"([a-z_][a-z0-9_'-]*|[0-9]+)"), 1))
-    texts = steps.where(long).select(key, "step", words.alias("_w")).where(F.size("_w") >= LEAST_WORDS)
-    at = texts.select(key, "step", "_w", F.explode(F.sequence(F.lit(1), F.size("_w") - WINDOW + 1)).alias("_i"))
-    counted = at.groupBy(key, "step", F.xxhash64(F.slice("_w", F.col("_i"), WINDOW)).alias("_h")).agg(F.count(F.lit(1)).alias("n"))
-    share = counted.groupBy(key, "step").agg(
-        (F.sum(F.when(F.col("n") >= 2, F.col("n")).otherwise(0)) / F.sum("n")).alias("_s"), F.max("n").alias("_p"),
-    )
-    run = F.regexp_extract("content", RUN_PATTERN, 1)
-    # the pattern is only looked for in long responses
-    is_run = F.when(long, F.col("content").rlike(RUN_PATTERN))
-    blocks = (F.length("content") - F.length(F.replace("content", F.lit(BLOCK), F.lit("")))) / len(BLOCK)
-    stream = (F.length("content") >= STREAM_CHARS) & (F.size("commands") == 0) & (blocks >= STREAM_BLOCKS)
-    repeats = (F.col("_s") >= REPEATED_SHARE) & (F.col("_p") >= PEAK)
-    why = (
-        F.when(is_run, F.concat(F.lit("intra_response_character_run:character="), F.format_string("'%s'", run), F.lit(":minimum_run=2048")))
-        .when(stream, F.format_string("intra_response_unparsed_action_stream:chars=%d:action_blocks=%d", F.length("content"), blocks.cast("int")))
-        .when(repeats, F.format_string("intra_response_repetition:ratio=%.3f:peak=%d", F.col("_s"), F.col("_p")))
-    )
-    out = steps.join(share, [key, "step"], "left").withColumn("repetition", why)
-    return out.select(
-        key, "step", collapse_counters(F.col("content")).alias("response"), "commands",
-        F.transform("commands", collapse_counters).alias("normalized"), "format_error", "terminal", "repetition",
-    )
+def _repeated_windows(words: Column) -> Column:
+    """struct(prev, run, repeated, peak) of windows of words: those that occur again, and how often the commonest does."""
+    starts = F.sequence(F.lit(1), F.size(words) - WINDOW + 1)
+    hashes = F.array_sort(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+    zero = F.lit(0)
+    start = F.struct(F.lit(None).cast("long").alias("prev"), zero.alias("run"), zero.alias("repeated"), zero.alias("peak"))
 
+    def step(s: Column, h: Column) -> Column:
+        run = F.when(s["prev"] == h, s["run"] + 1).otherwise(1)
+        more = F.when(run == 2, 2).when(run > 2, 1).otherwise(0)
+        return F.struct(h.alias("prev"), run.alias("run"), (s["repeated"] + more).alias("repeated"), F.greatest(s["peak"], run).alias("peak"))
 
-def _recovery(steps: DataFrame, key: str) -> DataFrame:
-    """(key, steps, s3, s4, c): length of a trajectory and the three numbers that tell recovery."""
-    w = Window.partitionBy(key).orderBy("step")
-    clean = (F.size("commands") > 0) & ~F.col("format_error") & F.col("repetition").isNull()
-    broken = F.max(F.when(~clean, F.col("step"))).over(w)
-    rows = steps.select(
-        key, "step", (F.col("step") - F.coalesce(broken, F.lit(-1))).alias("_n"), (F.size("commands") > 0).alias("_k"),
-        F.max(F.when(F.col("terminal"), F.col("step"))).over(Window.partitionBy(key)).alias("_t"),
-    )
-    ends = {f"s{n}": F.max(F.when(F.col("_n") >= n, F.col("step"))) for n in (3, 4)}
-    return rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("steps"), *(c.alias(name) for name, c in ends.items()),
-        F.max(F.when(F.col("_k") & (F.col("step") < F.col("_t")), F.col("step"))).alias("c"),
+    return F.aggregate(hashes, start, step)
+
+
+def _repetition(steps: DataFrame, key: str) -> DataFrame:
+    """Adds ``repetition``: why a single response counts as repeating itself, or null. Short responses aren't searched."""
+    content = F.col("content")
+    prose = F.lower(F.regexp_replace(content, r"(?s)```.*?```", " "))
+    words = F.regexp_extract_all(prose, F.lit(r"([a-z_][a-z0-9_'-]*|[0-9]+)"), 1)
+    peaks = let(words, lambda ws: F.when(F.size(ws) >= LEAST_WORDS, F.struct(_repeated_windows(ws).alias("r"), (F.size(ws) - WINDOW + 1).alias("n"))))
+    share = lambda p: p["r"]["repeated"] / p["n"]
+    repeats = let(peaks, lambda p: F.when(
+        (share(p) >= REPEATED_SHARE) & (p["r"]["peak"] >= PEAK),
+        F.format_string("intra_response_repetition:ratio=%.3f:peak=%d", share(p), p["r"]["peak"])))
+    blocks = (F.length(content) - F.length(F.replace(content, F.lit(BLOCK), F.lit("")))) / len(BLOCK)
+    stream = (F.length(content) >= STREAM_CHARS) & (F.size("commands") == 0) & (blocks >= STREAM_BLOCKS)
+    run = F.format_string("intra_response_character_run:character='%s':minimum_run=2048", F.regexp_extract(content, RUN_PATTERN, 1))
+    counts = F.format_string("intra_response_unparsed_action_stream:chars=%d:action_blocks=%d", F.length(content), blocks.cast("int"))
+    why = F.when(F.length(content) >= LONG_RESPONSE, F.when(content.rlike(RUN_PATTERN), run).when(stream, counts).otherwise(repeats))
+    return steps.select(
+        key, "step", collapse_counters(content).alias("response"), "commands",
+        F.transform("commands", collapse_counters).alias("normalized"), "format_error", "terminal", why.alias("repetition"),
     )
 
 
@@ -100,14 +92,27 @@ def _recovered(at: Column, run: int = 4) -> Column:
     return F.coalesce(F.col(f"s{run}") >= at + run, no) | F.coalesce(F.col("c") > at, no)
 
 
-def _matches(steps: DataFrame, key: str, value: Column, period: int) -> DataFrame:
-    """(key, first, last, n): maximal runs of steps that equal the step ``period`` before."""
-    w = Window.partitionBy(key).orderBy("step")
-    same = steps.select(key, "step", value.alias("_v")).withColumn("_p", F.lag("_v", period).over(w)).where(F.col("_v") == F.col("_p"))
-    island = F.col("step") - F.row_number().over(w)
-    return same.withColumn("_g", island).groupBy(key, "_g").agg(
-        F.min("step").alias("first"), F.max("step").alias("last"), F.count(F.lit(1)).alias("n"),
-    ).drop("_g")
+def _with_runs(steps: DataFrame, key: str) -> DataFrame:
+    """Steps with lengths of the runs that end at them, and the three numbers of their trajectory."""
+    w, whole = Window.partitionBy(key).orderBy("step"), Window.partitionBy(key)
+
+    def run(holds: Column) -> Column:
+        return F.col("step") - F.coalesce(F.max(F.when(~holds, F.col("step"))).over(w), F.lit(-1))
+
+    acts = F.size("commands") > 0
+    values = {"r": F.when(F.col("response") != "", F.col("response")), "c": F.when(F.size("normalized") > 0, F.to_json("normalized"))}
+    same = {f"{v}{p}": F.coalesce(F.col(f"v{v}") == F.lag(f"v{v}", p).over(w), F.lit(False)) for v in values for p in (1, *PERIODS)}
+    rows = steps.withColumns({f"v{v}": c for v, c in values.items()} | {"t": F.max(F.when(F.col("terminal"), F.col("step"))).over(whole)})
+    rows = rows.withColumns({f"m{k}": c for k, c in same.items()}).drop("vr", "vc", "response", "normalized")
+    rows = rows.withColumns({
+        "clean": run(acts & ~F.col("format_error") & F.col("repetition").isNull()), "errors": run(F.col("format_error")),
+        **{f"n{k}": run(F.col(f"m{k}")) for k in same},
+    })
+    return rows.withColumns({
+        **{f"s{n}": F.max(F.when(F.col("clean") >= n, F.col("step"))).over(whole) for n in (3, 4)},
+        "c": F.max(F.when(acts & (F.col("step") < F.col("t")), F.col("step"))).over(whole),
+        **{f"x{k}": F.coalesce(F.lead(f"n{k}").over(w), F.lit(0)) for k in same},
+    })
 
 
 def collapse_reason(
@@ -119,64 +124,56 @@ def collapse_reason(
     checkouts, loops of two to four steps. ``limit`` cuts each trajectory after so many assistant turns and then uses
     the rules for cut trajectories.
     """
-    steps = cycles(messages, key, order, role, content, commands, limit)
-    base = _recovery(steps, key)
-    w = Window.partitionBy(key).orderBy("step")
-    rules: list[DataFrame] = []
-
-    def rule(rank: int, found: DataFrame, holds: Column, reason: Column) -> None:
-        rules.append(found.join(base, key).where(holds).select(key, F.lit(rank).alias("_rank"), reason.alias("reason")))
-
-    open_end = ~_recovered(F.col("last"))
-
-    # format errors
-    good = F.max(F.when(~F.col("format_error"), F.col("step"))).over(w)
-    errors = steps.select(key, "step", "format_error", (F.col("step") - F.coalesce(good, F.lit(-1))).alias("_n")).where("format_error")
-    errors = errors.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("_n").alias("streak"), F.max("step").alias("last"))
-    n, streak = F.col("n"), F.col("streak")
+    rows = _with_runs(cycles(messages, key, order, role, content, commands, limit), key)
+    step, open_end = F.col("step"), ~_recovered(F.col("step"))
+    paths = F.filter(F.transform("commands", lambda c: F.regexp_extract(c, CHECKOUT, 1)), lambda p: p != "")
+
+    def loop(k: str, period: int) -> Column:
+        # a whole run ends where the next step doesn't go on; the earliest one that stays open counts
+        n = F.col(f"n{k}")
+        return F.min(F.when((n >= 3 * period) & (F.col(f"x{k}") == 0) & open_end, F.struct((step - n).alias("first"), n.alias("n"))))["n"]
+
+    facts = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("steps"), *(F.first(c).alias(c) for c in ("s3", "s4", "c")),
+        F.count_if("format_error").alias("errors"), F.max("errors").alias("streak"), F.max(F.when(F.col("format_error"), step)).alias("error_at"),
+        F.max(F.when(F.col("repetition").isNotNull(), step)).alias("own_at"), F.max_by("repetition", F.when(F.col("repetition").isNotNull(), step)).alias("own"),
+        *(F.max(F.struct(F.col(f"n{v}1").alias("n"), (-step).alias("e"))).alias(f"run_{v}") for v in "rc"),
+        F.array_sort(F.flatten(F.collect_list(F.transform(paths, lambda p, i: F.struct(step.alias("step"), i.alias("i"), p.alias("path")))))).alias("outs"),
+        *(loop(f"{v}{p}", p).alias(f"loop_{v}{p}") for v in "rc" for p in PERIODS),
+    )
 
+    n, streak = F.col("errors"), F.col("streak")
     if limit is None:
-        loops = (n >= 30) | (streak >= 15) | (open_end & ((streak >= 7) | (n >= 10)))
-    else:
-        loops = ~_recovered(F.col("last"), 3) & ((streak >= 8) | ((n >= 10) & (n / F.col("steps") >= 0.3)))
-    rule(0, errors, loops, F.format_string("format_error_parser_loop:total=%d:streak=%d", n, streak))
-
-    # responses that repeat themselves
-    own = steps.where(F.col("repetition").isNotNull()).groupBy(key).agg(F.max("step").alias("last"), F.max_by("repetition", "step").alias("why"))
-    rule(1, own, open_end, F.col("why"))
-
-    # longest runs: the first of the longest, as ``n`` matches follow one step
-    values = {
-        "response": F.when(F.col("response") != "", F.col("response")),
-        "command": F.when(F.size("normalized") > 0, F.to_json("normalized")),
-    }
-    for k, (name, value) in enumerate(values.items()):
-        best = F.max(F.struct("n", (-F.col("last")).alias("e"))).alias("b")
-        runs = _matches(steps, key, value, 1).groupBy(key).agg(best).select(key, (F.col("b.n") + 1).alias("n"), (-F.col("b.e")).alias("last"))
-        rule(2 + k, runs, open_end & (F.col("n") >= RUN), F.format_string(f"repeated_counter_normalized_{name}:%d", "n"))
-
-    # checkouts; of equally frequent paths the one checked out first counts
-    path = F.regexp_extract("_c", CHECKOUT, 1)
-    outs = steps.select(key, "step", F.posexplode("commands").alias("_i", "_c")).select(key, "step", "_i", path.alias("path")).where("path <> ''")
-    by_path = outs.groupBy(key, "path").agg(F.count(F.lit(1)).alias("n"), F.max("step").alias("last"), F.min(F.struct("step", "_i")).alias("at"))
-    if limit is None:
-        top = by_path.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "at"))).where("_k = 1").drop("_k", "at")
-        rule(4, top, open_end & (F.col("n") >= 20), F.format_string("repeated_edit_revert_cycle:path=%s:checkouts=%d", "path", "n"))
+        parser = (n >= 30) | (streak >= 15) | (~_recovered(F.col("error_at")) & ((streak >= 7) | (n >= 10)))
     else:
-        sums = by_path.groupBy(key).agg(F.count(F.lit(1)).alias("paths"), F.sum("n").alias("n"), F.max("last").alias("last"))
-        rule(4, sums, open_end & (F.col("n") >= 12), F.format_string("repeated_edit_revert_cycle:paths=%d:checkouts=%d", "paths", "n"))
-
-    # short loops: four whole periods; the earliest unrecovered one of the shortest period
-    for k, (name, value) in enumerate(values.items()):
-        label = "periodic_assistant_response_loop" if name == "response" else "periodic_tool_command_loop"
-        for period in PERIODS:
-            loops = _matches(steps, key, value, period).where(F.col("n") >= 3 * period)
-            loops = loops.join(base, key).where(open_end).groupBy(key).agg(F.min_by("n", "first").alias("n"))
-            reason = F.format_string(f"{label}:period={period}:length=%d", F.col("n") + period)
-            rules.append(loops.select(key, F.lit(10 * (k + 1) + period).alias("_rank"), reason.alias("reason")))
-
-    found = rules[0]
-    for more in rules[1:]:
-        found = found.unionByName(more)
-    first = found.groupBy(key).agg(F.min_by("reason", "_rank").alias("reason"))
-    return base.select(key).join(first, key, "left")
+        parser = ~_recovered(F.col("error_at"), 3) & ((streak >= 8) | ((n >= 10) & (n / F.col("steps") >= 0.3)))
+    reasons = [
+        F.when(parser & (n > 0), F.format_string("format_error_parser_loop:total=%d:streak=%d", n, streak)),
+        F.when(F.col("own").isNotNull() & ~_recovered(F.col("own_at")), F.col("own")),
+    ]
+    for v, name in (("r", "response"), ("c", "command")):
+        length, last = F.col(f"run_{v}.n") + 1, -F.col(f"run_{v}.e")
+        reasons.append(F.when((length >= RUN) & ~_recovered(last), F.format_string(f"repeated_counter_normalized_{name}:%d", length)))
+    reasons.append(_checkouts(F.col("outs"), limit is None))
+    for v, label in (("r", "periodic_assistant_response_loop"), ("c", "periodic_tool_command_loop")):
+        for p in PERIODS:
+            reasons.append(F.format_string(f"{label}:period={p}:length=%d", F.col(f"loop_{v}{p}") + p))
+            reasons[-1] = F.when(F.col(f"loop_{v}{p}").isNotNull(), reasons[-1])
+    return facts.select(key, F.coalesce(*reasons).alias("reason"))
+
+
+def _checkouts(outs: Column, whole: bool) -> Column:
+    """Many checkouts: of one path in a whole trajectory (of equals, that seen first), of all paths in a cut one."""
+    paths = F.array_distinct(F.transform(outs, lambda o: o["path"]))
+    if not whole:
+        last = F.element_at(outs, -1)["step"]
+        reason = F.format_string("repeated_edit_revert_cycle:paths=%d:checkouts=%d", F.size(paths), F.size(outs))
+        return F.when(F.size(outs) >= 12, F.when(~_recovered(last), reason))
+
+    def one(path: Column, i: Column) -> Column:
+        mine = F.filter(outs, lambda o: o["path"] == path)
+        return F.struct(F.size(mine).alias("n"), (-i).alias("i"), path.alias("path"), F.element_at(mine, -1)["step"].alias("last"))
+
+    top = F.when(F.size(outs) >= 20, F.array_max(F.transform(paths, one)))
+    return let(top, lambda t: F.when(
+        (t["n"] >= 20) & ~_recovered(t["last"]), F.format_string("repeated_edit_revert_cycle:path=%s:checkouts=%d", t["path"], t["n"])))
