@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from trajlake.llm.licences import TEMPLATES, scan_licences
 
@@ -36,3 +37,13 @@ def test_equals_brute_force(spark):
     assert scan_licences(docs.limit(0)).count() == 0
     twice = spark.createDataFrame([(None, t[0]), (None, t[0])], "doc_id long, text string")
     assert scan_licences(twice).count() == 2
+
+
+def test_long_texts_of_few_bigrams(spark):
+    text = TEMPLATES["MIT-text"]
+    wrapped = "\n".join(textwrap.wrap(text, 80))
+    rows = [(1, "\n".join([text] * 20)), (2, wrapped + ("\n" + "=" * 80) * 110), (3, "\n".join([wrapped] * 15)), (4, wrapped + "\nword" * 5000)]
+    assert all(len(x) > 7680 for _, x in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line, r.licence) for r in scan_licences(docs).collect()}
+    assert got == brute(rows) and {(i, -1, "MIT-text") for i in (1, 2, 3, 4)} <= got

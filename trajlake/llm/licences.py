@@ -76,7 +76,8 @@ def scan_licences(
     template of greatest Dice coefficient, the first by name on ties. Units
     with fewer or more bigrams than a template allows at the threshold aren't
     compared with it, nor are units that share too few bigrams with all
-    templates together: both bounds lose nothing. No shuffle; templates are
+    templates together: both bounds lose nothing. Bigrams are counted once
+    each, so a text of any length can match. No shuffle; templates are
     literals of the plan.
 
     Null and empty texts have no match. A null id keeps its rows; repeated rows
@@ -92,7 +93,7 @@ def scan_licences(
     every = sorted(set().union(*grams.values())) if grams else [""]
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lines = plain.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
-    whole = plain.where(F.col("text").contains("\n") & (F.length("text") <= 64 * max(high)))
+    whole = plain.where(F.col("text").contains("\n"))
     units = lines.unionByName(whole.select("doc_id", F.lit(-1).alias("line"), F.col("text").alias("unit")))
     # n bigrams need n + 1 words and so 2 n + 1 characters.
     units = units.where(F.length("unit") > 2 * min(low)).withColumn("grams", word_bigrams(F.col("unit")))
