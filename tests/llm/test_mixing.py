@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+from trajlake.llm import mixing
 from trajlake.llm.mixing import mix
 
 
@@ -51,3 +52,44 @@ def test_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string")
     check(rows, mix(docs).collect(), None, 200, 64)
     assert mix(docs.limit(0)).count() == 0
+
+
+def from_exact_share(rows, out, weights, block_rows):
+    """The greatest distance of a source from the share of its unrounded weight, in blocks; sources of weight 0 come last."""
+    assert sorted(r.position for r in out) == list(range(len(rows)))
+    assert Counter((r.doc_id, r.source) for r in out) == Counter(rows)
+    n = Counter(s for _, s in rows)
+    weight = {s: Fraction(float(weights.get(s, 0)) if weights else math.sqrt(c)) for s, c in n.items()}
+    blocks = {s: -(-c // block_rows) for s, c in n.items()}
+    at = {r.slot: (r.source, r.block) for r in out}
+    assert sorted(at) == list(range(sum(blocks.values())))
+    ideal, had, far = defaultdict(Fraction), Counter(), Fraction(0)
+    for slot in range(len(at)):
+        s, b = at[slot]
+        assert b == had[s]
+        had[s] += 1
+        left = Fraction(1)
+        while left:
+            live = [x for x in n if ideal[x] < blocks[x]]
+            share = {x: weight[x] for x in live if weight[x]} or dict.fromkeys(live, Fraction(1))
+            rate = sum(share.values())
+            step = min([left, *((blocks[x] - ideal[x]) * rate / w for x, w in share.items())])
+            for x, w in share.items():
+                ideal[x] += step * w / rate
+            left -= step
+        far = max([far, *(abs(ideal[x] - had[x]) for x in n)])
+    return far
+
+
+def test_exact_weights_with_more_sources_than_slots(spark, monkeypatch):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, source string")
+    many = [(i, "hot" if i < 150 else f"s{i % 230}") for i in range(600)]
+    weights = {f"s{i}": 0.5 / 230 for i in range(230)} | {"hot": 0.5}
+    assert from_exact_share(many, mix(frame(many), weights, block_rows=1).collect(), weights, 1) < 1
+    # Jobs of few slots, sources without weight, one of them null.
+    monkeypatch.setattr(mixing, "CHUNK_SLOTS", 8)
+    monkeypatch.setattr(mixing, "EPOCH_SLOTS", 64)
+    rng = random.Random(2)
+    rows = [(i, rng.choices(["a", "b", "c", None, "e"], [50, 20, 3, 9, 1])[0]) for i in range(900)]
+    for w, block in ((None, 4), ({"a": 0.7, "b": 0.1, "c": 0}, 5)):
+        assert from_exact_share(rows, mix(frame(rows), w, block_rows=block).collect(), w, block) < 1
