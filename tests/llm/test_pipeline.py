@@ -1,5 +1,6 @@
 import corpus_pipeline
 from trajlake.llm.common import read, scratch
+from trajlake.llm.mixing import mix
 from trajlake.llm.quality import op10_quality
 
 SF = "/root/testdata/sf0.001"
@@ -19,3 +20,12 @@ def test_stages_take_effect(spark):
     assert kept[0] == good and len(good) < before
     assert kept[1] < kept[0] and kept[1] == kept[2] == kept[3] == kept[4]
     assert all(r.n_tokens == len(r.ids) for r in docs.collect())
+
+
+def test_rows_end_in_the_order_of_the_mix(spark):
+    docs = scratch(read(spark, SF, "documents").repartition(5), "t")
+    want = {r.doc_id: r.position for r in mix(docs).collect()}
+    mixed = scratch(corpus_pipeline.mixing(spark, docs, SF).repartition(3), "t")
+    got = corpus_pipeline.encoding(spark, mixed, SF).collect()
+    assert [r.position for r in got] == list(range(len(want)))
+    assert {r.doc_id: r.position for r in got} == want
