@@ -61,4 +61,36 @@ def test_cut(spark):
             assert out[doc] == text
     assert repeated_spans(docs.limit(0)).count() == 0
     same = spark.createDataFrame([(None, "a " * 90), (7, "b c d " * 40), (7, "b c d " * 40)], "doc_id long, text string")
-    assert {r.doc_id for r in repeated_spans(same).collect()} == {7}
+    assert {(r.doc_id, r.first_word) for r in repeated_spans(same).collect()} == {(7, 3)}
+
+
+def test_ids_with_several_texts_and_clashing_columns(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one, 1), (2, one, 2), (2, two, 3), (None, one, 4), (3, None, 5), (3, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `sp.ans` int")
+    for clash in ("spans", "Span_Key", "text_key", "first_word"):
+        frame = docs.withColumn(clash, docs.doc_id)
+        cut = cut_spans(frame, repeated_spans(frame))
+        assert cut.columns == frame.columns
+        left = {r["sp.ans"]: r.text for r in cut.collect()}
+        assert left == {1: one, 2: "", 3: two, 4: one, 5: None, 6: ""}
+
+
+def test_runs_over_several_partitions(spark):
+    """One passage in most documents, more partitions than keys: heads lie in earlier partitions."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(i, " ".join([f"x{rng.random()}" for _ in range(rng.randrange(60))] + passage + [f"y{i}"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {}
+        for r in repeated_spans(docs).collect():
+            got.setdefault(r.doc_id, set()).update(range(r.first_word, r.first_word + r.n_words))
+            assert r.kept_doc_ids == [0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute(rows, 50)

@@ -1,11 +1,17 @@
-"""Reading tables, shared scratch tables and Arrow batch bounds."""
+"""Reading tables, shared scratch tables, free column names and Arrow batch bounds."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of an Arrow batch: what a Python worker holds of its input at once, one longer row apart.
+BATCH_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +21,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (local tests), a temporary folder of this
-    machine is made once and set.
+    Where a local session names none, as in tests, a temporary folder of this
+    machine is made once and set. On a cluster that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="trajlake-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -29,27 +38,67 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def scratch(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage by writing a Parquet table in the shared folder."""
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Sets options of the session and puts back what was there."""
+    known = spark.conf.getAll
+    before = {k: known.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def scratch(df: DataFrame, label: str, rows: int = 10_000) -> DataFrame:
+    """Cuts the lineage by writing a Parquet table in the shared folder.
+
+    The write's shuffle files go as soon as it has ended; ``rows`` bounds the
+    rows of an Arrow batch and BATCH_BYTES its size.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     schema = df.schema
-    df.write.parquet(path)
+    options = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+    }
+    with settings(spark, options):
+        df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.scratch_path = path
     return out
 
 
-def release(*tables: DataFrame, collect: bool = True) -> None:
-    """Deletes scratch tables that nothing reads any more, and lets Spark drop the shuffle files of finished jobs."""
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if collect:
-        spark._jvm.System.gc()
+        delete(table.sparkSession, table.scratch_path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, so that long texts keep Python memory bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def column(name: str) -> Column:
+    """The column of exactly this name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores as set it apart from ``taken``."""
+    low, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+

@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             jumped = scratch(jumped, "jump")
             moved = not jumped.where("pp is not null").isEmpty()
             old, hook = hook if hasattr(hook, "scratch_path") else jump_table, jumped.select("c", F.col("q").alias("p"))
-            release(old, collect=False)
+            release(old)
             jump_table = jumped
             if not moved:
                 break
@@ -48,6 +48,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         old_edges, e = e, scratch(
             ends.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct(), "edges"
         )
-        release(old_labels, old_edges, jump_table, collect=False)
-    release(e, collect=False)
+        release(old_labels, old_edges, jump_table)
+    release(e)
     return labels

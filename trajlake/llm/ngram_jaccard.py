@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read, release, scratch
+from .common import read, release, scratch
 from .components import connected_components
 from .wordhash import U, as_long, chunks, lists, mix, sets
 
@@ -195,7 +195,6 @@ def jaccard_components(
     are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     survey = scratch(
         plain.mapInArrow(_survey(words), "doc_id long, size long, node long, piece int, counts binary"), "survey"

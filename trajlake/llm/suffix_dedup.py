@@ -1,4 +1,4 @@
-"""Operator 5: passages repeated across documents, by sparse suffix arrays."""
+"""Operator 5: passages repeated across documents, by a sparse suffix array."""
 
 from __future__ import annotations
 
@@ -9,98 +9,183 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read, release, scratch
-from .wordhash import U, Words, _powers, as_long, chunks, lists, mix
+from .common import column, free_names, read, release, scratch
+from .wordhash import U, Words, _powers, as_long, chunks, mix
 
 #: A passage counts as repeated from so many words on.
 MIN_WORDS = 50
-#: Words hashed at a candidate suffix position.
+#: Words at a retained suffix that choose it and head its sort key.
 SEED_WORDS = 20
 
 
-def _suffixes(words: Words, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each ``length``-word window inside one row: its start, its minimiser's hash, its own hash.
+def _totals(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums from which the hash of any run of words follows, and the powers that align it."""
+    n = len(words.hash)
+    up, down = _powers(n + 1)
+    total = np.zeros(n + 1, dtype=U)
+    with np.errstate(over="ignore"):
+        np.cumsum(words.hash * up[:n], out=total[1:])
+    return total, down
+
+
+def _run_hash(total: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+
 
-    The minimiser is the least ``seed``-gram hash in the window (leftmost on
-    ties): a choice by content, so equal windows retain the same suffix.
+def _retained(words: Words, length: int, seed: int):
+    """The retained suffixes: (position, seed hash, first and last window start that chose it).
+
+    A window of ``length`` words chooses the position of its least ``seed``-gram
+    hash (leftmost on ties). That depends on the window's words only, so equal
+    windows choose equal suffixes; the windows that chose one are consecutive.
     """
     n = len(words.hash)
     windows = n - length + 1
+    none = np.zeros(0, np.int64)
     if windows <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
+        return none, np.zeros(0, U), none, none
     value, at = words.grams(seed)
     least = np.full(n, np.iinfo(np.uint64).max, dtype=U)
     least[at] = value
-    span, width = 1, length - seed + 1
+    where = np.arange(n)
+    best, span, width = where, 1, length - seed + 1
+    # best[i]: position of the least gram in [i, i + span)
     while span * 2 <= width:
-        least = np.minimum(least[:-span], least[span:])
+        a, b = best[: len(best) - span], best[span:]
+        best = np.where(least[b] < least[a], b, a)
         span *= 2
-    least = np.minimum(least[:windows], least[width - span : width - span + windows])
+    a, b = best[:windows], best[width - span : width - span + windows]
+    best = np.where(least[b] < least[a], b, a)
     start = np.flatnonzero(words.row[:windows] == words.row[length - 1 :])
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, dtype=U)
-    with np.errstate(over="ignore"):
-        np.cumsum(words.hash * up[:n], out=total[1:])
-        own = mix((total[start + length] - total[start]) * down[start])
-    return start, least[start], own
+    chosen = best[start]
+    new = np.ones(len(start), dtype=bool)
+    new[1:] = (chosen[1:] != chosen[:-1]) | (np.diff(start) > 1)
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(start)) - 1
+    return chosen[begin], least[chosen[begin]], start[begin], start[last[: len(begin)]]
 
 
-def _first_in_row(row: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """True where (row, value) is seen first, in order of position."""
-    order = np.lexsort((np.arange(len(row)), value, row))
-    again = np.zeros(len(row), dtype=bool)
-    r, v = row[order], value[order]
-    again[order[1:]] = (r[1:] == r[:-1]) & (v[1:] == v[:-1])
-    return ~again
+def _suffixes(length: int, seed: int):
+    """Rows of the suffix table: seed, hash of all words that its windows cover, document, covered windows."""
 
-
-def _seeds(length: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, words in chunks(batch.column(1)):
-                start, least, own = _suffixes(words, length, seed)
-                row = words.row[start]
-                keep = _first_in_row(row, least)
-                again = np.bincount(row[~_first_in_row(row, own)], minlength=hi - lo) > 0
+            for lo, _, words in chunks(batch.column(2)):
+                at, value, first, last = _retained(words, length, seed)
+                if not len(at):
+                    continue
+                total, down = _totals(words)
+                around = _run_hash(total, down, first, last + length)
+                around = mix(around ^ mix((at - first).astype(U) + U(length)))
+                row = words.row[at]
+                of = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo),
-                        pa.array(again),
-                        lists(np.bincount(row[keep], minlength=hi - lo), as_long(least[keep])),
+                        as_long(value),
+                        as_long(around),
+                        batch.column(0).take(of),
+                        batch.column(1).take(of),
+                        pa.array(first - words.first[row], pa.int32()),
+                        pa.array(last - first + 1, pa.int32()),
                     ],
-                    ["doc_id", "again", "seeds"],
+                    ["a", "b", "doc_id", "text_key", "at", "n"],
                 )
 
     return run
 
 
-def _windows(length: int, seed: int):
-    """(window hash, doc_id, first word); the hash is null where the document itself has it before."""
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares sorted neighbours: each row's run of equal (a, b), its head, and whether another run shares a.
+
+    A row behind the head of its run is returned with the head's document. A
+    head is returned if the run before or behind shares its a, or if its run
+    touches an end of the partition, where the neighbour isn't seen. ``edge``
+    tells the rows whose head may lie in an earlier partition, and the last head.
+    """
+    names = ["a", "b", "doc_id", "text_key", "at", "n", "kept", "again", "edge"]
+    carry: list | None = None  # head of the run at hand
+    sibling, edge = False, True  # does the run before it share a; is it the partition's first
+    for batch in batches:
+        rows = [batch.column(i).to_numpy() for i in range(6)]
+        if carry is not None:
+            rows = [np.concatenate((c, r)) for c, r in zip(carry, rows, strict=True)]
+        a, b, doc, text_key, at, _ = rows
+        if not len(a):
+            continue
+        new = np.ones(len(a), dtype=bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        begin, run = np.flatnonzero(new), np.cumsum(new) - 1
+        head = begin[run]
+        again = (doc != doc[head]) | (text_key != text_key[head]) | (at != at[head])
+        shared = np.zeros(len(begin), dtype=bool)  # with the run before
+        shared[0], shared[1:] = sibling, a[begin[1:]] == a[begin[:-1]]
+        first = np.zeros(len(begin), dtype=bool)
+        first[0] = edge
+        told = first[:-1] | shared[:-1] | shared[1:]  # the last run goes on
+        out = np.concatenate((np.flatnonzero(again), begin[:-1][told]))
+        columns = [*(r[out] for r in rows), doc[head[out]], again[out], first[run[out]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        carry = [r[begin[-1:]] for r in rows]
+        sibling, edge = bool(shared[-1]), bool(first[-1])
+    if carry is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*carry, carry[2], np.array([False]), np.array([True]))], names)
+
+
+_ROW = "a long, b long, doc_id long, text_key long, at int, n int"
+
+
+def _sorted_runs(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(again, heads, scratch table of both) of the rows sorted by (a, b, doc_id, text_key, at).
+
+    The rows are dealt by ranges of the whole key, so that one very common
+    key spans several tasks. Runs that go over the end of a partition are put
+    right by a table of two rows a partition at most: the run's first head.
+    """
+    order = ["a", "b", "doc_id", "text_key", "at"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    out = scratch(dealt.mapInArrow(_neighbours, f"{_ROW}, kept long, again boolean, edge boolean"), "runs")
+    own = F.struct("doc_id", "text_key", "at")
+    ends = out.where("edge and not again").groupBy("a", "b", "edge").agg(F.min(own).alias("true"))
+    fixed = out.join(F.broadcast(ends), ["a", "b", "edge"], "left")
+    fixed = fixed.withColumn("again", F.coalesce(F.col("true") != own, "again"))
+    fixed = fixed.withColumn("kept", F.coalesce("true.doc_id", "kept"))
+    again = fixed.where("again").select("doc_id", "text_key", "at", "n", "kept")
+    return again, fixed.where("not again").select("doc_id", "text_key", "at"), out
+
+
+def _extensions(length: int, seed: int):
+    """The windows around the asked suffixes: each way to extend one by ``length`` words in all, left and right."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-            wanted = np.unique(wanted)
-            ids = batch.column(0)
-            for lo, _, words in chunks(batch.column(1)):
-                start, least, own = _suffixes(words, length, seed)
-                row = words.row[start]
-                new = _first_in_row(row, own)
-                if len(wanted):
-                    at = np.minimum(np.searchsorted(wanted, least), len(wanted) - 1)
-                    keep = (wanted[at] == least) | ~new
-                else:
-                    keep = ~new
-                start, own, row, new = start[keep], own[keep], row[keep], new[keep]
-                if len(start):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(own.view(np.int64), mask=~new),
-                            ids.take(pa.array(row + lo)),
-                            pa.array(start - words.first[row], pa.int32()),
-                        ],
-                        ["window", "doc_id", "pos"],
-                    )
+            asked = batch.column(3)
+            for lo, hi, words in chunks(batch.column(2)):
+                at, value, first, last = _retained(words, length, seed)
+                total, down = _totals(words)
+                row = words.row[at]
+                counts = np.diff(asked.slice(lo, hi - lo).offsets.to_numpy())
+                width = int(words.count.max(initial=0)) + 1
+                wanted = np.repeat(np.arange(hi - lo), counts) * width + asked.slice(lo, hi - lo).flatten().to_numpy()
+                keep = np.isin(row * width + first - words.first[row], wanted)
+                first, last, value, row = first[keep], last[keep], value[keep], row[keep]
+                size = last - first + 1
+                start = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                if not len(start):
+                    continue
+                row = np.repeat(row, size)
+                of = pa.array(row + lo)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        as_long(np.repeat(value, size)),
+                        as_long(_run_hash(total, down, start, start + length)),
+                        batch.column(0).take(of),
+                        batch.column(1).take(of),
+                        pa.array(start - words.first[row], pa.int32()),
+                        pa.array(np.ones(len(start)), pa.int32()),
+                    ],
+                    ["a", "b", "doc_id", "text_key", "at", "n"],
+                )
 
     return run
 
@@ -111,24 +196,18 @@ def _spans(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, marks in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)
+            for doc, text_key, marks in keys:
                 flat = marks.values
-                pos = flat.field(0).to_numpy(zero_copy_only=False)
-                kept = flat.field(1).to_numpy(zero_copy_only=False)
-                order = np.argsort(pos, kind="stable")
-                pos, kept = pos[order], kept[order]
-                cut = np.flatnonzero(np.diff(pos) > length) + 1
-                for p, k in zip(np.split(pos, cut), np.split(kept, cut), strict=True):
-                    out.append((doc, int(p[0]), int(p[-1] - p[0] + length), np.unique(k).tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in out], pa.int64()),
-                    pa.array([x[1] for x in out], pa.int32()),
-                    pa.array([x[2] for x in out], pa.int32()),
-                    pa.array([x[3] for x in out], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "first_word", "n_words", "kept_doc_ids"],
-            )
+                at, n, kept = (flat.field(k).to_numpy() for k in range(3))
+                order = np.argsort(at, kind="stable")
+                at, end, kept = at[order], np.maximum.accumulate((at + n)[order] - 1 + length), kept[order]
+                cut = np.flatnonzero(at[1:] > end[:-1]) + 1
+                for p, e, k in zip(np.split(at, cut), np.split(end, cut), np.split(kept, cut), strict=True):
+                    out.append((doc, text_key, int(p[0]), int(e[-1] - p[0]), np.unique(k).tolist()))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            names = ["doc_id", "text_key", "first_word", "n_words", "kept_doc_ids"]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names)
 
     return run
 
@@ -140,66 +219,48 @@ def repeated_spans(
     length: int = MIN_WORDS,
     seed: int = SEED_WORDS,
 ) -> DataFrame:
-    """(doc_id, first_word, n_words, kept_doc_ids): what repeats earlier text, word for word (A-Z folded).
+    """(doc_id, text_key, first_word, n_words, kept_doc_ids): what repeats earlier text, word for word (A-Z folded).
 
     Every run of ``length`` words that an earlier document (smaller id), or the
     same one further up, holds too lies in a span; the first occurrence is in
-    none. Suffixes are kept at minimiser positions only (about one word in 16).
-    Suffix hashes found in a single document go first; around the others a
-    match is extended left and right by comparing the windows on the same
-    minimiser, each against the first document with that window, so a passage
-    in a third of all documents costs each of them its own length only. Spans
-    are maximal unions of such windows.
-
-    Null or short texts have no span. Rows with a null id are left out. Rows
-    that repeat an id count as one document, and the spans of each hold for
-    it. Other columns are ignored.
+    none. ``kept_doc_ids`` names documents that hold the span's words first.
+
+    Each window of ``length`` words retains one suffix, at its minimiser of
+    ``seed`` words (about one position in 16). Suffixes are sorted by seed, then
+    by the words around it as far as their windows reach. (1) Neighbours that
+    agree in both repeat each other whole: all but the first are marked.
+    (2) Neighbours that agree in the seed alone are extended left and right on
+    their texts: each way to reach ``length`` words is a row, these rows are
+    sorted and compared in the same way, and all but the first are marked.
+    Spans are unions of marked windows. Words are compared by two 64-bit hashes.
+
+    ``text_key`` is xxhash64 of the text: rows that repeat an id with other
+    text are documents of their own, those with equal text count as one. Null,
+    empty and short texts have no span. Rows with a null id are left out. Other
+    columns are ignored. An empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     plain = plain.where("doc_id is not null and text is not null")
-    found = scratch(plain.mapInArrow(_seeds(length, seed), "doc_id long, again boolean, seeds array<long>"), "seeds")
-    each = found.select("doc_id", F.explode("seeds").alias("seed"))
-    shared = each.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    hits = each.join(shared.select("seed"), "seed")
-    wanted = hits.groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-    itself = found.where("again").select("doc_id").distinct().withColumn("again", F.lit(True))
-    wanted = wanted.join(itself, "doc_id", "full").select(
-        "doc_id", F.coalesce("seeds", F.array().cast("array<long>")).alias("seeds")
-    )
-    windows = plain.join(wanted, "doc_id").select("doc_id", "text", "seeds")
-    windows = scratch(windows.mapInArrow(_windows(length, seed), "window long, doc_id long, pos int"), "windows")
-    release(found)
-    once = windows.where("window is not null")
-    first = once.groupBy("window").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("last"))
-    first = first.where("kept < last").select("window", "kept")
-    marks = once.join(first, "window").where("doc_id > kept").select("doc_id", "pos", "kept")
-    marks = marks.unionByName(
-        windows.where("window is null").select("doc_id", "pos", F.col("doc_id").alias("kept"))
-    )
-    by_doc = marks.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "kept")).alias("marks"))
-    spans = by_doc.mapInArrow(_spans(length), "doc_id long, first_word int, n_words int, kept_doc_ids array<long>")
-    spans = scratch(spans, "spans")
+    plain = plain.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    rows = scratch(plain.mapInArrow(_suffixes(length, seed), _ROW), "suffixes")
+    again, heads, runs = _sorted_runs(rows)
+    release(rows)
+    marks = scratch(again, "marks")
+    asked = scratch(heads.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("asked")), "asked")
+    release(runs)
+    found = plain.join(asked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "asked")
+    windows = scratch(found.mapInArrow(_extensions(length, seed), _ROW), "windows")
+    release(asked)
+    more, _, runs = _sorted_runs(windows)
     release(windows)
+    by_doc = marks.unionByName(more).groupBy("doc_id", "text_key")
+    by_doc = by_doc.agg(F.collect_list(F.struct("at", "n", "kept")).alias("marks"))
+    shape = "doc_id long, text_key long, first_word int, n_words int, kept_doc_ids array<long>"
+    spans = scratch(by_doc.mapInArrow(_spans(length), shape), "spans")
+    release(marks, runs)
     return spans
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text")
-        spans = batch.column("spans")
-        marked = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
-        if len(marked):
-            out = texts.to_pylist()
-            some = texts.take(pa.array(marked))
-            todo = spans.take(pa.array(marked)).to_pylist()
-            for lo, hi, words in chunks(some):
-                for i in range(hi - lo):
-                    out[marked[lo + i]] = _without(words, i, todo[lo + i])
-            batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, texts.type))
-        yield batch.drop_columns(["spans"])
-
-
 def _without(words: Words, i: int, spans: list[dict]) -> str:
     """Row i's text without the spans' words and the white space after each."""
     begin, end = int(words.offsets[i]), int(words.offsets[i + 1])
@@ -212,12 +273,39 @@ def _without(words: Words, i: int, spans: list[dict]) -> str:
     return b"".join(parts).decode()
 
 
-def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the spans' words taken out of ``text``; every row stays, untouched ones as they are."""
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans"))
-    return docs.join(by_doc, "doc_id", "left").select(*docs.columns, "spans").mapInArrow(_cut, docs.schema)
+def _cut(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column(text_col), batch.column("spans")
+            marked = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            if len(marked):
+                out = texts.to_pylist()
+                todo = spans.take(pa.array(marked)).to_pylist()
+                for lo, hi, words in chunks(texts.take(pa.array(marked))):
+                    for i in range(hi - lo):
+                        out[marked[lo + i]] = _without(words, i, todo[lo + i])
+                batch = batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(out, texts.type))
+            yield batch.drop_columns(["spans"])
+
+    return run
+
+
+def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the spans' words taken out of its text; every row stays, untouched ones as they are.
+
+    Spans hold for the rows of their id and text_key. Columns of any name stay.
+    """
+    ident, key, marks = free_names(docs.columns, "id", "key", "spans")
+    by_doc = spans.groupBy(F.col("doc_id").alias(ident), F.col("text_key").alias(key))
+    by_doc = by_doc.agg(F.collect_list(F.struct("first_word", "n_words")).alias(marks))
+    keyed = docs.withColumns({ident: column(id_col).cast("long"), key: F.xxhash64(column(text_col))})
+    # mapInArrow takes no dots in names: columns go through it by number.
+    numbered = [column(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    joined = keyed.join(by_doc, [ident, key], "left").select(*numbered, F.col(marks).alias("spans"))
+    text = f"c{docs.columns.index(text_col)}"
+    return joined.mapInArrow(_cut(text), joined.drop("spans").schema).toDF(*docs.columns)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of 50 words or more that repeat an earlier document, over all of ``documents``."""
-    return repeated_spans(read(spark, sf_dir, "documents"))
+    return repeated_spans(read(spark, sf_dir, "documents")).drop("text_key")
