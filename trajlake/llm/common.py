@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch: what a Python worker holds of its input at once, one longer row apart.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,7 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def scratch(df: DataFrame, label: str, rows: int = 10_000) -> DataFrame:
+def scratch(df: DataFrame, label: str, rows: int = 512) -> DataFrame:
     """Cuts the lineage by writing a Parquet table in the shared folder.
 
     The write's shuffle files go as soon as it has ended; ``rows`` bounds the

@@ -144,7 +144,7 @@ def _sorted_runs(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     order = ["a", "b", "doc_id", "text_key", "at"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    out = scratch(dealt.mapInArrow(_neighbours, f"{_ROW}, kept long, again boolean, edge boolean"), "runs")
+    out = scratch(dealt.mapInArrow(_neighbours, f"{_ROW}, kept long, again boolean, edge boolean"), "runs", rows=10_000)
     own = F.struct("doc_id", "text_key", "at")
     ends = out.where("edge and not again").groupBy("a", "b", "edge").agg(F.min(own).alias("true"))
     fixed = out.join(F.broadcast(ends), ["a", "b", "edge"], "left")
