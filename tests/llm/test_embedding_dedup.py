@@ -46,3 +46,21 @@ def test_empty_repeated_null(spark):
     got = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in near_vectors(df).collect())
     assert got == [(0, 2, 1), (1, 2, 1), (1, 2, 1), (5, 1, 5), (6, 1, 5)]
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_recall_at_the_defaults(spark):
+    """All of a table, in two multiples of its size, with the parameters that its number of rows gives."""
+    one = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    data = [(r.vec_id, r.embedding) for r in one.collect()]
+    unit = np.array([np.array(v, float) / np.linalg.norm(v) for _, v in data])
+    want = dict(zip([k for k, _ in data], (unit @ unit.T >= 0.9).sum(axis=1) - 1, strict=True))
+    got = {r.vec_id: r.n_links for r in near_vectors(one).collect()}
+    assert all(got[k] <= want[k] for k in want)
+    assert sum(got.values()) >= 0.97 * sum(want.values())
+
+
+def test_tables_follow_the_number_of_vectors():
+    for n in (0, 1, 10**3, 10**6, 10**9, 10**12):
+        bits, tables = op.tables_for(n, 0.9)
+        assert n / 2**bits <= op.BUCKET or bits == 24
+        assert tables == 255 or 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables >= op.RECALL

@@ -1,8 +1,9 @@
+import math
 import zlib
 
 import numpy as np
 
-from trajlake.llm.quality import THRESHOLD, fit_quality, op10_quality, passages, score_quality
+from trajlake.llm.quality import FEATURES, THRESHOLD, AttentionModel, fit_quality, op10_quality, passages, score_quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,3 +38,50 @@ def test_every_passage_is_encoded():
     found = [(lo, row.tolist(), x) for lo, _, row, x in passages(texts)]
     assert [r for _, rows, _ in found for r in rows] == [0, 0, 0, 1, 2, 3]
     assert not found[0][2][3].any()
+
+
+def small_model(seed=0):
+    rng = np.random.default_rng(seed)
+    sizes = {"mean": (FEATURES,), "scale": (FEATURES,), "W": (FEATURES, 4), "b": (4,), "V": (4, 3), "bv": (3,), "U": (4, 3),
+             "bu": (3,), "w": (3,), "c": (4,), "c0": (1,)}
+    w = {k: rng.normal(size=n) for k, n in sizes.items()}
+    w["scale"] = 1 + np.abs(w["scale"])
+    row = np.array([0, 0, 0, 1, 2, 2])
+    return AttentionModel(w), rng.normal(size=(6, FEATURES)), row
+
+
+def test_score_equals_plain_loops():
+    model, x, row = small_model()
+    w, got = model.w, model.score(x, row, 3)
+    for doc in range(3):
+        energy, hidden = [], []
+        for k in np.flatnonzero(row == doc):
+            u = [(x[k, f] - w["mean"][f]) / w["scale"][f] for f in range(FEATURES)]
+            h = [math.tanh(sum(u[f] * w["W"][f, j] for f in range(FEATURES)) + w["b"][j]) for j in range(4)]
+            gate = lambda m, b, q, h=h: sum(h[j] * w[m][j, q] for j in range(4)) + w[b][q]
+            energy.append(sum(math.tanh(gate("V", "bv", q)) / (1 + math.exp(-gate("U", "bu", q))) * w["w"][q] for q in range(3)))
+            hidden.append(h)
+        total = sum(math.exp(e) for e in energy)
+        mean = [sum(math.exp(e) / total * h[j] for e, h in zip(energy, hidden)) for j in range(4)]
+        want = 1 / (1 + math.exp(-sum(m * c for m, c in zip(mean, w["c"])) - w["c0"][0]))
+        assert abs(got[doc] - want) < 1e-12
+
+
+def test_gradient_equals_finite_differences():
+    model, x, row = small_model(1)
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([0.2, 0.5, 0.3])
+
+    def loss():
+        p = model.score(x, row, 3)
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+
+    for name, slope in model.gradient(x, row, y, weight).items():
+        value = model.w[name]
+        for at in list(np.ndindex(value.shape))[:40]:
+            keep, step = value[at], 1e-6
+            value[at] = keep + step
+            up = loss()
+            value[at] = keep - step
+            down = loss()
+            value[at] = keep
+            assert abs((up - down) / (2 * step) - slope[at]) < 1e-6

@@ -146,7 +146,8 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", ids_col: st
     replaced. One row a row: no shuffle.
     """
     out = docs.drop(ids_col)
-    schema = out.withColumn(ids_col, F.lit(None).cast("array<int>")).schema
+    flat = out.toDF(*(f"c{k}" for k in range(len(out.columns))))
+    schema = flat.withColumn("made", F.lit(None).cast("array<int>")).schema
     at = out.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,24 +155,25 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", ids_col: st
         for batch in batches:
             ids = [coder.encode(t or "") for t in batch.column(at).to_pylist()]
             columns = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, ids_col])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "made"])
 
-    return out.mapInArrow(run, schema)
+    return flat.mapInArrow(run, schema).toDF(*out.columns, ids_col)
 
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` with the text of the ids (null: empty); ids past the vocabulary's last raise."""
     out = rows.drop(text_col)
-    schema = out.withColumn(text_col, F.lit(None).cast("string")).schema
+    flat = out.toDF(*(f"c{k}" for k in range(len(out.columns))))
+    schema = flat.withColumn("made", F.lit(None).cast("string")).schema
     at = out.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
         for batch in batches:
             texts = [coder.decode(x or []) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "made"])
 
-    return out.mapInArrow(run, schema)
+    return flat.mapInArrow(run, schema).toDF(*out.columns, text_col)
 
 
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

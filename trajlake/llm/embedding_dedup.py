@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,16 +11,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, scratch
+from .common import column, read, release, scratch
 from .components import connected_components
 
-#: Sign bits a table and number of tables: a pair at cosine 0.9 meets in some table with probability 0.98.
-BITS, TABLES = 12, 24
+#: A pair at the threshold meets in some table with this probability, closer pairs with more.
+RECALL = 0.98
+#: Vectors that share a bucket on average, were they spread evenly: the sign bits of a table follow.
+BUCKET = 512
 #: Vectors of a bucket that are compared in one piece; larger buckets are dealt as pairs of pieces.
 PIECE = 2048
 SEED = 20240229
 
 
+def tables_for(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """(sign bits a table, tables) for ``n`` vectors.
+
+    Bits grow with log2 n, so that a bucket's size and the comparisons a
+    vector has don't. Two vectors at the threshold agree in a sign with
+    probability 1 - angle / pi; so many tables make up for all bits agreeing.
+    """
+    bits = min(24, max(4, math.ceil(math.log2(max(n, 1) / BUCKET))))
+    meet = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    if meet >= 1:
+        return bits, 1
+    return bits, min(255, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))) if meet > 0 else 255
+
+
 def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((dim, bits * tables))
 
@@ -88,6 +105,17 @@ def _pieces(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Re
         yield held
 
 
+def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the trees of each pair; ``root`` stays flat, the least number of a tree being its root."""
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(flat := root[root], root):
+            root[:] = flat
+
+
 def _compare(threshold: float, bits: int):
     """Links inside a piece or between two: per vector how many, and a forest of links.
 
@@ -111,13 +139,6 @@ def _compare(threshold: float, bits: int):
             left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
             count = np.zeros(len(ids), dtype=np.int64)
             root = np.arange(len(ids))
-
-            def find(i: int, root=root) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
             for a in range(0, len(left), 256):
                 rows = left[a : a + 256]
                 near = unit[rows] @ unit[right].T >= threshold
@@ -132,16 +153,13 @@ def _compare(threshold: float, bits: int):
                     i, j = i[new], j[new]
                 np.add.at(count, i, copies[j])
                 np.add.at(count, j, copies[i])
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    x, y = find(x), find(y)
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
+                _merge(root, i, j)
             touched = np.flatnonzero(count)
             if len(touched):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[touched]),
-                        pa.array(ids[[find(x) for x in touched]]),
+                        pa.array(ids[root[touched]]),
                         pa.array(count[touched]),
                     ],
                     ["id", "other", "links"],
@@ -155,14 +173,14 @@ def near_vectors(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     threshold: float = 0.9,
-    bits: int = BITS,
-    tables: int = TABLES,
+    bits: int | None = None,
+    tables: int | None = None,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
     Equal vectors are one class and are looked up once. Class vectors are
     hashed by the signs of ``bits`` random projections in each of ``tables``
-    tables; those that meet are compared by exact cosine in double precision,
+    tables (without them, as ``tables_for`` says for their number); those that meet are compared by exact cosine in double precision,
     so no link is below the threshold and links well above it are all found.
     A bucket of more than PIECE vectors is dealt as pairs of pieces, so a task
     holds two pieces at most, and gives counts and a spanning forest instead
@@ -174,14 +192,16 @@ def near_vectors(
     name of a component with others. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    v = F.col(vector_col).cast("array<double>")
+    v = column(vector_col).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda x: x != 0)
     # -0.0 becomes 0.0, so equal vectors are equal keys
-    plain = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x + 0.0).alias("v"))
+    plain = vectors.select(column(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x + 0.0).alias("v"))
     plain = scratch(plain.withColumn("ok", F.coalesce(usable, F.lit(False))), "vectors")
     classes = plain.where("ok").groupBy("v").agg(F.min("vec_id").alias("name"), F.count(F.lit(1)).alias("copies"))
     classes = scratch(classes.withColumn("id", F.xxhash64("v")), "classes")
+    if bits is None or tables is None:
+        bits, tables = tables_for(classes.count(), threshold)
     source = classes.select("id", "v", "copies")
     buckets = source.mapInArrow(_place(bits, tables, False), "bucket long")
     # At most tables * 2**bits rows a vector length, whatever the number of vectors.
@@ -206,6 +226,7 @@ def near_vectors(
         about.select("v", "name", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root")),
         "about",
     )
+    release(classes, found, labels)
     least = about.groupBy("root").agg(F.min("name").alias("component"))
     about = about.join(least, "root").select(F.col("v").alias("w"), "copies", "links", "component")
     out = plain.join(about, (F.col("v") == F.col("w")) & F.col("ok"), "left")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, release, scratch
+from .common import column, read, release, scratch
 from .components import connected_components
 from .wordhash import U, as_long, chunks, lists, mix, sets
 
@@ -43,12 +43,13 @@ def _survey(n: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, m),
+                        batch.column(2).slice(lo, m),
                         pa.array(size, pa.int64()),
                         as_long(_digest(row, value, m)),
                         pa.nulls(m, pa.int32()),
                         pa.nulls(m, pa.binary()),
                     ],
-                    ["doc_id", "size", "node", "piece", "counts"],
+                    ["doc_id", "text_key", "size", "node", "piece", "counts"],
                 )
         pieces = [
             (i, part.astype("<i8").tobytes())
@@ -58,13 +59,11 @@ def _survey(n: int):
         k = len(pieces)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.nulls(k, pa.int64()),
-                pa.nulls(k, pa.int64()),
-                pa.nulls(k, pa.int64()),
+                *(pa.nulls(k, pa.int64()) for _ in range(4)),
                 pa.array([i for i, _ in pieces], pa.int32()),
                 pa.array([b for _, b in pieces], pa.binary()),
             ],
-            ["doc_id", "size", "node", "piece", "counts"],
+            ["doc_id", "text_key", "size", "node", "piece", "counts"],
         )
 
     return run
@@ -175,7 +174,7 @@ def jaccard_components(
     num: int = 80,
     den: int = 100,
 ) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) for every row of ``docs``.
+    """(doc_id, text_key, n_shingles, class_id, component_id) for every row of ``docs``.
 
     Documents link when ``den * |A & B| >= num * |A | B|`` over their sets of
     ``words``-word shingles; component_id is the smallest id reachable. Equal
@@ -191,16 +190,17 @@ def jaccard_components(
 
     Null or wordless texts have no shingle and link with nothing. A row with a
     null id joins the class of equal sets but is never its name, and alone it
-    links with nothing. Rows that repeat an id keep a row each. Other columns
-    are ignored. An empty table gives no rows.
+    links with nothing. Rows that repeat an id keep a row each, told apart by
+    ``text_key``, xxhash64 of the text. Other columns are ignored. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey = scratch(
-        plain.mapInArrow(_survey(words), "doc_id long, size long, node long, piece int, counts binary"), "survey"
-    )
+    plain = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    keyed = plain.withColumn("text_key", F.xxhash64("text"))
+    shape = "doc_id long, text_key long, size long, node long, piece int, counts binary"
+    survey = scratch(keyed.mapInArrow(_survey(words), shape), "survey")
     rank = spark.sparkContext.broadcast(_order(survey))
-    every = scratch(survey.where("piece is null").select("doc_id", "size", "node"), "sizes")
+    every = scratch(survey.where("piece is null").select("doc_id", "text_key", "size", "node"), "sizes")
     release(survey)
     classes = scratch(every.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("class_id")), "classes")
 
@@ -295,6 +295,7 @@ def jaccard_components(
         every.join(named.withColumnRenamed("node", "n"), (F.col("node") == F.col("n")) & (F.col("size") > 0), "left")
         .select(
             "doc_id",
+            "text_key",
             F.col("size").alias("n_shingles"),
             F.coalesce("class_id", "doc_id").alias("class_id"),
             F.coalesce("component_id", "doc_id").alias("component_id"),

@@ -16,6 +16,8 @@ from .wordhash import Words, chunks
 PASSAGE_WORDS = 64
 #: At most so many labelled documents of each class are used to fit (the bound of the training sample).
 FIT_DOCS = 2000
+#: At most so many passages of a document, evenly spaced, are used to fit; all are scored.
+FIT_PASSAGES = 256
 #: A document is kept from this score on.
 THRESHOLD = 0.7
 HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 24, 12, 220, 0.02, 1e-4
@@ -104,6 +106,22 @@ class AttentionModel:
     def score(self, x: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         return self._forward(x, row, rows)[-1]
 
+    def gradient(self, x: np.ndarray, row: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Slope of the weighted logistic loss of documents in each fitted parameter."""
+        w, rows = self.w, len(y)
+        h, t, s, a, z, p = self._forward(x, row, rows)
+        d = (p - y) * weight
+        dzp = (d[:, None] * w["c"])[row]
+        da = (h * dzp).sum(axis=1)
+        de = a * (da - np.bincount(row, a * da, minlength=rows)[row])
+        dt = de[:, None] * w["w"] * s * (1 - t * t)
+        ds = de[:, None] * w["w"] * t * s * (1 - s)
+        dh = (a[:, None] * dzp + dt @ w["V"].T + ds @ w["U"].T) * (1 - h * h)
+        return {
+            "W": ((x - w["mean"]) / w["scale"]).T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "bv": dt.sum(axis=0),
+            "U": h.T @ ds, "bu": ds.sum(axis=0), "w": (t * s).T @ de, "c": z.T @ d, "c0": np.array([d.sum()]),
+        }
+
     @classmethod
     def fit(cls, x: np.ndarray, row: np.ndarray, y: np.ndarray, weight: np.ndarray) -> AttentionModel:
         """Full-batch Adam on the weighted logistic loss; the same input gives the same model."""
@@ -121,19 +139,7 @@ class AttentionModel:
         weight = weight / weight.sum()
         scaled = (x - fixed["mean"]) / fixed["scale"]
         for step in range(1, EPOCHS + 1):
-            h, t, s, a, z, p = model._forward(x, row, rows)
-            d = (p - y) * weight
-            dz = d[:, None] * w["c"]
-            dzp = dz[row]
-            da = (h * dzp).sum(axis=1)
-            de = a * (da - np.bincount(row, a * da, minlength=rows)[row])
-            dt = de[:, None] * w["w"] * s * (1 - t * t)
-            ds = de[:, None] * w["w"] * t * s * (1 - s)
-            dh = (a[:, None] * dzp + dt @ w["V"].T + ds @ w["U"].T) * (1 - h * h)
-            grad = {
-                "W": scaled.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "bv": dt.sum(axis=0), "U": h.T @ ds,
-                "bu": ds.sum(axis=0), "w": (t * s).T @ de, "c": z.T @ d, "c0": np.array([d.sum()]),
-            }
+            grad = model.gradient(x, row, y, weight)
             for k in w:
                 grad[k] = grad[k] + DECAY * w[k]
                 first[k] = 0.9 * first[k] + 0.1 * grad[k]
@@ -151,7 +157,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, row, x in passages(batch.column(3)):
             cut = np.searchsorted(row, np.arange(hi - lo + 1))
-            data = [x[a:b].astype("<f4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            some = lambda a, b: np.unique(np.linspace(a, b - 1, min(b - a, FIT_PASSAGES)).astype(np.int64))
+            data = [x[some(a, b)].astype("<f4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:3], pa.array(data, pa.binary())], ["doc_id", "label", "weight", "bag"]
@@ -166,13 +173,14 @@ def fit_quality(
     label_col: str = "quality",
     fit_docs: int = FIT_DOCS,
 ) -> AttentionModel:
-    """The model fitted on at most ``fit_docs`` labelled documents of each class, all passages of each.
+    """The model fitted on at most ``fit_docs`` labelled documents of each class, FIT_PASSAGES passages of each.
 
     Documents with crc32(id) mod 4 = 2 are held out. The sample is the ids of
     least hash; weights restore the classes' shares. Only that bounded sample
     is broadcast and only its passage features reach the driver. Labels other
     than 0 and 1, null ids and ids without a document are passed over; ids
-    labelled twice count twice. Without any label the score is 0.5.
+    labelled twice count twice, and of texts that repeat an id the least is
+    used. Without any label the score is 0.5.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -186,7 +194,8 @@ def fit_quality(
     if some is None:
         return AttentionModel(_neutral())
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bags = plain.join(F.broadcast(some), "doc_id").select("doc_id", "label", "weight", "text")
+    some = some.groupBy("doc_id", "label").agg(F.sum("weight").alias("weight"))
+    bags = plain.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text"))
     rows = bags.mapInArrow(_bags, "doc_id long, label int, weight double, bag binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, bytes(r.bag)))
     if not rows:
@@ -217,8 +226,10 @@ def score_quality(docs: DataFrame, model: AttentionModel, text_col: str = "text"
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model.w)
     out = docs.drop(score_col)
-    schema = out.withColumn(score_col, F.lit(None).cast("double")).schema
     at = out.columns.index(text_col)
+    # mapInArrow takes no dots in names: columns go through it by number.
+    flat = out.toDF(*(f"c{k}" for k in range(len(out.columns))))
+    schema = flat.withColumn("score", F.lit(None).cast("double")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = AttentionModel(shared.value)
@@ -226,9 +237,9 @@ def score_quality(docs: DataFrame, model: AttentionModel, text_col: str = "text"
             score = np.zeros(batch.num_rows)
             for lo, hi, row, x in passages(batch.column(at)):
                 score[lo:hi] = scorer.score(x.astype("<f4").astype(float), row, hi - lo)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
 
-    return out.mapInArrow(run, schema)
+    return flat.mapInArrow(run, schema).toDF(*out.columns, score_col)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
