@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import parts, read
 
 #: Pretokens kept with their ids; a full cache is emptied.
 CACHE = 600_000
@@ -152,7 +152,7 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", ids_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
-        for batch in batches:
+        for batch in parts(batches):
             ids = [coder.encode(t or "") for t in batch.column(at).to_pylist()]
             columns = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "made"])
@@ -169,7 +169,7 @@ def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
-        for batch in batches:
+        for batch in parts(batches):
             texts = [coder.decode(x or []) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "made"])
 
@@ -181,7 +181,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
-        for batch in batches:
+        for batch in parts(batches):
             counts, ids_hex, text_hex = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = coder.encode(text or "")

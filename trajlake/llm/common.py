@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,13 @@ def release(*tables: DataFrame) -> None:
         delete(table.sparkSession, table.scratch_path)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in runs of few rows, for work that makes Python objects of each row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def column(name: str) -> Column:
     """The column of exactly this name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

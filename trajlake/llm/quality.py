@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import parts, read
 from .wordhash import Words, chunks
 
 #: Words of a passage; the last one of a text may be shorter.
@@ -233,7 +233,7 @@ def score_quality(docs: DataFrame, model: AttentionModel, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = AttentionModel(shared.value)
-        for batch in batches:
+        for batch in parts(batches):
             score = np.zeros(batch.num_rows)
             for lo, hi, row, x in passages(batch.column(at)):
                 score[lo:hi] = scorer.score(x.astype("<f4").astype(float), row, hi - lo)

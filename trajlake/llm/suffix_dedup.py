@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, free_names, read, release, scratch
+from .common import column, free_names, parts, read, release, scratch
 from .wordhash import U, Words, _powers, as_long, chunks, mix
 
 #: A passage counts as repeated from so many words on.
@@ -275,7 +275,7 @@ def _without(words: Words, i: int, spans: list[dict]) -> str:
 
 def _cut(text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts, spans = batch.column(text_col), batch.column("spans")
             marked = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
             if len(marked):
