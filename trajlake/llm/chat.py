@@ -24,8 +24,8 @@ def canonical(json: Column) -> Column:
     Null if it isn't JSON, or holds a number beyond double precision: that
     would become a text that the document doesn't have.
     """
-    text = F.to_json(F.try_parse_json(json))
-    return F.when(F.regexp_count(text, F.lit(_INFINITE)) <= F.regexp_count(json, F.lit(_INFINITE)), text)
+    infinite = lambda text: F.regexp_count(text, F.lit(_INFINITE))
+    return _let(F.to_json(F.try_parse_json(json)), lambda text: F.when(infinite(text) <= infinite(json), text))
 
 
 def schema_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
@@ -40,17 +40,29 @@ def schema_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
     """
     errors = F.array(F.lit("unknown_tool"))
     for tool, schema in schemas.items():
-        errors = F.when(name == tool, _fits(canonical(arguments), schema)).otherwise(errors)
+        errors = F.when(name == tool, _checked(arguments, schema)).otherwise(errors)
     return errors
 
 
+def _checked(arguments: Column, schema: dict) -> Column:
+    return _let(canonical(arguments), lambda text: _fits(text, schema))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _within(parameter: str, codes: Column) -> Column:
     return F.transform(codes, lambda code: F.concat(F.lit(f"{parameter}."), code))
 
 
 def _fits(document: Column, schema: dict) -> Column:
-    """Array of what is wrong with a canonical document."""
-    value = F.try_parse_json(document)
+    """Array of what is wrong with a canonical document, which is parsed once."""
+    return _let(F.try_parse_json(document), lambda value: _problems(document, value, schema))
+
+
+def _problems(document: Column, value: Column, schema: dict) -> Column:
     props, found, inner = schema.get("properties", {}), [], []
     for p, kind in sorted(props.items()):
         path = f"$['{p}']"
