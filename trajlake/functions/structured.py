@@ -15,61 +15,117 @@ from .text import let
 _CALL = r"(?s)<tool_call>\s*<function=([^>]+)>(.*?)</function>\s*</tool_call>"
 _PARAMETER = r"(?s)<parameter=([^>]+)>(.*?)</parameter>"
 
-_MEMBER = re.compile(r'(?m)^([^\S\n]*)"([^"\\\n]+)"[^\S\n]*:[^\S\n]*(\S.*?)?[^\S\n]*$')
-_SCALAR = re.compile(r"-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?|true|false|null")
-#: A member, or a closed object or list, whose next line starts another member.
-_NO_COMMA = re.compile(r'(?m)^(?=[^\S\n]*(?:"[^"\\\n]+"[^\S\n]*:|[}\]][^\S\n]*$))(.*[^,{\[\s])[^\S\n]*\n(?=\s*"[^"\\\n]+"\s*:)')
-_SUFFIXES = 64
+#: Fixed value: a JSON scalar that stands for itself.
+_SCALAR = re.compile(r"(?:-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)\Z")
+_STRICT = json.JSONDecoder()
 
 
-def _quoted(member: re.Match) -> str:
-    indent, name, value = member.group(1), member.group(2), member.group(3) or ""
-    bare = value.removesuffix(",").rstrip()
-    if bare and bare[0] not in '"{[' and not _SCALAR.fullmatch(bare):
-        bare = json.dumps(bare, ensure_ascii=False)
-    return f'{indent}"{name}": {bare}{"," if value.endswith(",") else ""}'
+class _Tolerant:
+    """Reads one JSON object of a text that a model wrote.
 
+    Beside JSON it takes: a comma before a closing bracket; no comma where the
+    next member starts a line of its own; and, for a member that has its line
+    to itself, a bare value up to the end of that line, which becomes a string.
+    """
 
-def repair_json(text: str) -> str:
-    """Quotes bare values, adds commas between members on lines of their own, drops trailing commas."""
-    quoted = _MEMBER.sub(_quoted, text.strip())
-    return re.sub(r",\s*([}\]])", r"\1", _NO_COMMA.sub(r"\1,\n", quoted))
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def _skip(self) -> str:
+        """Passes white space and tells the character behind it."""
+        while self.at < len(self.text) and self.text[self.at].isspace():
+            self.at += 1
+        return self.text[self.at : self.at + 1]
+
+    def _take(self, wanted: str) -> bool:
+        if self._skip() != wanted:
+            return False
+        self.at += 1
+        return True
+
+    def _item(self):
+        value, self.at = _STRICT.raw_decode(self.text, self.at)
+        return value
+
+    def value(self):
+        kind = self._skip()
+        if kind == "{":
+            return self.object()
+        if kind == "[":
+            return self.list()
+        return self._item()
+
+    def list(self) -> list:
+        self.at += 1
+        out: list = []
+        while not self._take("]"):
+            out.append(self.value())
+            if not self._take(",") and self._skip() != "]":
+                raise ValueError("no comma in a list")
+        return out
+
+    def object(self) -> dict:
+        self.at += 1
+        out: dict = {}
+        while not self._take("}"):
+            self._skip()
+            own_line = not self.text[self.text.rfind("\n", 0, self.at) + 1 : self.at].strip()
+            name = self._item()
+            if not isinstance(name, str) or not self._take(":"):
+                raise ValueError("no member")
+            out[name] = self._member() if own_line else self.value()
+            before = self.at
+            if not self._take(",") and self._skip() != "}" and "\n" not in self.text[before : self.at]:
+                raise ValueError("no comma between members of a line")
+        return out
+
+    def _member(self):
+        """A value, or the rest of the line where that isn't one."""
+        stop = self.text.find("\n", self.at)
+        stop = len(self.text) if stop < 0 else stop
+        rest = self.text[self.at : stop].strip()
+        bare = rest.removesuffix(",").rstrip()
+        if not bare or bare[0] in '"{[' or _SCALAR.match(bare):
+            return self.value()
+        self.at = self.text.rindex(",", 0, stop) if rest.endswith(",") else stop
+        return bare
 
 
 def _relaxed(text: str) -> dict | None:
-    for form in (text, repair_json(text)):
-        for load in (json.loads, ast.literal_eval):
-            try:
-                value = load(form)
-            except (ValueError, SyntaxError, MemoryError, RecursionError):
-                continue
-            if isinstance(value, dict):
-                return value
-            break
-    return None
+    """The object that is the whole of ``text``: as JSON or as a Python literal, else read with tolerance."""
+    try:
+        value = ast.literal_eval(text.strip())
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        value = None
+    if isinstance(value, dict):
+        return value
+    reader = _Tolerant(text)
+    try:
+        value = reader.value()
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) and not reader._skip() else None
 
 
 def last_object(text: str | None) -> dict | None:
-    """The JSON object that ends last in ``text``, the widest of those; a malformed one at the last brace is repaired."""
+    """The JSON object that ends last in ``text``, the widest of those; a malformed one at the last brace is read with tolerance."""
     if not text:
         return None
-    starts = [m.start() for m in re.finditer(r"\{", text)]
-    best: tuple[int, int, dict] | None = None
-    decoder = json.JSONDecoder()
-    for at in starts:
+    found, end, at = None, 0, text.find("{")
+    while at >= 0:
         try:
-            value, end = decoder.raw_decode(text, at)
+            found, end = _STRICT.raw_decode(text, at)
+            at = text.find("{", end)  # what lies inside ends earlier
         except (ValueError, RecursionError):
-            continue
-        if best is None or end > best[0]:
-            best = end, at, value
+            at = text.find("{", at + 1)
     last = text.rfind("}") + 1
-    if best is None or best[0] != last:
-        for at in [s for s in starts if s < last][-_SUFFIXES:]:
-            value = _relaxed(text[at:last].lstrip("\ufeff"))
-            if value is not None:
-                return value
-    return best and best[2]
+    at = text.find("{") if end < last else -1
+    while 0 <= at < last:
+        whole = _relaxed(text[at:last])
+        if whole is not None:
+            return whole
+        at = text.find("{", at + 1)
+    return found
 
 
 def _canonical(text: str | None) -> str | None:

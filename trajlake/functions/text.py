@@ -18,13 +18,30 @@ _COMPRESS = {
     "lzma": lambda raw, level: lzma.compress(raw, preset=level),
 }
 
-#: Leakage patterns are looked for without case.
+#: What a public card must not tell, by name of the leak.
 LEAKAGE = {
-    "url": r"(?i)https?://",
-    "hash": r"(?i)\b[0-9a-f]{40}\b",
-    "issue": r"(?i)\b(?:issue|pr)\s*#\d+",
+    "node_id": r"(?i)\bnode[-_ ]?id\b",
+    "terminal reward": r"(?i)\b(?:terminal|ground[- ]truth|gt)[-_ ]?rewards?\b",
+    "hidden test": r"(?i)\bhidden tests?\b",
+    "golden patch": r"(?i)\bgolden (?:patch|solution)\b",
+    "experiment identity": r"(?i)\b(?:this|the) experiment\b|\bv\d{2,3}\b",
+    "instance identity": r"(?i)\binstance[-_ ]?id\b",
 }
 
+#: Fixed value: a script name whose counter before .py is generated; the name without it is group 1.
+COUNTER = r"(?i)\b((?:debug|test|issue|apply[_-]?fix|fix|script|attempt|try)(?:[_-][a-z]+)*[_-]?)\d+(?=\.py\b)"
+
+#: Phrasings that name a choice, looked for in this order.
+CHOICES = [
+    r"(?i)(?:answer|option|choice)\s*(?:is|:)?\s*([A-Z])",
+    r"(?i)([A-Z])\s*(?:is\s*(?:the)?\s*correct)",
+    r"(?i)final\s*(?:answer|option)\s*(?:is|:)?\s*([A-Z])",
+]
+
+#: The mark of a cut text, and the characters of a label.
+TRUNCATED = "\n[... Observation truncated due to length ...]\n"
+LABEL = r"[^A-Za-z0-9_.:/-]+"
+
 
 def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
@@ -72,18 +89,20 @@ def phrase_match(phrase: Column, view: Column) -> Column:
 
 
 def stem(token: Column) -> Column:
-    """Without a plural s, then without one of ing, ed, es, where enough letters stay."""
-    plural = (F.length(token) > 3) & token.endswith("s") & ~token.endswith("ss")
-    base = F.when(plural, F.left(token, F.length(token) - 1)).otherwise(token)
-    out = base
-    for suffix in reversed(("ing", "ed", "es")):
-        n = len(suffix)
-        out = F.when(base.endswith(suffix) & (F.length(base) > n + 3), F.left(base, F.length(base) - n)).otherwise(out)
-    return out
+    """Lower case without ./:-_ at the ends, without a plural s (five letters or more), then without one of ing, ed, es."""
+    bare = F.regexp_replace(F.lower(token), r"^[./:_-]+|[./:_-]+$", "")
+
+    def cut(v: Column) -> Column:
+        found = v
+        for suffix in ("es", "ed", "ing"):
+            found = F.when(v.endswith(suffix) & (F.length(v) > len(suffix) + 3), F.left(v, F.length(v) - len(suffix))).otherwise(found)
+        return found
+
+    return let(let(bare, lambda v: F.when(v.endswith("s") & (F.length(v) > 4), F.left(v, F.length(v) - 1)).otherwise(v)), cut)
 
 
 def leakage_errors(text: Column) -> Column:
-    found = [F.when(text.rlike(p), F.lit(f"leakage:{name}")) for name, p in LEAKAGE.items()]
+    found = [F.when(text.rlike(p), F.lit(f"public leakage: {name}")) for name, p in LEAKAGE.items()]
     return F.array_compact(F.array(*found))
 
 
@@ -93,34 +112,89 @@ def normalize_answer(text: Column) -> Column:
     return squeeze(F.regexp_replace(t, r"\b(a|an|the)\b", " "))
 
 
-def f1(prediction: Column, truth: Column) -> Column:
-    """Token-multiset F1 of normalised answers; a closed answer (yes, no, noanswer) must be equal."""
-    p, t = normalize_answer(prediction), normalize_answer(truth)
+def token_overlap(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two token arrays, by runs of the sorted arrays."""
+    numbered = lambda xs: let(F.array_sort(xs), lambda s: F.transform(s, lambda x, i: F.struct(x.alias("t"), (i - F.array_position(s, x)).alias("k"))))
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
+
+
+def f1_parts(prediction: Column, truth: Column) -> Column:
+    """struct(f1, precision, recall) of normalised answers as token multisets; a closed answer (yes, no, noanswer) must be equal.
+
+    Null or without common tokens: zeros.
+    """
     closed = ["yes", "no", "noanswer"]
-    a, b = F.array_remove(F.split(p, " "), ""), F.array_remove(F.split(t, " "), "")
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    both = F.aggregate(
-        F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x))
-    )
-    score = F.when(both == 0, 0.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
-    return F.when((p != t) & (p.isin(closed) | t.isin(closed)), 0.0).otherwise(score)
+    result = lambda f, p, r: F.struct(f.alias("f1"), p.alias("precision"), r.alias("recall"))
+    none = result(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    words = lambda t: F.array_remove(F.split(t, " "), "")
 
+    def score(x: Column) -> Column:
+        p, r = F.try_divide(x["both"], F.size(x["a"])), F.try_divide(x["both"], F.size(x["b"]))
+        return F.when(x["both"] > 0, result(2.0 * x["both"] / (F.size(x["a"]) + F.size(x["b"])), p, r)).otherwise(none)
 
-def exact_match(prediction: Column, golds: Column) -> Column:
-    return F.exists(golds, lambda g: normalize_answer(g) == normalize_answer(prediction))
+    def compare(x: Column) -> Column:
+        parts = F.struct(words(x["p"]).alias("a"), words(x["t"]).alias("b"))
+        both = let(parts, lambda y: F.struct(y["a"].alias("a"), y["b"].alias("b"), token_overlap(y["a"], y["b"]).alias("both")))
+        apart = (x["p"] != x["t"]) & (x["p"].isin(closed) | x["t"].isin(closed))
+        return F.when(apart, none).otherwise(let(both, score))
+
+    pair = F.struct(normalize_answer(prediction).alias("p"), normalize_answer(truth).alias("t"))
+    return F.coalesce(F.when(prediction.isNotNull() & truth.isNotNull(), let(pair, compare)), none)
 
 
-def choice_letter(response: Column, letters: str = "ABCD") -> Column:
-    """First valid letter by three phrasings in turn, else the last capital that stands alone."""
-    found = F.lit(None).cast("string")
-    patterns = (
-        r"(?i)answer\s*(?:is|:)?\s*\(?([A-Z])\b", r"(?i)choice\s*(?:is|:)?\s*\(?([A-Z])\b", r"(?i)option\s*(?:is|:)?\s*\(?([A-Z])\b",
-    )
-    for p in patterns:
-        x = F.upper(F.regexp_extract(response, p, 1))
-        found = F.coalesce(found, F.when((x != "") & F.contains(F.lit(letters), x), x))
-    alone = F.filter(F.regexp_extract_all(response, F.lit(r"\b([A-Z])\b"), 1), lambda c: F.contains(F.lit(letters), c))
-    return F.coalesce(found, F.element_at(alone, F.when(F.size(alone) > 0, -1).otherwise(None)))
+def f1(prediction: Column, truth: Column) -> Column:
+    return f1_parts(prediction, truth)["f1"]
+
+
+def exact_match(prediction: Column, golds: Column) -> Column:
+    return let(normalize_answer(prediction), lambda p: F.exists(golds, lambda g: normalize_answer(g) == p))
+
+
+def choice_letter(response: Column, letters: Column | str = "ABCDEFGHIJ") -> Column:
+    """First valid letter by three phrasings in turn, else the last valid capital that stands alone; thoughts are left out.
+
+    Of each phrasing the first match counts, valid or not. ``letters``: the valid ones, as a text.
+    """
+    valid = F.lit(letters) if isinstance(letters, str) else letters
+
+    def find(text: Column) -> Column:
+        phrased = [F.upper(F.regexp_extract(text, p, 1)) for p in CHOICES]
+        named = [F.when((x != "") & F.contains(valid, x), x) for x in phrased]
+        alone = F.filter(F.regexp_extract_all(text, F.lit(r"\b([A-Z])\b"), 1), lambda c: F.contains(valid, c))
+        return F.coalesce(*named, let(alone, lambda a: F.get(a, F.size(a) - 1)))
+
+    return let(after_think(response), find)
+
+
+def choice_reward(response: Column, label: Column, choices: Column, correct: Column | None = None) -> Column:
+    """1 where the response picks the right choice, else 0; by letter, else by the words of the right choice.
+
+    ``label`` is a letter or the text of a choice (``choices``: array, null where
+    there are none); ``correct`` the letter if it is known. Ten letters are valid
+    without choices. Null responses get 0.
+    """
+    fold = lambda t: F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "))
+    ten = F.lit("ABCDEFGHIJ")
+    valid = F.coalesce(F.left(ten, F.size(choices)), ten)
+    text = F.trim(label)
+    given = F.lit(None).cast("string") if correct is None else F.upper(F.trim(correct))
+    by_label = F.when((F.length(text) == 1) & F.contains(valid, F.upper(text)), F.upper(text))
+    by_choice = F.array_position(F.transform(choices, fold), fold(text)).cast("int")
+    by_choice = F.when(by_choice > 0, F.substring(valid, by_choice, F.lit(1)))
+
+    def grade(x: Column) -> Column:
+        at = F.instr(valid, x["right"])
+        held = F.array_compact(F.array(F.get(choices, at - 1), F.when(text != "", text)))
+        targets = F.filter(F.transform(held, fold), lambda t: t != "")
+        named = F.exists(targets, lambda t: F.contains(x["said"], t))
+        bare = x["letter"].isNotNull() & x["right"].isNull() & (x["letter"] == F.upper(text))
+        return F.when(x["letter"].isNotNull() & x["right"].isNotNull(), (x["letter"] == x["right"]).cast("double")).otherwise(
+            F.coalesce(named | bare, F.coalesce(named, F.lit(False))).cast("double"))
+
+    state = F.struct(
+        choice_letter(response, valid).alias("letter"), F.coalesce(given, by_label, by_choice).alias("right"), fold(after_think(response)).alias("said")
+    )
+    return F.when(response.isNull(), 0.0).otherwise(let(state, grade))
 
 
 def last_answer(text: Column, tail: int = 300) -> Column:
@@ -143,31 +217,39 @@ def split_tuple(text: Column) -> Column:
     return F.when(plain, F.array(t)).otherwise(F.transform(F.split(inner, ","), lambda x: F.trim(x)))
 
 
-def truncate_middle(text: Column, limit: int, marker: str = "\n...\n") -> Column:
-    """Head and tail around a marker, ``limit`` characters together; short texts stay."""
-    room = max(0, limit - len(marker))
-    head = room - room // 2
-    cut = F.concat(F.left(text, F.lit(head)), F.lit(marker), F.right(text, F.lit(room // 2)))
-    return F.when(F.length(text) <= limit, text).otherwise(cut)
+def truncate_middle(text: Column, limit: int, marker: str = TRUNCATED) -> Column:
+    """Head and tail around a marker, ``limit`` characters together, an odd one in the tail; short texts stay.
 
+    No limit gives the empty text, one within the marker the head alone.
+    """
+    if limit <= 0:
+        return F.when(text.isNotNull(), "")
+    room = limit - len(marker)
+    head, tail = max(1, room // 2), max(1, room - room // 2)
+    cut = F.left(text, F.lit(limit)) if room <= 0 else F.concat(F.left(text, F.lit(head)), F.lit(marker), F.right(text, F.lit(tail)))
+    stays = F.length(text) <= (limit if room <= 0 else max(limit, head + tail))
+    return F.when(stays, text).otherwise(cut)
 
-def loop_signature(text: Column, chars: int = 400) -> Column:
-    return F.md5(F.left(F.trim(text), F.lit(chars)).cast("binary"))
+
+def truncate_halves(text: Column, limit: int, marker: str = "\n[... middle truncated ...]\n") -> Column:
+    """Equal halves around a marker, with eighty characters of ``limit`` left for it; short texts stay."""
+    half = F.lit(max(0, (limit - 80) // 2))
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, half), F.lit(marker), F.right(text, half)))
 
 
-#: Names whose counters before .py are generated.
-COUNTED = ["debug", "test", "issue", "apply[_-]?fix", "fix", "script", "attempt", "try"]
+def loop_signature(text: Column, chars: int = 400) -> Column:
+    return F.md5(F.left(F.trim(text), F.lit(chars)).cast("binary"))
 
 
 def collapse_counters(text: Column) -> Column:
     """Generated counters of script names become #, white space single; other numbers stay."""
-    pattern = rf"(?i)\b((?:{'|'.join(COUNTED)})(?:[_-][a-z]+)*[_-]?)\d+(?=\.py\b)"
-    return squeeze(F.regexp_replace(text, pattern, "$1#"))
+    return squeeze(F.regexp_replace(text, COUNTER, "$1#"))
 
 
-def safe_label(value: Column, default: str = "unknown", longest: int = 64) -> Column:
-    t = F.left(F.regexp_replace(F.coalesce(value, F.lit("")), r"[^A-Za-z0-9_.:-]+", "_"), F.lit(longest))
-    return F.when(t == "", default).otherwise(t)
+def safe_label(value: Column, default: str = "", longest: int = 160) -> Column:
+    """Trimmed, other characters than those of labels as _, at most ``longest`` of them; null or blank: the default."""
+    t = F.regexp_replace(F.regexp_replace(value, r"^\s+|\s+$", ""), LABEL, "_")
+    return F.left(F.when(F.coalesce(t, F.lit("")) == "", default).otherwise(t), F.lit(longest))
 
 
 def model_family(name: Column) -> Column:
@@ -175,10 +257,10 @@ def model_family(name: Column) -> Column:
     return F.when(F.contains(n, F.lit("qwen")), "qwen").when(F.contains(n, F.lit("glm")), "glm").otherwise("other")
 
 
-def payload_format(text: Column) -> Column:
-    marks = [text.rlike(p) for p in (r"(?m)^diff --git ", r"(?m)^--- ", r"(?m)^\+\+\+ ")]
-    blank = F.coalesce(F.trim(text), F.lit("")) == ""
-    return F.when(blank, "not_terminal").when(marks[0] & marks[1] & marks[2], "unified_diff").otherwise("non_patch")
+def payload_format(text: Column, ended: Column) -> Column:
+    """not_terminal where the branch hasn't ended; else unified_diff if lines of all three kinds are there, or non_patch."""
+    marks = [F.coalesce(text.rlike(p), F.lit(False)) for p in (r"(?m)^diff --git ", r"(?m)^--- ", r"(?m)^\+\+\+ ")]
+    return F.when(~F.coalesce(ended, F.lit(False)), "not_terminal").when(marks[0] & marks[1] & marks[2], "unified_diff").otherwise("non_patch")
 
 
 def approximate_tokens(text: Column) -> Column:
@@ -190,19 +272,46 @@ def search_query(text: Column) -> Column:
 
 
 def numbered_passages(passages: Column) -> Column:
-    return F.concat_ws("", F.transform(passages, lambda p, i: F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit(": "), p, F.lit("\n"))))
+    """"Doc i(Title: first line) rest" of each passage, one a line."""
+
+    def line(p: Column, i: Column) -> Column:
+        title = F.substring_index(p, "\n", 1)
+        rest = F.substring(p, F.length(title) + 2, F.length(p))
+        return F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit("(Title: "), title, F.lit(") "), rest, F.lit("\n"))
+
+    return F.concat_ws("", F.transform(passages, line))
 
 
 def after_think(text: Column) -> Column:
     return F.substring_index(text, "</think>", -1)
 
 
-def ordered_class(name: Column, rules: list[tuple[str, str]], other: str = "other") -> Column:
-    """Label of the first rule whose text is part of the lower-cased name."""
-    out = F.lit(other)
-    for part, label in reversed(rules):
-        out = F.when(F.contains(F.lower(name), F.lit(part)), label).otherwise(out)
-    return out
+#: Kernel classes in order; a rule holds when each of its texts is part of the name, several rules may name one class.
+KERNELS = [
+    (["nccl"], "NCCL Communication"), (["deep_ep", "dispatch"], "DeepEP Dispatch (MoE)"), (["deep_ep", "combine"], "DeepEP Combine (MoE)"),
+    (["deep_ep", "clean"], "DeepEP Buffer Clean"), (["deep_ep"], "DeepEP (other)"), (["flash", "attn"], "Flash Attention"),
+    (["sparse_attn"], "Sparse Attention (MLA)"), (["paged_mqa"], "Paged MQA/MLA Logits"), (["attention"], "Attention (other)"),
+    (["fmha"], "Attention (other)"), (["deep_gemm"], "DeepGEMM (FP8)"), (["sm90_fp8_gemm"], "DeepGEMM (FP8)"), (["nvjet"], "NvJet GEMM"),
+    (["gemm"], "GEMM/MatMul (other)"), (["cutlass"], "GEMM/MatMul (other)"), (["matmul"], "GEMM/MatMul (other)"),
+    (["cublas"], "GEMM/MatMul (other)"), (["topk"], "TopK / MoE Routing"), (["quant"], "Quantization (FP8)"), (["norm"], "Normalization"),
+    (["triton"], "Fused/Triton Kernels"), (["fused"], "Fused/Triton Kernels"), (["elementwise"], "Elementwise Ops"),
+    (["reduce"], "Reduce/Softmax"), (["softmax"], "Reduce/Softmax"), (["embedding"], "Embedding"), (["memcpy"], "Memory Ops"),
+    (["memset"], "Memory Ops"), (["index"], "Index/Gather/Scatter"), (["scatter"], "Index/Gather/Scatter"),
+    (["gather"], "Index/Gather/Scatter"), (["cat", "batched"], "Concat/Cat"),
+]
+
+
+def ordered_class(name: Column, rules: list[tuple[list[str], str]] = KERNELS, other: str = "Other Compute") -> Column:
+    """Label of the first rule whose texts are all part of the lower-cased name."""
+
+    def label(low: Column) -> Column:
+        out = F.lit(other)
+        for parts, found in reversed(rules):
+            holds = [F.contains(low, F.lit(p)) for p in parts]
+            out = F.when(holds[0] & holds[-1], found).otherwise(out)
+        return out
+
+    return let(F.lower(name), label)
 
 
 def compression(text: Column, algorithm: str = "zlib", level: int = 9) -> Column:

@@ -196,3 +196,87 @@ def masked_spans(tokens: Column, mask: Column) -> Column:
         F.transform(mask, lambda v, i: F.when((v == 1) & off(i + step), i)), lambda i: i.isNotNull()
     )
     return F.zip_with(ends(-1), ends(1), lambda a, b: F.slice(tokens, a + 1, b - a + 1))
+
+
+def distilled(adv: Column, student: Column, teacher: Column, weight: float) -> Column:
+    """Advantages less ``weight`` times how much likelier the student found each token than the teacher."""
+    return F.zip_with(adv, minus(student, teacher), lambda a, d: a - F.lit(weight) * d)
+
+
+def perplexities(train: Column, rollout: Column, mask: Column, bound: float = 20.0) -> Column:
+    """struct of perplexities, their log difference and ratio, KL, k3 and both chi-squared divergences of one sequence.
+
+    Means are over masked tokens; kl and k3 are means over them of each token's value.
+    """
+    limit = lambda x: F.greatest(F.least(x, F.lit(bound)), F.lit(-bound))
+    ratio = minus(train, rollout)
+
+    def told(m: Column) -> Column:
+        apart = m["rollout"] - m["train"]
+        return F.struct(
+            (-m["train"]).alias("training_log_ppl"), F.exp(-m["train"]).alias("training_ppl"), (-m["rollout"]).alias("rollout_log_ppl"), F.exp(-m["rollout"]).alias("rollout_ppl"),
+            masked_mean(minus(rollout, train), mask).alias("kl"), masked_mean(F.transform(ratio, lambda x: F.exp(x) - x - 1), mask).alias("k3_kl"),
+            apart.alias("log_ppl_diff"), F.abs(apart).alias("log_ppl_abs_diff"), F.exp(apart).alias("ppl_ratio"),
+            (masked_mean(F.transform(ratio, lambda x: F.exp(2.0 * limit(x))), mask) - 1).alias("chi2_token"),
+            (F.exp(2.0 * limit(total(times(ratio, mask)))) - 1).alias("chi2_seq"),
+        )
+
+    return let(F.struct(masked_mean(train, mask).alias("train"), masked_mean(rollout, mask).alias("rollout")), told)
+
+
+def advantages(kind: str, reward: Column, values: Column, kl: Column, mask: Column, gamma: float = 1.0, lam: float = 1.0, beta: float = 0.0) -> Column:
+    """Token advantages by an estimator: grpo, gspo and cispo spread the reward, ppo is generalised, reinforce ones discount."""
+    if kind in ("grpo", "gspo", "cispo"):
+        return F.transform(mask, lambda _: reward)
+    if kind == "ppo":
+        last = F.size(mask) - 1
+        rewards = F.zip_with(kl, F.transform(mask, lambda _, i: F.when(i == last, reward).otherwise(0.0)), lambda k, r: F.lit(-beta) * k + r)
+        return gae(rewards, values, gamma, lam)
+    if kind == "reinforce_plus_plus":
+        return reinforce_returns(reward, kl, mask, beta, gamma)
+    if kind == "reinforce_plus_plus_baseline":
+        return F.transform(kl, lambda k: reward - F.lit(beta) * k)
+    raise ValueError(f"unknown estimator {kind!r}")
+
+
+def policy_objective(logp: Column, old: Column, adv: Column, mask: Column, low: float, high: float, weights: Column | None = None, kl_weight: float = 0.0, base: Column | None = None) -> Column:
+    """struct(pg_loss, clip_fraction, kl, kl_loss, loss) of one sequence: masked sums over the original mask's size.
+
+    ``weights`` scale each token's loss (importance weights, 0 rejects it)
+    without changing the denominator; ``base`` are a reference's log-probabilities.
+    """
+    ratio = minus(old, logp)
+    losses = policy_loss(ratio, adv, low, high)
+    losses = losses if weights is None else times(losses, weights)
+    size = F.greatest(total(mask), F.lit(1.0))
+    mean = lambda x: total(times(x, mask)) / size
+    clipped = F.zip_with(ratio, adv, lambda k, a: (-F.greatest(F.least(F.exp(-k), F.lit(1 + high)), F.lit(1 - low)) * a > -F.exp(-k) * a).cast("double"))
+    reference = mean(approx_kl(logp, base, "low_var")) if base is not None else F.lit(0.0)
+    parts = F.struct(mean(losses).alias("pg_loss"), mean(clipped).alias("clip_fraction"), mean(ratio).alias("kl"), reference.alias("kl_loss"))
+    return let(parts, lambda p: F.struct(p["pg_loss"].alias("pg_loss"), p["clip_fraction"].alias("clip_fraction"), p["kl"].alias("kl"), p["kl_loss"].alias("kl_loss"), (p["pg_loss"] + kl_weight * p["kl_loss"]).alias("loss")))
+
+
+def pooled(vectors: Column, mask: Column, how: str = "mean") -> Column:
+    """One vector of a sequence of vectors: their mean under the mask, or the first."""
+    if how == "cls":
+        return F.get(vectors, 0)
+    if how != "mean":
+        raise ValueError(f"unknown pooling {how!r}")
+    n = F.aggregate(mask, F.lit(0.0), lambda s, m: s + m)
+    zero = F.transform(F.get(vectors, 0), lambda _: F.lit(0.0))
+    weighted = F.zip_with(vectors, mask, lambda v, m: F.transform(v, lambda x: x * m))
+    return let(F.aggregate(weighted, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b)), lambda s: F.transform(s, lambda x: F.try_divide(x, n)))
+
+
+def tail(values: Column, n: Column) -> Column:
+    """The last ``n`` values: what belongs to a response of that length."""
+    return F.slice(values, F.greatest(F.lit(1), F.size(values) - n + 1), F.greatest(F.lit(0), n))
+
+
+def flops(length: Column, hidden: int, heads: int, groups: int, vocab: int, ffn: int, layers: int) -> Column:
+    """Forward operations of one dense sequence: projections, attention, feed-forward and the head."""
+    n = length.cast("double")
+    head = hidden / heads
+    projections = 2.0 * n * hidden * (hidden + 2 * groups * head) + 2.0 * n * hidden * hidden
+    attention = 4.0 * n * n * hidden / 2
+    return layers * (projections + attention + 6.0 * n * hidden * ffn) + 2.0 * n * hidden * vocab

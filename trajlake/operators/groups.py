@@ -106,7 +106,7 @@ def centre(df: DataFrame, group: str, reward: str, mode: str = "unbiased", scale
     unbiased: x - mean, over (sample deviation + 1e-6), null deviation as 0;
     population: zero and ``masked`` where the group is single or its deviation is
     at most 1e-9; unit: only rewards in [0, 1] count and change, an all-zero
-    group stays, a deviation below 1e-8 gives 0.
+    group stays, a deviation below 1e-8 gives 0 and 1e-8 is added to others.
     """
     w = Window.partitionBy(group)
     x = F.col(reward)
@@ -127,7 +127,7 @@ def centre(df: DataFrame, group: str, reward: str, mode: str = "unbiased", scale
         mean, dev = F.avg(y).over(w), F.stddev_pop(y).over(w)
         zero = F.max(F.when(inside, F.abs(x))).over(w) == 0
         return df.withColumn(
-            "advantage", F.when(~inside | zero, x).when(dev < 1e-8, 0.0).otherwise((x - mean) / dev)
+            "advantage", F.when(~inside | zero, x).when(dev < 1e-8, 0.0).otherwise((x - mean) / (dev + 1e-8))
         )
     raise ValueError(f"unknown mode {mode!r}")
 
@@ -186,3 +186,12 @@ def version_lag(policy: Column, observed: Column) -> Column:
         return F.when(digits == "", F.raise_error(F.lit("policy label without a number"))).otherwise(digits.cast("long"))
 
     return number(observed) - number(policy)
+
+
+def by_request(df: DataFrame, requests: DataFrame, key: str, pos: str) -> DataFrame:
+    """Each request with the row of its key, to be read in order of ``pos``; ``found`` is false where there is none.
+
+    ``df`` holds one row a key (``first_wins`` picks it). Callers that allow no
+    missing key filter on ``found``.
+    """
+    return requests.join(df.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -61,8 +61,8 @@ def largest_differencing(lengths: list[int], bins: int) -> list[int]:
 def greedy_chunks(sizes: list[int], limit: int) -> list[int]:
     """Contiguous chunks: a new one begins before an item that would bring the sum to the limit."""
     out, chunk, total = [], 0, 0
-    for n in sizes:
-        if total and total + n >= limit:
+    for k, n in enumerate(sizes):
+        if k and out[-1] == chunk and total + n >= limit:
             chunk, total = chunk + 1, 0
         total += n
         out.append(chunk)

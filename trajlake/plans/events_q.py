@@ -30,8 +30,8 @@ def rank_fusion(spark, d):
 
 
 def index_terms(spark, d):
-    p = retrieval.postings(_t(spark, d, "documents").where("lang = 'en'"), "doc_id", retrieval_tokens(_C("text")))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).where("df > 20")
+    p = retrieval.postings(_t(spark, d, "documents"), "doc_id", retrieval_tokens(_C("text")))
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 def dense_top_k(spark, d):

@@ -187,8 +187,9 @@ def strided_shard(spark, d):
 
 
 def request_order_join(spark, d):
-    want = spark.range(40).select(F.col("id").alias("pos"), ((F.col("id") * 37) % 1500).alias("o_orderkey"))
-    return want.join(_t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey").select("pos", "o_orderkey", "o_orderstatus")
+    """Every event asks for an order, in its place; orders that aren't there are told."""
+    want = _t(spark, d, "events").select(F.col("event_id").alias("pos"), (F.col("event_id") * 37 % 20011).alias("o_orderkey"))
+    return g.by_request(_t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), want, "o_orderkey", "pos")
 
 
 def sample_expansion(spark, d):
@@ -232,7 +233,7 @@ WHEN coalesce(stddev_samp(l_quantity) > 1e-6, false) THEN 'keep' ELSE 'zero_std'
     "advantage_population": f"""SELECT event_id, count(*) OVER w < 2 OR stddev_pop(reward) OVER w <= 1e-9 AS masked,
 round(CASE WHEN count(*) OVER w < 2 OR stddev_pop(reward) OVER w <= 1e-9 THEN 0 ELSE (reward - avg(reward) OVER w) / (stddev_pop(reward) OVER w + 1e-6) END, 6) AS advantage FROM {_E} WINDOW w AS (PARTITION BY user_id)""",
     "advantage_unit": f"""WITH y AS (SELECT *, CASE WHEN reward BETWEEN 0 AND 1 THEN reward END AS y FROM {_E})
-SELECT event_id, round(CASE WHEN y IS NULL OR max(abs(y)) OVER w = 0 THEN reward WHEN stddev_pop(y) OVER w < 1e-8 THEN 0 ELSE (reward - avg(y) OVER w) / stddev_pop(y) OVER w END, 6) AS advantage FROM y WINDOW w AS (PARTITION BY user_id)""",
+SELECT event_id, round(CASE WHEN y IS NULL OR max(abs(y)) OVER w = 0 THEN reward WHEN stddev_pop(y) OVER w < 1e-8 THEN 0 ELSE (reward - avg(y) OVER w) / (stddev_pop(y) OVER w + 1e-8) END, 6) AS advantage FROM y WINDOW w AS (PARTITION BY user_id)""",
     "advantage_centred": f"SELECT event_id, round(reward - avg(reward) OVER (PARTITION BY user_id), 6) AS advantage FROM {_E}",
     "whiten": """WITH s AS (SELECT avg(value) AS m, avg(value * value) AS q, count(*) AS n FROM events WHERE event_type <> 'view')
 SELECT event_id, round((value - m) / sqrt((q - m * m) * n / (n - 1) + 1e-8), 6) AS whitened FROM events, s""",
@@ -253,7 +254,7 @@ SELECT event_id, round((value - m) / sqrt((q - m * m) * n / (n - 1) + 1e-8), 6)
     "first_gate": "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') > 0 AND count(*) FILTER (l_returnflag = 'R') < count(*) AS go_on FROM lineitem GROUP BY 1",
     "offset_slice": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 250 OFFSET 100",
     "strided_shard": "SELECT o_orderkey, r AS rank FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) WHERE r % 8 = 3",
-    "request_order_join": "SELECT pos, o_orderkey, o_orderstatus FROM (SELECT range AS pos, range * 37 % 1500 AS o_orderkey FROM range(40)) JOIN orders USING (o_orderkey)",
+    "request_order_join": "SELECT pos, w.o_orderkey, o_orderstatus, o.o_orderkey IS NOT NULL AS found FROM (SELECT event_id AS pos, event_id * 37 % 20011 AS o_orderkey FROM events) w LEFT JOIN orders o USING (o_orderkey)",
     "sample_expansion": "SELECT n_nationkey, s::INTEGER AS sample, (n_nationkey * 4 + s)::BIGINT AS index FROM nation, range(4) r(s)",
     "fold_membership": """WITH f AS (SELECT doc_id, (doc_id % 3)::INTEGER AS fold, n_chars FROM documents)
 SELECT fold, count(*) AS n, sum(n_chars)::BIGINT AS chars, 'baseline' AS variant FROM f GROUP BY 1 UNION ALL SELECT fold, count(*), sum(n_chars)::BIGINT, 'eligible' FROM f WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1""",
