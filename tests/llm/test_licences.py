@@ -1,11 +1,11 @@
 import re
 import textwrap
 
-from trajlake.llm.licences import TEMPLATES, scan_licences
+from trajlake.llm.licences import HOLDER, TEMPLATES, scan_licences
 
 
 def grams(text):
-    w = re.findall(r"[^\W_]+", (text or "").lower())
+    w = re.findall(r"[^\W_]+", re.sub(HOLDER, "", text or "").lower())
     return set(zip(w[:-1], w[1:]))
 
 
@@ -47,3 +47,12 @@ def test_long_texts_of_few_bigrams(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.line, r.licence) for r in scan_licences(docs).collect()}
     assert got == brute(rows) and {(i, -1, "MIT-text") for i in (1, 2, 3, 4)} <= got
+
+
+def test_lines_of_holders_and_long_texts(spark):
+    head = "Copyright (c) 2019 Some Holder and Others of a Long Name\n# Copyright 2020, 2021 the authors of this very long list\n"
+    mit = "\n".join(textwrap.wrap(TEMPLATES["MIT-text"], 70))
+    rows = [(1, head + mit), (2, head * 30 + mit), (3, "\n".join([TEMPLATES["MIT-text"]] * 40)), (4, "word one two\n" * 8000), (5, mit + "\n" + "filler text\n" * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line, r.licence) for r in scan_licences(docs).collect()}
+    assert got == brute(rows) and {(i, -1, "MIT-text") for i in (1, 2, 3, 5)} <= got

@@ -14,7 +14,10 @@ from .common import read
 #: A text is taken for a licence from this Dice coefficient on.
 THRESHOLD = Fraction(8, 10)
 
-#: Notices and short licences, one template each.
+#: Lines that name a holder aren't part of a licence.
+HOLDER = r"(?im)^[ \t*#/;-]*copyright[ \t]+(?:\(c\)|©|[0-9]{4})[^\n]*$"
+
+#: Notices and licence texts, one template each.
 TEMPLATES = {
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -40,6 +43,37 @@ TEMPLATES = {
         "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
         "notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "Apache-2.0-notice": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
+        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+        "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License."
+    ),
+    "BSD-2-Clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution."
+    ),
+    "GPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more "
+        "details. You should have received a copy of the GNU General Public License along with this program. If not, see "
+        "https://www.gnu.org/licenses/."
+    ),
+    "Zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for "
+        "any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+        "restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+        "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated "
+        "but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being "
+        "the original software. This notice may not be removed or altered from any source distribution."
+    ),
 }
 
 
@@ -53,8 +87,8 @@ def _let(value: Column, body) -> Column:
 
 
 def word_bigrams(text: Column) -> Column:
-    """Distinct bigrams of the words (runs of letters and digits, lower-cased)."""
-    words = F.array_remove(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), "")
+    """Distinct bigrams of the words (runs of letters and digits, lower-cased), lines of holders left out."""
+    words = F.array_remove(F.split(F.lower(F.regexp_replace(text, HOLDER, "")), "[^\\p{L}\\p{N}]+"), "")
 
     def pairs(w: Column) -> Column:
         grams = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
@@ -76,7 +110,8 @@ def scan_licences(
     template of greatest Dice coefficient, the first by name on ties. Units
     with fewer or more bigrams than a template allows at the threshold aren't
     compared with it, nor are units that share too few bigrams with all
-    templates together: both bounds lose nothing. Bigrams are counted once
+    templates together: both bounds lose nothing. Lines that name a copyright
+    holder are left out of a unit. Bigrams are counted once
     each, so a text of any length can match. No shuffle; templates are
     literals of the plan.
 
@@ -130,8 +165,9 @@ u AS (
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
   UNION ALL SELECT doc_id, -1, text FROM documents WHERE contains(text, chr(10))
 ),
-w AS (SELECT doc_id, line, list_filter(string_split_regex(lower(unit), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM u),
-g AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1 AND len(w) < 400),
+h AS (SELECT doc_id, line, regexp_replace(unit, '{HOLDER}', '', 'g') AS unit FROM u),
+w AS (SELECT doc_id, line, list_filter(string_split_regex(lower(unit), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM h),
+g AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
 m AS (SELECT doc_id, line, licence, len(list_intersect(g, tg)) AS b, len(g) + len(tg) AS s FROM g, t WHERE len(g) <= 1.5 * len(tg) AND len(tg) <= 1.5 * len(g)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY 2.0::DOUBLE * b / s DESC, licence) AS k FROM m WHERE 20 * b >= 8 * s)
 SELECT doc_id, line, licence, round(2.0::DOUBLE * b / s, 9) AS dice FROM r WHERE k = 1
