@@ -62,3 +62,63 @@ def materialize_weights(rubrics: DataFrame, tenths: DataFrame, key: str = "rubri
     """Rubrics with positive tenths, their weight as tenths / 10; those without or with none are removed."""
     kept = tenths.where(F.col("tenths") > 0).select(key, (F.col("tenths") / 10).alias("weight"))
     return rubrics.drop("weight").join(kept, key)
+
+
+#: The grid of weights in tenths, and how many are active at most.
+LEAST_TENTHS, MOST_TENTHS, MOST_ACTIVE = 5, 50, 6
+
+
+def grid_weights(rows: DataFrame, group: str, pos: str, value: str, active: int = MOST_ACTIVE) -> DataFrame:
+    """(group, pos, tenths): each group's weights on the grid of 0 and 5 to 50 tenths.
+
+    Negative weights are 0; the ``active`` greatest stay, earlier ones on ties; a
+    group without any has 1 at its first place; a group above 50 is scaled to
+    50; halves round to even.
+    """
+    w = Window.partitionBy(group)
+    x = F.coalesce(F.greatest(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0))
+    out = rows.select(group, pos, x.alias("_x")).withColumn("_k", F.row_number().over(w.orderBy(F.desc("_x"), pos)))
+    kept = F.when(F.col("_k") <= active, F.col("_x")).otherwise(0.0)
+    top, first = F.max("_x").over(w), F.min(pos).over(w)
+    some = F.when(top > 0, kept).when(F.col(pos) == first, 1.0).otherwise(0.0)
+    scaled = F.when(top > MOST_TENTHS, some * (float(MOST_TENTHS) / top)).otherwise(some)
+    tenths = F.bround(scaled, 0).cast("int")
+    return out.select(group, pos, F.when(tenths > 0, F.least(F.greatest(tenths, F.lit(LEAST_TENTHS)), F.lit(MOST_TENTHS))).otherwise(0).alias("tenths"))
+
+
+def distinct_vectors(vectors: DataFrame, group: str, pos: str, vector: str, width: int) -> DataFrame:
+    """The first of each vector of ``width`` places in its group, by position."""
+    fits = vectors.where(F.size(vector) == width)
+    return fits.groupBy(group, vector).agg(F.min(pos).alias(pos))
+
+
+def cluster_weights(rubrics: DataFrame, members: DataFrame, initial: DataFrame) -> DataFrame:
+    """(instance, rubric, weight): weights of rubrics (instance, rubric, weight) summed by the one their cluster keeps, the greatest scaled to 50.
+
+    members: (instance, member, keep); initial: (instance, rubric, numerator,
+    denominator), which lists the candidates and counts where no weight is above
+    0. A member of two clusters, or a rubric without candidate, raises.
+    """
+    one = members.groupBy("instance", "member").agg(F.min("keep").alias("keep"), F.max("keep").alias("_most"))
+    fail = lambda text: F.raise_error(F.lit(text)).cast("string")
+    one = one.select("instance", F.col("member").alias("rubric"), F.when(F.col("keep") == F.col("_most"), F.col("keep").cast("string")).otherwise(fail("overlapping semantic cluster")).alias("keep"))
+    named = rubrics.join(one, ["instance", "rubric"], "left").select("instance", F.coalesce("keep", F.col("rubric").cast("string")).alias("rubric"), "weight")
+    total = named.groupBy("instance", "rubric").agg(F.sum("weight").alias("_sum"))
+    base = initial.select("instance", F.col("rubric").cast("string").alias("rubric"), (F.col("numerator") / F.col("denominator")).alias("_first"), F.lit(True).alias("_known"))
+    both = base.join(total, ["instance", "rubric"], "full")
+    w = Window.partitionBy("instance")
+    top = F.max("_sum").over(w)
+    known = F.when(F.col("_known"), F.col("rubric")).otherwise(fail("base rubric is absent from the candidates"))
+    scaled = F.when(top > 0, F.coalesce("_sum", F.lit(0.0)) * (float(MOST_TENTHS) / top)).otherwise(F.col("_first"))
+    return both.select("instance", known.alias("rubric"), scaled.alias("weight"))
+
+
+def balanced_offsets(draws: int, samples: DataFrame, key: str, seed: str) -> DataFrame:
+    """(draw, key, offset): for each sample a tenth of the draws -1, a tenth 1 and the rest 0, in an order given by hash of seed, sample and draw."""
+    if draws < 10 or draws % 10:
+        raise ValueError("draws must be a positive multiple of 10")
+    cells = samples.select(key, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.lit(seed), key, "draw"), "draw"))
+    tenth = draws // 10
+    placed = cells.withColumn("_k", rank)
+    return placed.select("draw", key, F.when(F.col("_k") <= tenth, -1).when(F.col("_k") > draws - tenth, 1).otherwise(0).alias("offset"))

@@ -25,8 +25,13 @@ def bm25(spark, d):
 
 
 def rank_fusion(spark, d):
-    r = retrieval.top_k(_scores(spark, d), "item_id", "doc_id", 100)
-    return r.select("item_id", "doc_id", F.round(0.6 * retrieval.fusion_share(_C("rank")), 9).alias("share"))
+    """Items ask with four fields, documents answer with two; an item's own source is left out."""
+    words = lambda c: F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
+    items = _t(spark, d, "benchmark").select("item_id", "text", F.concat(F.lit("src"), (_C("item_id") % 25).cast("string")).alias("own"))
+    asked = {"prior": _C("text"), "stage": F.concat(F.lit("the stage "), "own"), "llm_contract": F.when(_C("item_id") % 3 > 0, _C("text")).otherwise(" "), "llm_state": F.substring_index("text", " ", 4)}
+    held = {"full": _C("text"), "keywords": F.concat_ws(" ", "source", "lang", F.substring_index("text", " ", 8))}
+    out = retrieval.weighted_rank(_t(spark, d, "documents"), "doc_id", held, "source", items, "item_id", asked, "own", words)
+    return out.select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 def index_terms(spark, d):
@@ -132,7 +137,20 @@ FROM qt JOIN p USING (term) JOIN df USING (term) JOIN dt USING (doc_id), st GROU
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM s) """
 SQL = {
     "bm25": _BM + "SELECT item_id, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= 6",
-    "rank_fusion": _BM + "SELECT item_id, doc_id, round(0.6::DOUBLE * ((1.0::DOUBLE / (60 + rank))::FLOAT)::DOUBLE, 9) AS share FROM r WHERE rank <= 100",
+    "rank_fusion": """WITH it AS (SELECT item_id, text, 'src' || item_id % 25 AS own FROM benchmark),
+f AS (SELECT item_id, own, 'prior' AS qf, 0.6::DOUBLE AS qw, text AS t FROM it UNION ALL SELECT item_id, own, 'stage', 0.69, 'the stage ' || own FROM it UNION ALL SELECT item_id, own, 'llm_contract', 1.48, text FROM it WHERE item_id % 3 > 0
+ UNION ALL SELECT item_id, own, 'llm_state', 4.01, array_to_string(string_split(text, ' ')[:4], ' ') FROM it),
+q AS (SELECT DISTINCT item_id, qf, unnest(list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda s: s <> '')) AS term FROM f),
+dd AS (SELECT doc_id, 'full' AS df, 0.19::DOUBLE AS dw, text AS t FROM documents UNION ALL SELECT doc_id, 'keywords', 1.39, source || ' ' || lang || ' ' || array_to_string(string_split(text, ' ')[:8], ' ') FROM documents),
+dt AS (SELECT doc_id, df, list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda s: s <> '') AS t FROM dd),
+p AS (SELECT doc_id, df, term, count(*) AS tf FROM (SELECT doc_id, df, unnest(t) AS term FROM dt) GROUP BY 1, 2, 3), fr AS (SELECT df, term, count(*) AS n FROM p GROUP BY 1, 2), st AS (SELECT df, count(*) AS total, greatest(avg(len(t)), 1) AS av FROM dt GROUP BY 1),
+s AS (SELECT item_id, qf, p.df, p.doc_id, sum(round(ln(1 + (total - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(t) / av)), 12)) AS score
+ FROM q JOIN p USING (term) JOIN fr ON fr.df = p.df AND fr.term = p.term JOIN st ON st.df = p.df JOIN dt ON dt.doc_id = p.doc_id AND dt.df = p.df GROUP BY 1, 2, 3, 4),
+a AS (SELECT f.item_id, f.own, f.qf, f.qw, dd.df, dd.dw, dd.doc_id, coalesce(s.score, 0) AS score FROM f CROSS JOIN dd LEFT JOIN s ON s.item_id = f.item_id AND s.qf = f.qf AND s.df = dd.df AND s.doc_id = dd.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id, qf, df ORDER BY round(score, 9) DESC, doc_id) AS r FROM a),
+u AS (SELECT item_id, own, r.doc_id, sum(qw * dw * ((1.0::DOUBLE / (60 + r))::FLOAT)::DOUBLE) AS score FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE d.source <> own GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM u)
+SELECT item_id, doc_id, rank, round(score, 6) AS score FROM k WHERE rank <= 6""",
     "dense_top_k": """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y)))) AS v FROM embeddings),
 s AS (SELECT a.vec_id AS q, b.vec_id, list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])) AS score FROM u a, u b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, vec_id)::INTEGER AS rank FROM s) SELECT q, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5""",
