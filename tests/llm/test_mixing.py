@@ -93,3 +93,14 @@ def test_exact_weights_with_more_sources_than_slots(spark, monkeypatch):
     rows = [(i, rng.choices(["a", "b", "c", None, "e"], [50, 20, 3, 9, 1])[0]) for i in range(900)]
     for w, block in ((None, 4), ({"a": 0.7, "b": 0.1, "c": 0}, 5)):
         assert from_exact_share(rows, mix(frame(rows), w, block_rows=block).collect(), w, block) < 1
+
+
+def test_blocks_grow_with_the_table_and_weight_zero_comes_last(spark):
+    assert [mixing.rows_of_a_block(n) for n in (0, 1, 10**6, 64 * 2**20, 10**10)] == [64, 64, 64, 64, 9537]
+    rows = [(i, "abc"[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string").selectExpr("*", "1 AS begin", "2 AS gaps", "3 AS rest")
+    weights = {"a": 0.9967, "b": 0.0033, "c": 0.0}
+    out = mix(docs, weights, block_rows=2).collect()
+    assert from_exact_share(rows, out, weights, 2) < 1
+    last = {s: max(r.position for r in out if r.source == s) for s in "ab"}
+    assert min(r.position for r in out if r.source == "c") > max(last.values())

@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 
 from .common import read, scratch
 
-#: Rows of a block; a source's last block may be shorter.
-BLOCK_ROWS = 64
+#: Rows of a block at least, and blocks at about most: a block grows with the table, its schedule doesn't. A source's last block may be shorter.
+BLOCK_ROWS, MOST_BLOCKS = 64, 2**20
 #: Slots that one step and one job of the exact schedule place.
 CHUNK_SLOTS = 64
 EPOCH_SLOTS = 2**17
-_BUCKETS = 1024
+#: Rows of a source that one task ranks, about.
+RANKED_ROWS = 2**16
+
+
+def rows_of_a_block(n: int) -> int:
+    """BLOCK_ROWS, or as many rows as cut ``n`` into MOST_BLOCKS blocks."""
+    return max(BLOCK_ROWS, -(-n // MOST_BLOCKS))
 
 
 def _sources(docs: DataFrame, weights: dict[str, float] | None, slots: int | None, block_rows: int) -> DataFrame:
@@ -151,7 +157,8 @@ def exact_schedule(src: DataFrame) -> DataFrame:
         new = new.groupBy("id").agg(F.collect_list("job").alias("jobs"))
         chunks = spark.range(at // CHUNK_SLOTS, -(-end // CHUNK_SLOTS)).join(new, "id", "left")
         chunks = chunks.selectExpr(f"struct(id, coalesce(jobs, {empty}) AS jobs) AS chunk")
-        chunks = chunks.agg(F.sort_array(F.collect_list("chunk")).alias("chunks")).crossJoin(F.broadcast(carry))
+        # The released blocks that are left, one a source at most, are a value of the plan.
+        chunks = chunks.agg(F.sort_array(F.collect_list("chunk")).alias("chunks")).withColumn("rest", carry.scalar())
         edf = f"""
             aggregate(
               chunks,
@@ -182,12 +189,12 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     slots: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(doc_id, source, block, slot, position) of every row: the order of the mix, from position 0.
 
     Each source's rows are shuffled by hash of id and cut into blocks of
-    ``block_rows``. At any slot, a source is less than one block from its
+    ``block_rows`` (without it, of ``rows_of_a_block``). At any slot, a source is less than one block from its
     ideal share, that of its exact weight (without ``weights``, the root of
     its row count). When it has no more blocks, the others go on in
     proportion, so every row has one place and none is dropped or repeated.
@@ -205,10 +212,14 @@ def mix(
     blocks are placed one after another, EPOCH_SLOTS in a task.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"))
+    if block_rows is None:
+        block_rows = rows_of_a_block(rows.count())
     src = scratch(_sources(rows, weights, slots, block_rows), "sources")
+    most = src.agg(F.max("n")).first()[0] or 1
+    bits = max(10, min(20, math.ceil(math.log2(most / RANKED_ROWS))))
     plan = scratch(exact_schedule(src) if slots is None else schedule(src), "schedule")
     keyed = rows.withColumn("h", F.xxhash64("doc_id", F.lit("mix")))
-    keyed = keyed.withColumn("bucket", F.shiftrightunsigned("h", 64 - 10).cast("int"))
+    keyed = keyed.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits).cast("int"))
     sizes = keyed.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(
@@ -220,18 +231,15 @@ def mix(
     place = F.col("ahead") + F.col("r") - 1
     ranked = ranked.select("doc_id", "source", place.alias("place"))
     ranked = ranked.selectExpr("doc_id", "source", f"place div {block_rows} AS block", f"place % {block_rows} AS inside")
-    plan_s = plan.select(F.col("source").alias("s"), F.col("block").alias("b"), "slot")
-    out = ranked.join(plan_s, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    # One short block a source: their slots and gaps are a list as long as the sources are many.
+    # One short block a source: their slots and gaps are a list as long as the sources are many, folded once a block.
     short = src.select("source", (F.col("blocks") - 1).alias("block"), (F.col("blocks") * block_rows - F.col("n")).alias("gap"))
     short = short.where("gap > 0").withColumnRenamed("source", "s").withColumnRenamed("block", "b")
     short = plan.join(short, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    gaps = short.agg(F.collect_list(F.struct("slot", "gap")).alias("gaps")).withColumn("one", F.lit(1))
-    out = out.withColumn("one", F.lit(1)).join(F.broadcast(gaps), "one")
-    position = F.expr(
-        f"slot * {block_rows} + inside - aggregate(gaps, 0L, (s, g) -> s + if(g.slot < slot, g.gap, 0L))"
-    )
-    return out.select("doc_id", "source", "block", "slot", position.alias("position"))
+    gaps = short.agg(F.collect_list(F.struct("slot", "gap")).alias("gaps"))
+    begin = F.expr(f"slot * {block_rows} - aggregate(gaps, 0L, (s, g) -> s + if(g.slot < slot, g.gap, 0L))")
+    plan_s = plan.withColumn("gaps", gaps.scalar()).select(F.col("source").alias("s"), F.col("block").alias("b"), "slot", begin.alias("begin"))
+    out = ranked.join(plan_s, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    return out.select("doc_id", "source", "block", "slot", (F.col("begin") + F.col("inside")).alias("position"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
