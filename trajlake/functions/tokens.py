@@ -280,3 +280,29 @@ def flops(length: Column, hidden: int, heads: int, groups: int, vocab: int, ffn:
     projections = 2.0 * n * hidden * (hidden + 2 * groups * head) + 2.0 * n * hidden * hidden
     attention = 4.0 * n * n * hidden / 2
     return layers * (projections + attention + 6.0 * n * hidden * ffn) + 2.0 * n * hidden * vocab
+
+
+def weight_fractions(weights: Column, mask: Column, lower: float, upper: float) -> Column:
+    """struct(high, low): shares of masked tokens whose weight is above ``upper`` and below ``lower``."""
+    share = lambda hit: masked_mean(F.transform(weights, lambda w: hit(w).cast("double")), mask)
+    return F.struct(share(lambda w: w > upper).alias("high"), share(lambda w: w < lower).alias("low"))
+
+
+def truncated_importance(loss: Column, train: Column, rollout: Column, low: float, high: float) -> Column:
+    """struct(loss, weights, clipped, distance): each token's loss times its importance weight clamped to low..high."""
+    ratio = F.transform(minus(train, rollout), lambda d: F.exp(d))
+    weights = F.transform(ratio, lambda r: F.greatest(F.least(r, F.lit(high)), F.lit(low)))
+    return F.struct(
+        times(loss, weights).alias("loss"), weights.alias("weights"), F.zip_with(weights, ratio, lambda w, r: (w != r).cast("double")).alias("clipped"),
+        F.transform(ratio, lambda r: F.abs(r - 1)).alias("distance"),
+    )
+
+
+def value_clip_fraction(values: Column, old: Column, mask: Column, clip_by: float) -> Column:
+    """Share of masked tokens whose value moved by more than ``clip_by``."""
+    return masked_mean(F.zip_with(values, old, lambda v, o: (F.abs(v - o) > clip_by).cast("double")), mask)
+
+
+def positions(gap_codes: Column) -> Column:
+    """Absolute positions of a gap coding."""
+    return F.transform(gap_codes, lambda _, i: F.aggregate(F.slice(gap_codes, 1, i + 1), F.lit(-1), lambda s, g: s + g + 1))

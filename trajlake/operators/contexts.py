@@ -38,10 +38,10 @@ def load_contexts(contexts: DataFrame, key: str = "context_id", require_variance
     """Valid contexts (node_ids, gt_rewards, continuations, ...), one of equal rows; an invalid or a conflicting one raises."""
     errors = context_errors(F.col("node_ids"), F.col("gt_rewards"), F.col("continuations"))
     told = F.concat_ws(": ", F.col(key).cast("string"), F.array_join(errors, "; "))
-    rows = contexts.withColumn(key, F.when(F.size(errors) == 0, F.col(key)).otherwise(F.raise_error(told).cast(contexts.schema[key].dataType)))
-    rows = rows.withColumn("has_variance", has_variance(F.col("node_ids"), F.col("gt_rewards")))
-    if require_variance:
-        rows = rows.where("has_variance")
+    varies = has_variance(F.col("node_ids"), F.col("gt_rewards"))
+    # The check is part of the filter, so that no row is dropped before it is checked.
+    kept = F.when(F.size(errors) > 0, F.raise_error(told).cast("boolean")).otherwise(varies if require_variance else F.lit(True))
+    rows = contexts.where(kept).withColumn("has_variance", varies)
     # Maps are no keys: rows are compared by their JSON texts, whose map entries are sorted first.
     flat = [F.to_json(F.array_sort(F.map_entries(c))) if t.startswith("map") else F.col(c).cast("string") for c, t in rows.dtypes]
     one = rows.withColumn("_text", F.to_json(F.array(*flat))).groupBy(key).agg(

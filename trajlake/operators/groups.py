@@ -77,10 +77,13 @@ def statistics(df: DataFrame, value: str, by: list[str] | None = None) -> DataFr
     )
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """Element round((n - 1) q), halves to even, of the sorted array; 0 when empty."""
-    at = F.bround((F.size(values) - 1) * F.lit(q)).cast("int")
-    return F.coalesce(F.get(F.sort_array(values), at), F.lit(0.0))
+def nearest_ranks(df: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
+    """(key, p50, ...) nearest ranks of each key's sorted values, from the counts of distinct ones: no key's values meet in one list."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(key)
+    placed = counts.withColumn("_u", F.sum("_c").over(w.orderBy("_v"))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda q: F.min(F.when(F.col("_u") > F.bround((F.col("_n") - 1) * q, 0), F.col("_v")))
+    return placed.groupBy(key).agg(*(at(q).alias(f"p{int(q * 100)}") for q in shares))
 
 
 def nonzero_std(df: DataFrame, group: str, reward: str, floor: float = 1e-6) -> DataFrame:
@@ -195,3 +198,38 @@ def by_request(df: DataFrame, requests: DataFrame, key: str, pos: str) -> DataFr
     missing key filter on ``found``.
     """
     return requests.join(df.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def group_diagnostics(df: DataFrame, group: str, pos: str, truth: str, judged: str, predicted_zero: str, abstained: str) -> DataFrame:
+    """One row of sums over groups: pairs of different truth and those judged in their order (a tie is wrong), and both detectors' confusion counts.
+
+    variance: by what was predicted in the end; stage1: by the judge's abstention
+    alone. Groups with a missing judgement don't count, those with a missing
+    truth only as groups.
+    """
+    whole = df.groupBy(group).agg(
+        F.count_if(F.col(judged).isNull()).alias("_nj"), F.count_if(F.col(truth).isNull()).alias("_nt"), (F.max(truth) - F.min(truth)).alias("_span"),
+        F.min_by(predicted_zero, pos).alias("_zero"), F.min_by(abstained, pos).alias("_quiet"), F.count(F.lit(1)).alias("_n"),
+    ).where("_nj = 0")
+    known = whole.where("_nt = 0")
+    rows = df.join(known.select(group), group, "left_semi").select(group, pos, truth, judged)
+    other = rows.select(group, F.col(pos).alias("_p"), F.col(truth).alias("_t"), F.col(judged).alias("_j"))
+    apart = F.abs(F.col(truth) - F.col("_t")) > 1e-12
+    right = ((F.col(truth) > F.col("_t")) & (F.col(judged) - F.col("_j") > 1e-12)) | ((F.col(truth) < F.col("_t")) & (F.col("_j") - F.col(judged) > 1e-12))
+    pairs = rows.join(other, group).where(F.col(pos) < F.col("_p")).where(apart).agg(F.count(F.lit(1)).alias("gt_pairs"), F.count_if(right).alias("gt_correct"))
+    varies = F.coalesce(F.col("_span") > 1e-12, F.lit(False)) & (F.col("_nt") == 0)
+    cells = []
+    for prefix, predicted in (("variance", ~F.col("_zero")), ("stage1", ~F.col("_quiet"))):
+        for name, hit in (("tp", predicted & varies), ("fp", predicted & ~varies), ("fn", ~predicted & varies), ("tn", ~predicted & ~varies)):
+            cells.append(F.count_if(hit & (F.col("_nt") == 0)).alias(f"{prefix}_{name}"))
+    sums = whole.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rollouts"), F.count_if("_zero").alias("predicted_zero_groups"), F.count_if("_quiet").alias("explicit_abstain_groups"), *cells)
+    one = lambda t: t.withColumn("_one", F.lit(1))
+    return one(sums).join(one(pairs), "_one").drop("_one")
+
+
+def length_quartiles(df: DataFrame, length: str, longest: int, parts: int = 4) -> DataFrame:
+    """One row p25 .. p100: shares of lengths by which part of the longest they reach; lengths beyond it don't count."""
+    bucket = F.greatest(F.lit(1), F.ceil(F.col(length) * parts / F.lit(longest)))
+    inside = F.col(length) <= longest
+    share = lambda k: F.coalesce(F.try_divide(F.count_if(inside & (bucket == k)), F.count_if(inside)), F.lit(0.0))
+    return df.agg(*(share(k).alias(f"p{-(-100 * k // parts)}") for k in range(1, parts + 1)))

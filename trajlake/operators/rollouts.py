@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import after_think, let
+from .groups import nearest_ranks
 
 _INT = "array<int>"
 
@@ -299,11 +300,9 @@ def run_health(trajectories: DataFrame, run: str) -> DataFrame:
     Percentiles are nearest ranks of sorted values, by counts of distinct
     values: a run of any size takes as much memory as it has distinct ones.
     """
-    counts = trajectories.groupBy(run, "turns").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(run).orderBy("turns")
-    placed = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(run)))
-    rank = lambda q: F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * q, 0), F.col("turns")))
-    percentiles = placed.groupBy(run).agg(*(rank(q).alias(f"turns_p{int(q * 100)}") for q in (0.5, 0.9, 0.99)), F.max("turns").alias("turns_max"))
+    ranks = nearest_ranks(trajectories, run, "turns", [0.5, 0.9, 0.99])
+    most = trajectories.groupBy(run).agg(F.max("turns").alias("turns_max"))
+    percentiles = ranks.select(run, *(F.col(f"p{q}").alias(f"turns_p{q}") for q in (50, 90, 99))).join(most, run)
     rate = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 3)
     rates = trajectories.groupBy(run).agg(
         F.count(F.lit(1)).alias("n"), rate(F.col("loop_turns") >= 4).alias("looped_traj_rate"), rate(F.col("empty_outputs") >= 3).alias("empty_heavy_rate"),
@@ -321,3 +320,58 @@ def rank_summary(kernels: DataFrame, rank: str, kind: str, spent: str, busy: str
     by = kernels.groupBy(rank).agg((part("GEMM") + part("MatMul")).alias("gemm"), part("NCCL").alias("nccl"), F.avg(busy).alias("utilization"))
     spread = by.agg((F.max("utilization") - F.min("utilization")).alias("spread"), F.lit(1).alias("_one"))
     return by.withColumn("_one", F.lit(1)).join(F.broadcast(spread), "_one").drop("_one").withColumn("imbalance", F.col("spread") > limit)
+
+
+def span_sample(turns: Column) -> Column:
+    """struct(tokens, loss_mask, logprobs, response_length) of a rollout's assistant turns, array<struct<prompt, ids, logprobs>>.
+
+    The sequence is the last turn's prompt and output; each turn's output is
+    trained where its own prompt ends. Log-probabilities cover the response, from
+    the first prompt's end, with 0 outside the outputs. Null if there is no turn
+    or one lacks exact tokens; a prompt that isn't a prefix of the last one raises.
+    """
+    exact = F.forall(turns, lambda t: has_exact_tokens(t["prompt"], t["ids"], t["logprobs"]))
+
+    def build(ts: Column) -> Column:
+        last = F.get(ts, F.size(ts) - 1)
+        begin = lambda t: F.size(t["prompt"])
+        prefix = F.forall(ts, lambda t: F.slice(last["prompt"], 1, begin(t)) == t["prompt"])
+        # Zeros up to each output, counted from the output before it.
+        gap = lambda t, k: begin(t) - F.coalesce(begin(F.get(ts, k - 1)) + F.size(F.get(ts, k - 1)["ids"]), F.lit(0))
+        mask = F.flatten(F.transform(ts, lambda t, k: F.concat(F.array_repeat(F.lit(0), gap(t, k)), F.transform(t["ids"], lambda _: F.lit(1)))))
+        dense = F.flatten(F.transform(ts, lambda t, k: F.concat(F.array_repeat(F.lit(0.0), gap(t, k)), t["logprobs"])))
+        lead = begin(F.get(ts, 0))
+        n = F.size(mask) - lead
+        out = F.struct(F.concat(last["prompt"], last["ids"]).alias("tokens"), mask.alias("loss_mask"), F.slice(dense, lead + 1, n).alias("logprobs"), n.alias("response_length"))
+        fail = F.raise_error(F.lit("a turn's prompt is no prefix of the last one")).cast("struct<tokens:array<int>,loss_mask:array<int>,logprobs:array<double>,response_length:int>")
+        return F.when(prefix, out).otherwise(fail)
+
+    return F.when((F.size(turns) > 0) & exact, let(turns, build))
+
+
+def message_cards(messages: DataFrame, trajectory: str, pos: str) -> DataFrame:
+    """(trajectory, step, assistant_pos, observation): assistant messages with the user message right behind; the last one may lack it.
+
+    Of assistant messages in a row only the last one has a card; other roles are passed over.
+    """
+    w = Window.partitionBy(trajectory).orderBy(pos)
+    turns = messages.where(F.col("role").isin("assistant", "user"))
+    turns = turns.withColumn("_next", F.lead("role").over(w)).withColumn("_text", F.lead("text").over(w))
+    cards = turns.where("role = 'assistant' and coalesce(_next, 'user') = 'user'")
+    step = F.row_number().over(w) - 1
+    return cards.select(trajectory, step.alias("step"), F.col(pos).alias("assistant_pos"), F.coalesce("_text", F.lit("")).alias("observation"))
+
+
+def within_budget(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
+    """The first rows of each group by order whose sizes together stay within the budget."""
+    upto = F.sum(size).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_upto", upto).where(F.col("_upto") <= budget).drop("_upto")
+
+
+def epoch_order(rows: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
+    """``rows`` with ``place``, a number whose order is the epoch's: a hash of key, seed and epoch (ties by key). Sorting is left to the reader."""
+    return rows.withColumn("place", F.xxhash64(key, F.lit(seed + epoch)))
+
+
+def prefixed(metrics: DataFrame, prefix: str) -> DataFrame:
+    return metrics.select(*(F.col(c).alias(f"{prefix}/{c}") for c in metrics.columns))

@@ -68,10 +68,6 @@ def step_cards(spark, d):
 
 
 def span_depths(spark, d):
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trajlake-"))
     ev = _t(spark, d, "events").select("event_id", F.when(_C("event_id") % 50 != 0, F.floor(_C("event_id") * 0.5)).cast("long").alias("parent"))
     return e.span_depths(ev, "event_id", "parent")
 
@@ -93,8 +89,16 @@ def conversation_health(spark, d):
 
 
 def repeated_prefixes(spark, d):
-    c = _t(spark, d, "conversations").where("role = 'assistant'")
-    return c.groupBy("conv_id", F.md5(F.left(F.trim("text"), F.lit(400)).cast("binary")).alias("sig")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    c = _t(spark, d, "documents")
+    return c.groupBy("lang", F.md5(F.left(F.trim("text"), F.lit(400)).cast("binary")).alias("sig")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+def trajectory_counters(spark, d):
+    c = _t(spark, d, "conversations")
+    extra = F.when(_C("turn") % 5 == 0, "<returncode>0</returncode> no output").when(_C("turn") % 7 == 0, "died").otherwise("")
+    rows = c.select("conv_id", "turn", "role", F.concat(F.repeat("text", F.when(_C("conv_id") % 2 == 0, 6).otherwise(1)), F.lit(" "), extra).alias("text"))
+    rows = rows.unionByName(rows.where("role = 'assistant' and conv_id % 4 = 0").withColumn("turn", _C("turn") + 1000))
+    return e.trajectory_counters(rows, "conv_id", "turn", ["no output"], "died", "late")
 
 
 def static_schedule(spark, d):
@@ -170,7 +174,15 @@ d AS (SELECT event_id, 0::BIGINT AS depth FROM p WHERE parent IS NULL OR parent
     "cumulative_deltas": "SELECT event_id, floor(value)::BIGINT - coalesce(lag(floor(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS delta FROM events",
     "periodic_steps": "SELECT o_orderkey, (o_orderkey + 1) % 7 = 0 OR (o_orderkey + 1) % 50 = 0 OR o_orderkey = 1499 AS due FROM orders",
     "conversation_health": "SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars, count(*) FILTER (length(text) >= 150) AS long_turns, count(DISTINCT CASE WHEN length(text) >= 150 THEN left(text, 400) END) AS prefixes FROM conversations GROUP BY 1",
-    "repeated_prefixes": "SELECT conv_id, md5(left(trim(text, ' '), 400)) AS sig, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1, 2 HAVING count(*) >= 2",
+    "repeated_prefixes": "SELECT lang, md5(left(trim(text, ' '), 400)) AS sig, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) >= 2",
+    "trajectory_counters": """WITH b AS (SELECT conv_id, turn, role, repeat(text, CASE WHEN conv_id % 2 = 0 THEN 6 ELSE 1 END) || ' ' || CASE WHEN turn % 5 = 0 THEN '<returncode>0</returncode> no output' WHEN turn % 7 = 0 THEN 'died' ELSE '' END AS text FROM conversations),
+r AS (SELECT * FROM b UNION ALL SELECT conv_id, turn + 1000, role, text FROM b WHERE role = 'assistant' AND conv_id % 4 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, md5(left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 400)) AS sig FROM r),
+l AS (SELECT conv_id, sum(n) AS loop_turns, count(*) AS sigs FROM (SELECT conv_id, sig, count(*) AS n FROM o WHERE role = 'assistant' AND length(text) >= 1500 GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1),
+v AS (SELECT conv_id, list_sort(list(length(text))) AS v FROM o WHERE role = 'assistant' GROUP BY 1)
+SELECT o.conv_id, count(*) AS n_msgs, count(*) FILTER (role = 'assistant') AS n_assistant_turns, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS asst_chars_total, floor(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) / 3.5::DOUBLE)::BIGINT AS asst_tokens_est,
+coalesce(any_value(v[-1]), 0)::BIGINT AS asst_per_turn_max, coalesce(any_value(v[round_even((len(v) - 1) * 0.9, 0)::INTEGER + 1]), 0)::BIGINT AS asst_per_turn_p90, coalesce(any_value(loop_turns), 0)::BIGINT AS loop_turns, coalesce(any_value(sigs), 0)::BIGINT AS loop_signatures_repeated,
+count(*) FILTER (role = 'user' AND contains(text, '<returncode>0</returncode>') AND contains(text, 'no output')) AS empty_bash_outputs, count(*) FILTER (role = 'user' AND contains(text, 'died')) AS docker_death_msgs, coalesce(min(i) FILTER (role = 'user' AND contains(text, 'died')), -1) AS first_docker_death_msg, count(*) FILTER (role = 'user' AND contains(text, 'late')) AS litellm_timeout_msgs
+FROM o LEFT JOIN l ON l.conv_id = o.conv_id LEFT JOIN v ON v.conv_id = o.conv_id GROUP BY 1""",
     "static_schedule": """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents), s AS (SELECT *, k // 64 AS step, count(*) OVER (PARTITION BY k // 64) AS n FROM r)
 SELECT doc_id, step, k % 64 // 8 AS micro, k % 64 // 8 % 4 AS dp_rank FROM s WHERE n = 64""",
 }

@@ -101,6 +101,15 @@ def paired_spans(spark, d):
     return f.paired_spans(ev, "user_id", "span", "ts", "kind", "last")
 
 
+def stack_parents(spark, d):
+    """Each user's events open or close spans; the parent is the span left open last."""
+    from ..operators import events
+
+    ev = _t(spark, d, "events").select(_C("user_id").cast("string").alias("trace"), "event_id", F.when(_C("event_id") % 3 < 2, "span_start").otherwise("span_end").alias("kind"), (_C("event_id") % 5).cast("string").alias("span"))
+    out = events.stack_parents(ev, "trace", "event_id", "kind", "span")
+    return out.groupBy("trace").agg(F.count("parent").alias("nested"), F.count(F.lit(1)).alias("n"))
+
+
 def inferred_sources(spark, d):
     k = _C("doc_id")
     meta = F.map_from_arrays(F.array(F.lit("source"), F.lit("source_name"), F.lit("my_Source_url")), F.array(F.when(k % 3 == 0, _C("lang")).otherwise(""), F.when(k % 4 == 0, "named"), F.when(k % 5 > 0, "else").otherwise("")))

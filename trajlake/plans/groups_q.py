@@ -54,8 +54,7 @@ def compute_statistics(spark, d):
 
 
 def nearest_rank(spark, d):
-    by = _t(spark, d, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return by.select("user_id", *(g.nearest_rank(F.col("v"), q).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.99)))
+    return g.nearest_ranks(_t(spark, d, "events"), "user_id", "value", [0.5, 0.9, 0.99])
 
 
 def nonzero_std(spark, d):

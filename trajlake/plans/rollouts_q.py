@@ -205,10 +205,63 @@ def pooled_vectors(spark, d):
     return e.select("vec_id", F.round(dot(k.pooled(vectors, mask)), 6).alias("mean"), F.round(dot(k.pooled(vectors, mask, "cls")), 6).alias("cls"))
 
 
+def weight_fractions(spark, d):
+    w = F.transform("x", lambda v: v)
+    out = k.truncated_importance(_C("a"), _C("p"), _C("o"), 0.9, 1.05)
+    rows = _seq(spark, d).select("user_id", "m", k.weight_fractions(w, _C("m"), 0.2, 0.9).alias("f"), out.alias("t"), k.value_clip_fraction(_C("x"), _C("y"), _C("m"), 0.05).alias("v"))
+    return rows.select("user_id", F.round("f.high", 6).alias("high"), F.round("f.low", 6).alias("low"), F.round(k.total(_C("t.loss")), 6).alias("loss"), F.round(k.masked_mean(_C("t.clipped"), _C("m")), 6).alias("clipped"),
+                       F.round(k.masked_mean(_C("t.distance"), _C("m")), 6).alias("distance"), F.round("v", 6).alias("moved"))
+
+
+def group_diagnostics(spark, d):
+    from ..operators import groups
+
+    key = _C("l_orderkey")
+    rows = _lines(spark, d).select("l_orderkey", "pos", F.when((key % 11 > 0) | (_C("pos") > 1), F.floor(_C("l_quantity") / 20)).alias("truth"), F.when((key % 13 > 0) | (_C("pos") > 1), _C("l_discount")).alias("judged"), (key % 3 == 0).alias("zero"), (key % 6 == 0).alias("quiet"))
+    return groups.group_diagnostics(rows, "l_orderkey", "pos", "truth", "judged", "zero", "quiet")
+
+
+def length_quartiles(spark, d):
+    from ..operators import groups
+
+    return _R6(groups.length_quartiles(_t(spark, d, "events").where("event_type = 'click'"), "value", 120))
+
+
+def top_gaps(spark, d):
+    from ..operators import events
+
+    ev = _t(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_micros(_C("ts").cast("timestamp")).alias("s"), (F.unix_micros(_C("ts").cast("timestamp")) + (_C("value") * 1e7).cast("long")).alias("t"))
+    return events.top_gaps(ev.where("event_type <> 'error'"), "user_id", "s", "t", ev.where("event_type = 'error'"), "event_id", "event_type", 15)
+
+
 def response_tails(spark, d):
     return _seq(spark, d).select("user_id", F.round(k.total(k.tail(_C("x"), (_C("user_id") % 9).cast("int"))), 6).alias("value"))
 
 
+def span_samples(spark, d):
+    """An order's lines are turns: each prompt holds all tokens so far and one more."""
+    v = F.array_sort(F.collect_list(F.struct("pos", _C("l_quantity").cast("int").alias("q"))))
+    rows = _lines(spark, d).groupBy("l_orderkey").agg(v.alias("v"))
+    told = lambda i: F.flatten(F.transform(F.slice("v", 1, i), lambda x: F.array(F.lit(0), x["q"], x["q"] + 1)))
+    turns = F.transform("v", lambda x, i: F.struct(F.concat(told(i), F.array(F.lit(0))).alias("prompt"), F.array(x["q"], x["q"] + 1).alias("ids"), F.array(x["q"] / 2, F.when(x["q"] == 7, F.lit(float("nan"))).otherwise(0.5)).alias("logprobs")))
+    out = rows.select("l_orderkey", o.span_sample(turns).alias("s"))
+    join = lambda c: F.array_join(_C(c).cast("array<string>"), ",")
+    return out.select("l_orderkey", F.size("s.tokens").alias("tokens"), join("s.loss_mask").alias("mask"), "s.response_length", F.round(k.total(_C("s.logprobs")), 6).alias("logprobs"))
+
+
+def message_cards(spark, d):
+    return o.message_cards(_t(spark, d, "conversations"), "conv_id", "turn").select("conv_id", _C("step").cast("long").alias("step"), "assistant_pos", F.md5(_C("observation").cast("binary")).alias("observation"))
+
+
+def budgeted_rows(spark, d):
+    return o.within_budget(_lines(spark, d), "l_orderkey", "pos", "l_quantity", 60).select("l_orderkey", "pos")
+
+
+def epoch_orders(spark, d):
+    rows = o.epoch_order(_t(spark, d, "orders").select("o_orderkey"), "o_orderkey", 42, 3)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("place").alias("places"), F.count_if(_C("place") == F.xxhash64("o_orderkey", F.lit(45))).alias("same"))
+
+
 QUERIES = {q: v for q, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not q.startswith("_")}
 
 _S = """WITH s AS (SELECT event_id, user_id, event_type, value, n AS length, n % 7 AS cached, n % 5 + n % 7 AS prompt_tokens, n % 3 AS accepted, n % 4 AS drafted, n % 6 AS steps, CASE WHEN event_type = 'click' THEN value % 3 ELSE 0 END AS waiting
@@ -278,5 +331,24 @@ SELECT user_id, round(2.0::DOUBLE * n, 6) AS grpo, round(list_sum(list_transform
 round(list_sum(list_transform(range(1, n + 1), lambda t: list_sum(list_transform(range(t, n + 1), lambda i: rw[i] * power(0.9::DOUBLE, i - t))))), 6) AS reinforce_plus_plus, round(list_sum(list_transform(a, lambda v: 2 - 0.1::DOUBLE * v)), 6) AS reinforce_plus_plus_baseline FROM z""",
     "pooled_vectors": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT vec_id, list_sum(list_transform(v, lambda x: x * x)) AS s, list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * v[len(v) + 1 - i])) AS r FROM e)
 SELECT vec_id, round((s - 2 * s * (vec_id % 2) + r) / (2 + vec_id % 2), 6) AS mean, round(s, 6) AS cls FROM d""",
+    "weight_fractions": _W + ", z AS (SELECT *, " + ", ".join(f"{_Z(e)} AS {n}" for n, e in (
+        ("hi", "(x[i] > 0.9)::INTEGER * m[i]"), ("lo", "(x[i] < 0.2)::INTEGER * m[i]"), ("ls", "a[i] * greatest(least(exp(p[i] - o[i]), 1.05::DOUBLE), 0.9::DOUBLE)"),
+        ("cl", "(exp(p[i] - o[i]) NOT BETWEEN 0.9::DOUBLE AND 1.05::DOUBLE)::INTEGER * m[i]"), ("ds", "abs(exp(p[i] - o[i]) - 1) * m[i]"), ("mv", "(abs(x[i] - y[i]) > 0.05::DOUBLE)::INTEGER * m[i]"))) + """ FROM q)
+SELECT user_id, round(list_sum(hi) / greatest(ms, 1), 6) AS high, round(list_sum(lo) / greatest(ms, 1), 6) AS low, round(list_sum(ls), 6) AS loss, round(list_sum(cl) / greatest(ms, 1), 6) AS clipped, round(list_sum(ds) / greatest(ms, 1), 6) AS distance, round(list_sum(mv) / greatest(ms, 1), 6) AS moved FROM z""",
+    "group_diagnostics": _SQL_LINES + """, r AS (SELECT l_orderkey AS g, pos, CASE WHEN l_orderkey % 11 > 0 OR pos > 1 THEN floor(l_quantity / 20) END AS t, CASE WHEN l_orderkey % 13 > 0 OR pos > 1 THEN l_discount END AS j FROM li),
+w AS (SELECT g, count(*) AS n, count(*) FILTER (t IS NULL) AS nt, max(t) - min(t) > 1e-12 AS v, g % 3 = 0 AS z, g % 6 = 0 AS q FROM r GROUP BY 1 HAVING count(*) FILTER (j IS NULL) = 0),
+p AS (SELECT count(*) AS gt_pairs, count(*) FILTER ((a.t > b.t AND a.j - b.j > 1e-12) OR (a.t < b.t AND b.j - a.j > 1e-12)) AS gt_correct FROM r a JOIN r b ON a.g = b.g AND a.pos < b.pos JOIN w ON w.g = a.g AND w.nt = 0 WHERE a.t <> b.t)
+SELECT count(*) AS groups, sum(n)::BIGINT AS rollouts, count(*) FILTER (z) AS predicted_zero_groups, count(*) FILTER (q) AS explicit_abstain_groups, """ + ", ".join(
+        f"count(*) FILTER (nt = 0 AND {s} AND {a}) AS {p}_{n}" for p, c in (("variance", "z"), ("stage1", "q")) for n, s, a in (("tp", f"NOT {c}", "v"), ("fp", f"NOT {c}", "NOT v"), ("fn", c, "v"), ("tn", c, "NOT v"))) + ", any_value(gt_pairs) AS gt_pairs, any_value(gt_correct) AS gt_correct FROM w, p",
+    "length_quartiles": "WITH b AS (SELECT greatest(1, ceil(value * 4 / 120)) AS b FROM events WHERE event_type = 'click' AND value <= 120) SELECT " + ", ".join(f"round(count(*) FILTER (b = {i})::DOUBLE / count(*), 6) AS p{25 * i}" for i in (1, 2, 3, 4)) + " FROM b",
+    "top_gaps": """WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + trunc(value * 1e7)::BIGINT AS t FROM events), b AS (SELECT user_id, s, max(t) OVER (PARTITION BY user_id ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM e WHERE event_type <> 'error'),
+g AS (SELECT user_id, b AS begin, s AS finish, s - b AS gap, row_number() OVER (PARTITION BY user_id ORDER BY s - b DESC, b DESC)::INTEGER AS rank FROM b WHERE s > b QUALIFY rank <= 15)
+SELECT g.user_id, rank, gap, begin, finish, coalesce(arg_min(e.event_type, e.event_id), 'unknown') AS cause FROM g LEFT JOIN e ON e.event_type = 'error' AND e.user_id = g.user_id AND e.s < finish AND e.t > begin GROUP BY 1, 2, 3, 4, 5""",
+    "span_samples": _SQL_LINES + """, h AS (SELECT l_orderkey, count(*) AS n, bool_or(l_quantity::INTEGER = 7) AS bad, sum(l_quantity::INTEGER / 2 + 0.5::DOUBLE) AS lp FROM li GROUP BY 1)
+SELECT l_orderkey, CASE WHEN bad THEN NULL ELSE (3 * n)::INTEGER END AS tokens, CASE WHEN NOT bad THEN repeat('0,1,1,', n - 1) || '0,1,1' END AS mask, CASE WHEN NOT bad THEN (3 * n - 1)::INTEGER END AS response_length, CASE WHEN NOT bad THEN round(lp, 6) END AS logprobs FROM h""",
+    "message_cards": """WITH t AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WHERE role IN ('assistant', 'user') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step, turn AS assistant_pos, md5(coalesce(nt, '')) AS observation FROM t WHERE role = 'assistant' AND coalesce(nr, 'user') = 'user'""",
+    "budgeted_rows": _SQL_LINES + " SELECT l_orderkey, pos FROM li QUALIFY sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY pos) <= 60",
+    "epoch_orders": "SELECT count(*) AS n, count(*) AS places, count(*) AS same FROM orders",
     "response_tails": _W + "SELECT user_id, round(coalesce(list_sum(x[greatest(1, n - user_id % 9 + 1):]), 0), 6) AS value FROM q",
 }

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Cursor:
-    """Rows handed out in this epoch, whole epochs, groups and samples handed out in all, validation rows scheduled."""
+    """Rows handed out in this epoch, whole epochs, groups and samples handed out in all, validation rows scheduled and acknowledged."""
 
     offset: int = 0
     epoch: int = 0
     groups: int = 0
     samples: int = 0
     validated: int = 0
+    acknowledged: int = 0
 
     def take(self, rows: DataFrame, rank: str, size: int, n: int, copies: int = 1) -> tuple[DataFrame, Cursor]:
         """The next ``n`` rows of ``size`` in order of ``rank`` (from 0), over the end into later epochs, ``copies`` of each.
@@ -49,6 +50,12 @@ class Cursor:
             raise ValueError(f"{scheduled} of {size} validation rows")
         return replace(self, validated=max(self.validated, scheduled))
 
+    def acknowledge(self, attempted: int) -> Cursor:
+        """Attempts that a validation covered; the count never falls and never exceeds what was scheduled."""
+        if attempted > self.validated:
+            raise ValueError(f"{attempted} acknowledged of {self.validated} scheduled")
+        return replace(self, acknowledged=max(self.acknowledged, attempted))
+
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame([asdict(self)], _SCHEMA).coalesce(1).write.mode("overwrite").json(path)
 
@@ -61,4 +68,4 @@ class Cursor:
         return Cursor(**{k: v or 0 for k, v in row.asDict().items()})
 
 
-_SCHEMA = "offset long, epoch long, groups long, samples long, validated long"
+_SCHEMA = "offset long, epoch long, groups long, samples long, validated long, acknowledged long"

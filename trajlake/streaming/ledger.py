@@ -26,15 +26,21 @@ def token_totals(events: DataFrame, ts: str = "ts", width: str = "10 minutes", b
     return events.groupBy(F.window(ts, width), by).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
 
 
-def complete_groups(samples: DataFrame, group: str, value: str, size: int) -> DataFrame:
+def complete_groups(samples: DataFrame, group: str, value: str, size: int, patience: int | None = None) -> DataFrame:
     """(group, n, mean) once, when a group has ``size`` samples; its state is then dropped.
 
-    State is a count and a sum, so it doesn't grow with the group. Incomplete
-    groups wait; samples past a completion begin the group anew.
+    State is a count and a sum, so it doesn't grow with the group. Samples past
+    a completion begin the group anew. Incomplete groups wait, with
+    ``patience`` at most so many milliseconds after their last sample: they are
+    then given out as they are and dropped.
     """
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, total = state.get if state.exists else (0, 0.0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], n, total / n)], columns=[group, "n", "mean"])
+            return
         out = []
         for part in parts:
             for v in part[value]:
@@ -44,6 +50,8 @@ def complete_groups(samples: DataFrame, group: str, value: str, size: int) -> Da
                     n, total = 0, 0.0
         if n:
             state.update((n, total))
+            if patience is not None:
+                state.setTimeoutDuration(patience)
         elif state.exists:
             state.remove()
         if out:
@@ -51,5 +59,15 @@ def complete_groups(samples: DataFrame, group: str, value: str, size: int) -> Da
 
     kind = samples.schema[group].dataType.simpleString()
     return samples.groupBy(group).applyInPandasWithState(
-        update, f"{group} {kind}, n long, mean double", "n long, total double", "append", GroupStateTimeout.NoTimeout
-    )
+        update, f"{group} {kind}, n long, mean double", "n long, total double", "append",
+        GroupStateTimeout.NoTimeout if patience is None else GroupStateTimeout.ProcessingTimeTimeout,
+    )
+
+
+def save_buffer(groups: DataFrame, path: str) -> None:
+    """A snapshot of buffered groups; nested samples stay nested."""
+    groups.write.mode("overwrite").parquet(path)
+
+
+def load_buffer(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
