@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parts, read
-from .wordhash import Words, chunks
+from .wordhash import Words, chunks, mix
 
 #: Words of a passage; the last one of a text may be shorter.
 PASSAGE_WORDS = 64
@@ -20,7 +20,7 @@ FIT_DOCS = 2000
 FIT_PASSAGES = 256
 #: A document is kept from this score on.
 THRESHOLD = 0.7
-HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 24, 12, 220, 0.02, 1e-4
+HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 24, 12, 220, 0.02, 1e-3
 
 _GROUPS = [
     b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".", b",",
@@ -31,7 +31,10 @@ _CLASS = np.full(256, len(_GROUPS), dtype=np.int64)
 for _k, _g in enumerate(_GROUPS):
     _CLASS[np.frombuffer(_g, np.uint8)] = _k
 _CLASSES = len(_GROUPS) + 1
-FEATURES = _CLASSES + 10
+_SHAPES = 10
+#: Hashed words: each word, and each pair of words that follow each other, adds a sign to one of so many places.
+HASHED = 64
+FEATURES = _CLASSES + _SHAPES + HASHED
 
 
 def _encode(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +74,14 @@ def _encode(words: Words) -> tuple[np.ndarray, np.ndarray]:
     for k, flag in enumerate((kind == 1, kind <= 1, (last > 1) & (last < 22), kind == last, length == 1)):
         out[:, _CLASSES + 4 + k] = np.bincount(of[flag], minlength=m) / some
     out[:, _CLASSES + 9] = np.log1p(words.count[row]) / 5
+    with np.errstate(over="ignore"):
+        pair = mix(words.hash[:-1] * np.uint64(0x9E3779B97F4A7C15) + words.hash[1:])
+    pair, whose = pair[of[1:] == of[:-1]], of[1:][of[1:] == of[:-1]]
+    for value, owner in ((words.hash, of), (pair, whose)):
+        place = owner * HASHED + (value >> np.uint64(58)).astype(np.int64)
+        sign = 1.0 - 2.0 * (value & np.uint64(1)).astype(float)
+        out[:, _CLASSES + _SHAPES :] += np.bincount(place, sign, minlength=m * HASHED).reshape(m, HASHED)
+    out[:, _CLASSES + _SHAPES :] /= np.sqrt(some)[:, None]
     return row, out
 
 
