@@ -88,30 +88,49 @@ def _call(tool, value):
     return F.concat(F.lit(f"<tool_call>\n<function={tool}><parameter=cmd> "), value, F.lit(" </parameter></function>\n</tool_call>"))
 
 
+def _shape(key, *shapes):
+    """One of the shapes by key."""
+    out = F.lit(None).cast("string")
+    for k, shape in enumerate(shapes):
+        out = F.when(F.col(key) % len(shapes) == k, shape).otherwise(out)
+    return out
+
+
 def tool_calls(spark, d):
-    body = F.concat(F.lit("see "), _call("run", F.col("source")), _call("none", F.col("lang")), F.lit(" end"))
+    body = _shape(
+        "doc_id", F.concat(F.lit("see "), _call("run", F.col("source")), _call("none", F.col("lang")), F.lit(" end")), F.concat(_call("edit", F.col("lang")), F.lit("and "), _call("run", F.col("text"))),
+        F.col("text"), F.concat(F.lit("<tool_call><function=run><parameter=cmd>1</parameter><parameter=cmd>"), "source", F.lit("</parameter></function></tool_call>")),
+        F.concat(F.lit("<tool_call><function=run>"), "lang"),
+    )
     found = _t(spark, d, "documents").select("doc_id", structured.tool_calls(body, ["run", "edit"]).alias("f"))
-    return found.select("doc_id", F.col("f.text").alias("visible"), F.col("f.calls")[0]["name"].alias("name"),
-                        F.col("f.calls")[0]["input"]["cmd"].alias("cmd"), F.size("f.calls").alias("calls"))
+    return found.select("doc_id", F.md5(F.col("f.text").cast("binary")).alias("visible"), F.get("f.calls", 0)["name"].alias("name"),
+                        F.md5(F.get("f.calls", 0)["input"]["cmd"].cast("binary")).alias("cmd"), F.size("f.calls").alias("calls"))
 
 
 def last_json(spark, d):
-    text = F.concat(F.lit('{"draft": 1} so {\n "id": '), F.col("doc_id").cast("string"), F.lit('\n "why": not quoted\n}\nbye'))
+    n = F.col("doc_id").cast("string")
+    text = _shape(
+        "doc_id", F.concat(F.lit('{"draft": 1} so {\n "id": '), n, F.lit('\n "why": not quoted\n}\nbye')), F.concat(F.lit('{"a": {"b": '), n, F.lit("}} tail {")), F.concat(F.lit("no object "), n),
+        F.concat(F.lit("{'id': "), n, F.lit(", 'ok': True}")), F.concat(F.lit('{"x": [1, 2,], "n": '), n, F.lit(",} ")), F.concat("text", F.lit('{"lang": "'), "lang", F.lit('"}')),
+    )
     return _t(spark, d, "documents").select("doc_id", structured.last_json(text).alias("found"))
 
 
 def boxed_grade(spark, d):
     a, b = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
-    said = F.concat(F.lit("\\boxed{1} then \\boxed{\\dfrac{"), a, F.lit("}{"), b, F.lit("}}."))
+    box = lambda *parts: F.concat(F.lit("\\boxed{1} then \\boxed{"), *parts, F.lit("}."))
+    said = _shape("doc_id", box(F.lit("\\dfrac{"), a, F.lit("}{"), b, F.lit("}")), box(F.lit("("), a, F.lit(", "), b, F.lit(")")), box(F.lit("x="), a, F.lit("\\%")), a, box(a, F.lit(".0")))
+    truth = _shape("doc_id", F.concat(a, F.lit("/"), b), F.concat(F.lit("("), a, F.lit(","), b, F.lit(")")), a, a, a)
     wrong = F.concat((F.col("doc_id") + 1).cast("string"), F.lit("/"), b)
     return _t(spark, d, "documents").select(
-        "doc_id", maths.grade(said, F.concat(a, F.lit("/"), b)).alias("right"), maths.grade(said, wrong).alias("wrong"), maths.last_boxed(said).alias("boxed"),
+        "doc_id", maths.grade(said, truth).alias("right"), maths.grade(said, wrong).alias("wrong"), maths.last_boxed(said).alias("boxed"),
     )
 
 
 def plain_answers(spark, d):
     n = F.col("n_chars").cast("string")
-    return _t(spark, d, "documents").select("doc_id", maths.plain_form(F.concat(F.lit("x = $1,"), F.lpad(n, 6, "0"), F.lit(" \\text{cm}$"))).alias("form"))
+    text = _shape("doc_id", F.concat(F.lit("x = $1,"), F.lpad(n, 6, "0"), F.lit(" \\text{cm}$")), F.concat(F.lit("y=\\frac12 + "), n), F.concat(F.lit("\\boxed{\\sqrt3} "), n, F.lit("^\\circ")), F.concat(F.lit("\\text{the }"), n, F.lit(" units")))
+    return _t(spark, d, "documents").select("doc_id", maths.plain_form(text).alias("form"))
 
 
 def chat_mask(spark, d):
@@ -147,11 +166,11 @@ SELECT DISTINCT source AS scope, lang AS experience_id, coalesce(kept, '{','.joi
   CASE WHEN kept IS NULL THEN 'conservative_union_when_no_keyword_is_attributable' ELSE 'positive_joint_replay_evidence' END AS policy
 FROM documents LEFT JOIN k USING (source, lang)""",
     "score_weights": _WEIGHTS,
-    "tool_calls": r"""SELECT doc_id, 'see <tool_call>' || chr(10) || '<function=none><parameter=cmd> ' || lang || ' </parameter></function>' || chr(10)
-  || '</tool_call> end' AS visible, 'run' AS name, source AS cmd, 1 AS calls FROM documents""",
-    "last_json": """SELECT doc_id, '{"id":' || doc_id || ',"why":"not quoted"}' AS found FROM documents""",
-    "boxed_grade": r"SELECT doc_id, true AS right, false AS wrong, '\dfrac{' || doc_id || '}{' || n_chars || '}' AS boxed FROM documents",
-    "plain_answers": "SELECT doc_id, '1' || lpad(n_chars::VARCHAR, 6, '0') AS form FROM documents",
+    "tool_calls": r"""SELECT doc_id, md5(CASE doc_id % 5 WHEN 0 THEN 'see <tool_call>' || chr(10) || '<function=none><parameter=cmd> ' || lang || ' </parameter></function>' || chr(10) || '</tool_call> end' WHEN 1 THEN 'and ' WHEN 2 THEN text WHEN 3 THEN '' ELSE '<tool_call><function=run>' || lang END) AS visible,
+CASE doc_id % 5 WHEN 0 THEN 'run' WHEN 1 THEN 'edit' WHEN 3 THEN 'run' END AS name, md5(CASE doc_id % 5 WHEN 0 THEN source WHEN 1 THEN lang WHEN 3 THEN source END) AS cmd, CASE doc_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS calls FROM documents""",
+    "last_json": """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{"id":' || doc_id || ',"why":"not quoted"}' WHEN 1 THEN '{"a":{"b":' || doc_id || '}}' WHEN 3 THEN '{"id":' || doc_id || ',"ok":true}' WHEN 4 THEN '{"n":' || doc_id || ',"x":[1,2]}' WHEN 5 THEN '{"lang":"' || lang || '"}' END AS found FROM documents""",
+    "boxed_grade": r"""SELECT doc_id, doc_id % 5 IN (0, 1, 2) AS right, false AS wrong, CASE doc_id % 5 WHEN 0 THEN '\dfrac{' || doc_id || '}{' || n_chars || '}' WHEN 1 THEN '(' || doc_id || ', ' || n_chars || ')' WHEN 2 THEN 'x=' || doc_id || '\%' WHEN 4 THEN doc_id || '.0' END AS boxed FROM documents""",
+    "plain_answers": r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '1' || lpad(n_chars::VARCHAR, 6, '0') WHEN 1 THEN '\frac{1}{2}+' || n_chars WHEN 2 THEN '\sqrt{3}' || n_chars ELSE 'the' || n_chars END AS form FROM documents""",
     "chat_mask": """SELECT conv_id, sum(length(text) % 7 + 1)::BIGINT AS tokens, sum(CASE WHEN role = 'assistant' THEN length(text) % 7 ELSE 0 END)::BIGINT AS trained
 FROM conversations GROUP BY conv_id""",
     "cursor_take": """WITH n AS (SELECT count(*) AS n FROM events), p AS (SELECT i, c, (n - 2 + i) % n AS r, (n - 2 + i) // n AS epoch

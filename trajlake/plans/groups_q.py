@@ -17,7 +17,7 @@ _LINE = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedpric
 
 def _lines(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy(*_LINE, "l_returnflag", "l_linestatus", "l_shipdate")
-    rows = _t(spark, d, "lineitem").withColumn("pos", F.row_number().over(w))
+    rows = _t(spark, d, "lineitem").withColumn("pos", F.row_number().over(w).cast("long"))
     return rows.select("l_orderkey", "pos", "l_discount", "l_quantity")
 
 
@@ -139,7 +139,7 @@ def fresh_rows(spark, d):
 def policy_version_lag(spark, d):
     rows = _t(spark, d, "orders")
     label = lambda c: F.concat(F.lit("policy-"), c.cast("string"))
-    return rows.select("o_orderkey", g.version_lag(label(F.col("o_custkey") % 7), label(F.lit(9))).alias("lag"))
+    return rows.select("o_orderkey", g.version_lag(label(F.col("o_custkey") % 7), label(F.col("o_orderkey") % 5 + 7)).alias("lag"))
 
 
 def upsert_predictions(spark, d):
@@ -244,7 +244,7 @@ SELECT event_id, round((value - m) / sqrt((q - m * m) * n / (n - 1) + 1e-8), 6)
     "weighted_batch_mean": "SELECT l_suppkey, round(avg(l_quantity), 6) AS ratio FROM lineitem GROUP BY 1",
     "sum_of_sample_means": "SELECT l_suppkey, round(sum(x / greatest(c, 1)), 6) AS value FROM (SELECT l_suppkey, l_orderkey, sum(CASE WHEN l_returnflag <> 'N' THEN l_tax ELSE 0 END) AS x, count(*) FILTER (l_returnflag <> 'N')::DOUBLE AS c FROM lineitem GROUP BY 1, 2) GROUP BY 1",
     "fresh_rows": "SELECT o_orderkey, 4 - o_orderkey % 5 AS lag FROM orders WHERE 4 - o_orderkey % 5 <= 1",
-    "policy_version_lag": "SELECT o_orderkey, 9 - o_custkey % 7 AS lag FROM orders",
+    "policy_version_lag": "SELECT o_orderkey, o_orderkey % 5 + 7 - o_custkey % 7 AS lag FROM orders",
     "upsert_predictions": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_totalprice END AS o_totalprice FROM orders",
     "delete_predictions": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'",
     "latest_state": "SELECT user_id, arg_max(event_type, event_id) AS last_type, max(event_id) AS event_id FROM events GROUP BY 1",

@@ -79,7 +79,7 @@ def gap_correlations(spark, d):
 
 def rubric_evaluations(spark, d):
     errors = _cells(spark, d).where("raw = 3 and g % 3 = 0").select("g", _C("rubric").alias("pos"))
-    return r.rubric_evaluation(_vectors(spark, d), errors).select("g", "pos", *map(_R9, ("variance", "redundancy", "judge_error", "reward")))
+    return r.rubric_evaluation(_vectors(spark, d), errors).select("g", "pos", *(F.round(c, 6).alias(c) for c in ("variance", "redundancy", "judge_error", "reward")))
 
 
 def progress_rewards(spark, d):
@@ -112,7 +112,7 @@ def metric_gate(spark, d):
 
 def tie_break(spark, d):
     rows = _lines(spark, d).withColumn("score", F.floor(_C("l_discount") * 30)).withColumn("score", _C("score").cast("double"))
-    return r.tie_break(rows, "l_orderkey", "pos", "score", "l_quantity").select("l_orderkey", "pos", F.round("adjusted", 9).alias("adjusted"))
+    return r.tie_break(rows, "l_orderkey", "pos", "score", "l_quantity").select("l_orderkey", "pos", F.round((_C("adjusted") - _C("score")) * 1234567.891, 3).alias("moved"))
 
 
 def first_fitting_view(spark, d):
@@ -260,7 +260,7 @@ SQL = {
     "distinct_rubrics": _SQL_LINES + " SELECT l_orderkey AS g, floor(l_quantity)::BIGINT AS rubric, min(pos) AS pos, arg_min(l_discount, pos) AS l_discount FROM li GROUP BY 1, 2",
     "redundancy": _SQL_GAPS + " SELECT g, pos, round(redundancy, 9) AS redundancy FROM rd",
     "gap_correlations": _SQL_GAPS + " SELECT q.g, round(coalesce(1 - minus, 0), 9) AS correlation, round(coalesce(1 - least(minus, plus), 0), 9) AS redundancy FROM (SELECT DISTINCT g FROM ru) q LEFT JOIN e ON e.g = q.g AND i = 2 AND j = 1",
-    "rubric_evaluations": _SQL_GAPS + ", v AS (SELECT g, rubric AS pos, var_pop(score) AS variance, -0.2::DOUBLE * count(*) FILTER (raw = 3 AND g % 3 = 0) AS judge_error FROM m GROUP BY 1, 2) SELECT g, pos, round(variance, 9) AS variance, round(redundancy, 9) AS redundancy, round(judge_error, 9) AS judge_error, round(variance + redundancy + judge_error, 9) AS reward FROM v JOIN rd USING (g, pos)",
+    "rubric_evaluations": _SQL_GAPS + ", v AS (SELECT g, rubric AS pos, var_pop(score) AS variance, -0.2::DOUBLE * count(*) FILTER (raw = 3 AND g % 3 = 0) AS judge_error FROM m GROUP BY 1, 2) SELECT g, pos, round(variance, 6) AS variance, round(redundancy, 6) AS redundancy, round(judge_error, 6) AS judge_error, round(variance + redundancy + judge_error, 6) AS reward FROM v JOIN rd USING (g, pos)",
     "progress_rewards": _SQL_LINES + " SELECT l_orderkey, round(coalesce(avg(CASE WHEN l_discount * 10 > 0.5 THEN l_quantity / 50 - 0.5::DOUBLE WHEN l_discount * 10 < 0.5 THEN 0.5::DOUBLE - l_quantity / 50 END), 0), 9) AS reward FROM li GROUP BY 1",
     "mixed_rubric_rewards": _SQL_LINES + " SELECT l_orderkey, pos, round((CASE WHEN l_discount > 0.02 THEN 0.5 * l_discount ELSE 0 END + CASE WHEN l_quantity > 9 THEN 0.25 * l_quantity ELSE 0 END + l_discount) / 1.75::DOUBLE, 9) AS reward, 0.0::DOUBLE AS none FROM li",
     "rubric_turn_rewards": _SQL_LINES + """, w AS (SELECT l_orderkey, pos, l_quantity < 15 AS wrong, pos - count(*) FILTER (l_quantity < 15) OVER (PARTITION BY l_orderkey ORDER BY pos) AS k FROM li),
@@ -270,7 +270,7 @@ SELECT w.l_orderkey, pos::INTEGER AS turn, CASE WHEN wrong THEN -1.0::DOUBLE ELS
     "metric_gate": _SQL_LINES + " SELECT l_orderkey, pos, round(l_discount - 0.05, 9) AS a, round(l_quantity - 25, 9) AS b, l_discount - 0.05::DOUBLE > 1e-12 OR l_quantity - 25 > 1e-12 AS improved FROM li",
     "tie_break": _SQL_LINES + """, s AS (SELECT *, floor(l_discount * 30) AS score FROM li), t AS (SELECT *, score = max(score) OVER (PARTITION BY l_orderkey) AS top FROM s),
 u AS (SELECT *, min(l_quantity) FILTER (top) OVER w AS lo, max(l_quantity) FILTER (top) OVER w AS hi FROM t WINDOW w AS (PARTITION BY l_orderkey))
-SELECT l_orderkey, pos, round(CASE WHEN top AND hi > lo THEN score + 1e-6 * (l_quantity - lo) / (hi - lo) ELSE score END, 9) AS adjusted FROM u""",
+SELECT l_orderkey, pos, round((CASE WHEN top AND hi > lo THEN score + 1e-6 * (l_quantity - lo) / (hi - lo) ELSE score END - score) * 1234567.891::DOUBLE, 3) AS moved FROM u""",
     "first_fitting_view": _SQL_LINES + " SELECT l_orderkey, min(pos) FILTER (l_quantity <= 20) AS pos FROM li GROUP BY 1",
     "best_branches": _SQL_LINES + " SELECT l_orderkey, pos FROM li QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, pos) <= 2",
     "beam_branches": _SQL_LINES + """, b AS (SELECT *, l_discount < 0.04 AS bad, row_number() OVER (PARTITION BY l_orderkey, l_discount < 0.04 ORDER BY l_quantity DESC, pos) AS k, count(*) FILTER (l_discount >= 0.04) OVER (PARTITION BY l_orderkey) AS good FROM li),

@@ -111,8 +111,10 @@ def answer_blocks(spark, d):
 
 
 def tuple_split(spark, d):
-    r = F.concat(F.lit("("), (F.col("n_chars") + 1000).cast("string"), F.lit(",x, "), F.col("doc_id").cast("string"), F.lit(")"))
-    return _docs(spark, d, parts=F.array_join(x.split_tuple(r), "|"), number=F.array_join(x.split_tuple(F.lit("1,234,567")), "|"))
+    k, n = F.col("doc_id"), (F.col("n_chars") + 1000).cast("string")
+    number = F.concat(F.lit("1,"), F.lpad(F.col("n_chars").cast("string"), 6, "0").substr(1, 3), F.lit(",250"))
+    r = F.when(k % 4 == 0, F.concat(F.lit("("), n, F.lit(",x, "), k.cast("string"), F.lit(")"))).when(k % 4 == 1, F.concat(F.lit(" ["), number, F.lit(","), n, F.lit(") "))).when(k % 4 == 2, number).otherwise(F.concat(F.lit("((1,2),"), n, F.lit(")")))
+    return _docs(spark, d, parts=F.array_join(x.split_tuple(r), "|"))
 
 
 def middle_truncation(spark, d):
@@ -232,7 +234,8 @@ SELECT doc_id, p = t OR CASE WHEN doc_id % 2 = 0 THEN p = s ELSE p = '' END AS e
 a AS (SELECT doc_id, trim(regexp_extract_all(t, '(?i)Answer\s*:\s*([^\n]+)', 1)[-1], ' ') AS answer FROM t)
 SELECT doc_id, answer, CASE WHEN TRY_CAST(answer AS INTEGER) = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score FROM a""",
     "answer_blocks": "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN trim(text, ' ') END) AS answer FROM documents",
-    "tuple_split": "SELECT doc_id, (n_chars + 1000) || '|x|' || doc_id AS parts, '1234567' AS number FROM documents",
+    "tuple_split": """WITH t AS (SELECT doc_id, n_chars + 1000 AS n, '1' || left(lpad(n_chars::VARCHAR, 6, '0'), 3) || '250' AS num FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN n || '|x|' || doc_id WHEN 1 THEN num || '|' || n WHEN 2 THEN num ELSE '((1,2),' || n || ')' END AS parts FROM t""",
     "middle_truncation": """WITH m AS (SELECT doc_id, text, chr(10) || '[... Observation truncated due to length ...]' || chr(10) AS m, chr(10) || '[... middle truncated ...]' || chr(10) AS h FROM documents)
 SELECT doc_id, md5('') AS t0, md5(left(text, 30)) AS t30, md5(CASE WHEN length(text) <= 201 THEN text ELSE left(text, (201 - length(m)) // 2) || m || right(text, 201 - length(m) - (201 - length(m)) // 2) END) AS t201,
 md5(CASE WHEN length(text) <= 301 THEN text ELSE left(text, 110) || h || right(text, 110) END) AS half FROM m""",

@@ -55,7 +55,7 @@ _add("discounted_returns", _sum(lambda: k.discounted(_C("x"), 0.95)), _SUM(_scan
 _add("reinforce_returns", _sum(lambda: k.reinforce_returns(F.lit(2.0), _C("a"), _C("m"), 0.1, 0.9)),
      _SUM(_scan_sql("-0.1::DOUBLE * a[i] * m[i] + CASE WHEN i = n - list_position(list_reverse(m), 1.0::DOUBLE) + 1 THEN 2 ELSE 0 END", 0.9)))
 _add("reinforce_baseline", _sum(lambda: F.transform(_C("a"), lambda v: 2.0 - 0.1 * v)), _SUM("list_transform(a, lambda v: 2 - 0.1::DOUBLE * v)"))
-_add("grpo_returns", _sum(lambda: F.array_repeat(F.lit(1.5), F.size("x"))), "round(1.5::DOUBLE * n, 6) AS value")
+_add("grpo_returns", _sum(lambda: k.advantages("grpo", F.get("x", 0), _C("y"), _C("a"), _C("m"))), "round(x[1] * n, 6) AS value")
 for _kind, _body in (("k1", "p[i] - o[i]"), ("k2", "(p[i] - o[i]) * (p[i] - o[i]) / 2"), ("k3", "exp(o[i] - p[i]) - 1 + p[i] - o[i]"),
                      ("low_var", _CLAMP("exp(o[i] - p[i]) - 1 + p[i] - o[i]", -10, 10))):
     _add(f"kl_{_kind}", _sum(lambda kind=_kind: k.approx_kl(_C("p"), _C("o"), kind)), _SUM(_Z(_body)))
