@@ -106,9 +106,12 @@ def call_depths(calls: DataFrame) -> DataFrame:
     """
     ids = calls.groupBy("call_id").agg(F.min("after").alias("after"))
     heads = ids.select(F.col("call_id").alias("after"), F.lit(True).alias("there"))
-    jump = ids.join(heads, "after", "left").select(
+    # Calls without a predecessor aren't looked up: their null keys would meet in one task.
+    named = ids.where("after is not null").join(heads, "after", "left").select(
         "call_id", F.when(F.col("there"), F.col("after")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth")
     )
+    first = ids.where("after is null").select("call_id", F.col("after").alias("up"), F.lit(0).cast("long").alias("depth"))
+    jump = named.unionByName(first)
     jump = scratch(jump, "jump")
     tables, rounds = [jump], int(jump.count()).bit_length() + 1
     done, active = jump.where("up is null"), jump.where("up is not null")
