@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, fingerprint, licences, mixing, ngram_jaccard, quality, suffix_dedup, warc
+from . import bpe, chat, decontamination, embedding_dedup, fingerprint, licences, mixing, ngram_jaccard, quality, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.op8_warc,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_quality": quality.op10_quality,
+        "op12_decontamination": decontamination.op12_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.SQL, "op7_licences": licences.SQL, "op8_warc": warc.SQL}
+    return {"op2_chat": chat.SQL, "op7_licences": licences.SQL, "op8_warc": warc.SQL, "op12_decontamination": decontamination.SQL}

@@ -1,6 +1,7 @@
 """Vectorised word and shingle hashing over Arrow string columns.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D. Work is done on the
+A word is a run of bytes other than 0x20 and 0x09-0x0D, or outside another
+table of separators. Work is done on the
 UTF-8 buffer with numpy, whole documents at a time, so cost is a few
 nanoseconds a byte and memory is bounded by ``CHUNK`` or the longest text.
 Hashes are 64 bits wide and depend only on the words.
@@ -38,8 +39,20 @@ def _byte_table(fold: bool) -> np.ndarray:
     return table
 
 
-_SEP = np.zeros(256, dtype=bool)
-_SEP[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def separators(*ranges: tuple[int, int]) -> np.ndarray:
+    """A table of the ASCII bytes that words don't hold."""
+    table = np.zeros(256, dtype=bool)
+    for low, high in ranges:
+        table[low : high + 1] = True
+    return table
+
+
+_SEP = separators((0x20, 0x20), (0x09, 0x0D))
+#: All ASCII but digits and letters; all ASCII but letters. Other characters belong to words.
+NOT_ALNUM = separators((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
+NOT_ALPHA = separators((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 _TABLES = {fold: _byte_table(fold) for fold in (False, True)}
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -74,9 +87,9 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of consecutive rows: byte bounds, row number and hash of each."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, fold: bool):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, fold: bool, sep: np.ndarray = _SEP):
         self.raw, self.offsets, self.rows = raw, offsets, len(offsets) - 1
-        solid = ~_SEP[raw] if len(raw) else np.zeros(0, bool)
+        solid = ~sep[raw] if len(raw) else np.zeros(0, bool)
         edge = np.zeros(len(raw) + 1, dtype=bool)
         edge[offsets] = True
         before = np.ones(len(raw), dtype=bool)
@@ -123,14 +136,14 @@ class Words:
         return np.concatenate(parts_row), np.concatenate(parts)
 
 
-def chunks(texts: pa.Array, fold: bool = True) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row past the last, words) of runs of rows of about CHUNK bytes."""
+def chunks(texts: pa.Array, fold: bool = True, sep: np.ndarray = _SEP, size: int = CHUNK) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row past the last, words) of runs of rows of about ``size`` bytes."""
     raw, offsets = buffers(texts)
     lo, rows = 0, len(offsets) - 1
     while lo < rows:
-        hi = int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1
+        hi = int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1
         hi = min(rows, max(hi, lo + 1))
-        yield lo, hi, Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], fold)
+        yield lo, hi, Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], fold, sep)
         lo = hi
 
 
