@@ -10,6 +10,7 @@ Hashes are 64 bits wide and depend only on the words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +89,7 @@ class Words:
     """Words of consecutive rows: byte bounds, row number and hash of each."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, fold: bool, sep: np.ndarray = _SEP):
-        self.raw, self.offsets, self.rows = raw, offsets, len(offsets) - 1
+        self.raw, self.offsets, self.rows, self.fold, self.sep = raw, offsets, len(offsets) - 1, fold, sep
         solid = ~sep[raw] if len(raw) else np.zeros(0, bool)
         edge = np.zeros(len(raw) + 1, dtype=bool)
         edge[offsets] = True
@@ -101,12 +102,26 @@ class Words:
         first = np.searchsorted(self.start, offsets)
         self.first, self.count = first[:-1], np.diff(first)
         self.row = np.repeat(np.arange(self.rows), self.count)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        raw = self.raw
         up, down = _powers(len(raw) + 1)
         total = np.zeros(len(raw) + 1, dtype=U)
         with np.errstate(over="ignore"):
-            np.cumsum(_TABLES[fold][raw] * up[: len(raw)], out=total[1:])
+            np.cumsum(_TABLES[self.fold][raw] * up[: len(raw)], out=total[1:])
             own = (total[self.end] - total[self.start]) * down[self.start]
-            self.hash = mix(own + (self.end - self.start).astype(U) * U(0xD6E8FEB86659FD93))
+            return mix(own + (self.end - self.start).astype(U) * U(0xD6E8FEB86659FD93))
+
+    def strings(self) -> pa.Array:
+        """The words themselves, folded if the hashes are."""
+        letters = np.arange(256, dtype=np.uint8)
+        if self.fold:
+            letters[65:91] += 32
+        body = letters[self.raw[~self.sep[self.raw]]]
+        offsets = np.zeros(len(self.start) + 1, np.int64)
+        np.cumsum(self.end - self.start, out=offsets[1:])
+        return pa.LargeStringArray.from_buffers(len(self.start), pa.py_buffer(offsets), pa.py_buffer(body))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of n words in one row, and the index of its first word."""
