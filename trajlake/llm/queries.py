@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontamination, divergence, embedding_dedup, fingerprint, licences, mixing, ngram_jaccard, quality, suffix_dedup, warc
+from . import bpe, chat, decontamination, divergence, embedding_dedup, fingerprint, lexical, licences, mixing, ngram_jaccard, quality, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.op8_warc,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_quality": quality.op10_quality,
+        "op11_lexical": lexical.op11_lexical,
         "op12_decontamination": decontamination.op12_decontamination,
         "op13_divergence": divergence.op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.SQL, "op7_licences": licences.SQL, "op8_warc": warc.SQL, "op12_decontamination": decontamination.SQL, "op13_divergence": divergence.SQL}
+    return {"op2_chat": chat.SQL, "op7_licences": licences.SQL, "op8_warc": warc.SQL, "op11_lexical": lexical.SQL, "op12_decontamination": decontamination.SQL, "op13_divergence": divergence.SQL}
