@@ -60,6 +60,8 @@ def test_equals_brute_force(spark, monkeypatch):
     docs, items = made(1, 400)
     check(spark, docs, items)
     monkeypatch.setattr(lexical, "SEGMENT_POSTINGS", 500)
+    monkeypatch.setattr(lexical, "RANGE_BITS", 5)
+    monkeypatch.setattr(lexical, "PROBES", 1)
     monkeypatch.setattr(lexical, "BROADCAST_ROWS", 0)
     docs, items = made(2, 900)
     check(spark, docs, items, top=3)

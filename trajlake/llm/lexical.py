@@ -23,6 +23,13 @@ TOP = 10
 ITEM_BYTES = 4 << 20
 #: Postings that are dealt into pieces of lists at once.
 SEGMENT_POSTINGS = 2_000_000
+#: Documents by item and place of the ranking that are scored exactly for the lower bound of phase 1.
+PROBES = 5
+#: Hundredths of the bound that all lists of an item together may hold back in phase 2. Less of it
+#: takes more entries from the lists and leaves fewer documents to look up.
+HELD_BACK = 50
+#: Documents of 2^RANGE_BITS numbers are summed in one task.
+RANGE_BITS = 13
 #: Candidate rows up to which their numbers are sent to all executors; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -43,25 +50,34 @@ class Queries:
         self.docs, self.words = docs, words
         weight = [math.floor(1000 * math.log((2 * docs + 2) / (2 * int(d) + 1))) if d else 0 for d in df]
         self.weight = self.repeats * np.array(weight, np.int64)[self.term]
-        self.lists = np.bincount(self.item[self.weight > 0], minlength=len(self.ids))
+        self.item_at = np.searchsorted(self.item, np.arange(len(self.ids) + 1))
 
     def bounds(self, least: np.ndarray, most: np.ndarray) -> None:
         """Phase 2 from each item's lower bound ``least`` and each list's highest impact ``most``.
 
-        A list gives the entries whose score times the number of lists reaches
-        the bound. ``slack`` is what an entry it holds back can score.
+        An item's threshold is the highest one with which entries held back by
+        each list, all below the threshold and no higher than the list's best,
+        come to HELD_BACK hundredths of the bound at most. A list gives the
+        entries that reach the lowest threshold among its items, once for all.
+        ``slack`` is what an entry that a list holds back can score.
         """
-        lists = np.maximum(1, self.lists[self.item])
-        self.from_impact = -(-least[self.item] // np.maximum(1, lists * self.weight))
-        self.slack = np.maximum(0, np.minimum((least[self.item] - 1) // lists, self.weight * most[self.term]))
-        self.open = np.zeros(len(self.ids), np.int64)
+        best = self.weight * most[self.term]
+        threshold = np.zeros(len(self.ids), np.int64)
+        for k in range(len(self.ids)):
+            tops, rest = np.sort(best[self.item_at[k] : self.item_at[k + 1]]), int(least[k]) * HELD_BACK // 100 - 1
+            left = len(tops)
+            for x in tops.tolist():
+                if left * x > rest:  # this list and all better ones hold back as much each
+                    threshold[k] = max(0, rest // left + 1)
+                    break
+                rest, left = rest - x, left - 1
         live = self.weight > 0
-        np.add.at(self.open, self.item[live], self.slack[live])
-        order = np.lexsort((self.item, self.term))
-        order = order[live[order]]
-        self.by_term = order
-        self.term_at = np.searchsorted(self.term[order], np.arange(len(self.vocabulary) + 1))
-        self.item_at = np.searchsorted(self.item, np.arange(len(self.ids) + 1))
+        self.from_impact = np.full(len(self.vocabulary), np.iinfo(np.int64).max)
+        np.minimum.at(self.from_impact, self.term[live], -(-threshold[self.item[live]] // self.weight[live]))
+        self.slack = np.where(live, np.maximum(0, np.minimum(self.weight * (self.from_impact[self.term] - 1), best)), 0)
+        self.open = np.zeros(len(self.ids), np.int64)
+        np.add.at(self.open, self.item, self.slack)
+        self.least = least
 
     def impacts(self, tf: np.ndarray, n: np.ndarray) -> np.ndarray:
         """(10^9 tf) div (1000 tf + 8 m) with m = 25 + (75 n N) div L, of documents of n terms."""
@@ -136,38 +152,48 @@ def _segments(queries: Broadcast):
 
 
 def _fetched(queries: Broadcast):
-    """(item, row, score, sure) of the entries that reach their item's threshold: a list's prefix. ``sure`` is the score less its slack."""
+    """(range, term, rows, impacts) of the entries that a list gives, by ranges of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = queries.value
+        least = queries.value.from_impact
         for batch in batches:
-            terms, rows, impacts = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-            row, impact, edge = rows.flatten().to_numpy(), impacts.flatten().to_numpy(), rows.offsets.to_numpy() - rows.offsets[0].as_py()
-            out: list[tuple] = []
-            for k, term in enumerate(terms):
-                asked = q.by_term[q.term_at[term] : q.term_at[term + 1]]
-                if not len(asked):
-                    continue
-                a, b = edge[k], edge[k + 1]
-                sizes = np.searchsorted(-impact[a:b], -q.from_impact[asked], "right")
-                asked, sizes = asked[sizes > 0], sizes[sizes > 0]
-                if len(asked):
-                    each = np.repeat(asked, sizes)
-                    at = a + np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    out.append((each, at))
-                if sum(len(x) for x, _ in out[-64:]) > 500_000:
-                    yield made(q, out, row, impact)
-                    out = []
-            if out:
-                yield made(q, out, row, impact)
-
-    def made(q: Queries, out: list[tuple], row: np.ndarray, impact: np.ndarray) -> pa.RecordBatch:
-        each, at = (np.concatenate(x) for x in zip(*out, strict=True))
-        score = q.weight[each] * impact[at].astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(q.item[each].astype(np.int32)), pa.array(row[at]), pa.array(score), pa.array(score - q.slack[each])],
-            ["item", "row", "score", "sure"],
-        )
+            term = np.repeat(batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy()))
+            row, impact = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            keep = np.flatnonzero(impact >= least[term])
+            keep = keep[np.lexsort((term[keep], row[keep] >> RANGE_BITS))]
+            if not len(keep):
+                continue
+            term, row, impact = term[keep], row[keep], impact[keep]
+            of = row >> RANGE_BITS
+            begin = np.concatenate(([0], np.flatnonzero((term[1:] != term[:-1]) | (of[1:] != of[:-1])) + 1))
+            sizes = np.diff(np.append(begin, len(term)))
+            made = [pa.array(of[begin]), pa.array(term[begin]), lists(sizes, pa.array((row & ((1 << RANGE_BITS) - 1)).astype(np.int32))), lists(sizes, pa.array(impact))]
+            yield pa.RecordBatch.from_arrays(made, ["of", "term", "places", "impacts"])
+
+    return run
+
+
+def _bounded(queries: Broadcast):
+    """(item, row, score, most) of the documents of a range that can still reach their item's bound."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        q, first = queries.value, key[0].as_py() << RANGE_BITS
+        table = table.combine_chunks()
+        held: dict[int, list[tuple]] = {}
+        for term, places, impacts in zip(table["term"].to_pylist(), table["places"].chunk(0), table["impacts"].chunk(0), strict=True):
+            held.setdefault(term, []).append((places.values.to_numpy(), impacts.values.to_numpy().astype(np.int64)))
+        out: list[tuple] = []
+        for item in range(len(q.ids)):
+            score, known = np.zeros(1 << RANGE_BITS, np.int64), np.zeros(1 << RANGE_BITS, np.int64)
+            for k in range(q.item_at[item], q.item_at[item + 1]):
+                for place, impact in held.get(int(q.term[k]), ()):
+                    score[place] += q.weight[k] * impact
+                    known[place] += q.slack[k]
+            most = score - known + q.open[item]
+            left = np.flatnonzero((score > 0) & (most >= q.least[item]))
+            out.append((np.full(len(left), item), left + first, score[left], most[left]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        return pa.table([pa.array(columns[0], pa.int32()), *map(pa.array, columns[1:])], ["item", "row", "score", "most"])
 
     return run
 
@@ -196,6 +222,13 @@ def _exact(queries: Broadcast):
     return run
 
 
+def _scored(forward: DataFrame, asked: DataFrame, queries: Broadcast, kind: str) -> DataFrame:
+    """(item, doc_id, score) of the items asked by row, a table that is counted before it is broadcast."""
+    side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    found = forward.join(side, "row").select("doc_id", "n", "terms", "tfs", "items")
+    return found.mapInArrow(_exact(queries), f"item int, doc_id {kind}, score long")
+
+
 def _kth(rows: DataFrame, score: str, top: int, items: int) -> np.ndarray:
     """By item, the ``top``-th highest score of its rows, 0 if there are fewer: one number an item."""
     by = Window.partitionBy("item").orderBy(F.desc(score))
@@ -229,32 +262,33 @@ def _search(docs: DataFrame, queries: Queries, top: int) -> tuple[DataFrame, lis
     for r in unnamed:
         held[0, r["term"]] += r["count"]
     queries.weigh(*size, held[0])
-    # Phase 1: the heads of all lists give each item a lower bound of its last place.
+    shared = context.broadcast(queries)
+    # Phase 1: the heads of all lists name documents; the exact scores of the best give each item a lower bound.
     by = Window.partitionBy("term").orderBy(F.desc("impact"), "row")
     heads = pieces.select("term", F.explode(F.arrays_zip(F.slice("rows", 1, top).alias("row"), F.slice("impacts", 1, top).alias("impact"))).alias("x"))
     heads = heads.select("term", "x.row", "x.impact").withColumn("place", F.row_number().over(by)).where(F.col("place") <= top)
     asked = spark.createDataFrame(pd.DataFrame({"item": queries.item, "term": queries.term, "weight": queries.weight}), "item int, term int, weight long")
     partial = heads.join(asked.where("weight > 0"), "term").groupBy("item", "row").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
-    least = _kth(partial, "score", top, len(queries.ids))
-    # Phase 2: every list gives its entries above the uniform threshold; what can't reach the bound goes.
+    by = Window.partitionBy("item").orderBy(F.desc("score"), "row")
+    probes = partial.withColumn("place", F.row_number().over(by)).where(F.col("place") <= PROBES * top)
+    probes = scratch(probes.groupBy("row").agg(F.collect_list("item").alias("items")), "probes")
+    least = _kth(_scored(forward, probes, shared, kind), "score", top, len(queries.ids))
+    # Phase 2: every list gives its entries above the threshold, which are summed by ranges of documents.
     queries.bounds(least, held[1])
     shared = context.broadcast(queries)
-    fetched = pieces.select("term", "rows", "impacts").mapInArrow(_fetched(shared), "item int, row long, score long, sure long")
-    limits = spark.createDataFrame(pd.DataFrame({"item": range(len(queries.ids)), "open": queries.open, "least": least}), "item int, open long, least long")
-    seen = fetched.groupBy("item", "row").agg(F.sum("score").alias("score"), F.sum("sure").alias("sure")).join(limits, "item")
-    seen = scratch(seen.where("sure + open >= least").select("item", "row", "score", (F.col("sure") + F.col("open")).alias("most")), "seen")
+    fetched = pieces.select("term", "rows", "impacts").mapInArrow(_fetched(shared), "of long, term int, places array<int>, impacts array<int>")
+    seen = fetched.groupBy("of").applyInArrow(_bounded(shared), "item int, row long, score long, most long")
+    seen = scratch(seen, "seen", rows=10_000)
     better = np.maximum(least, _kth(seen, "score", top, len(queries.ids)))
     # Phase 3: the exact scores of what is left.
     limits = spark.createDataFrame(pd.DataFrame({"item": range(len(queries.ids)), "least": better}), "item int, least long")
     left = seen.join(limits, "item").where("most >= least").groupBy("row").agg(F.collect_list("item").alias("items"))
     left = scratch(left, "candidates")
-    side = F.broadcast(left) if left.count() <= BROADCAST_ROWS else left
-    found = forward.join(side, "row").select("doc_id", "n", "terms", "tfs", "items")
-    scored = found.mapInArrow(_exact(shared), f"item int, doc_id {kind}, score long").where("score > 0")
+    scored = _scored(forward, left, shared, kind).where("score > 0")
     by = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
     best = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
     best = scratch(best.select("item", "rank", "doc_id", "score"), "ranked")
-    return best, [forward, pieces, seen, left]
+    return best, [forward, pieces, probes, seen, left]
 
 
 def lexical_search(
@@ -277,10 +311,12 @@ def lexical_search(
     each of its repeats in the item.
 
     Posting lists hold the items' terms only and lie in pieces by falling
-    score. Phase 1 takes the first ``top`` entries of each list: an item's
-    ``top``-th best partial sum is a lower bound. Phase 2 takes from each of
-    its k lists the entries of at least a k-th of the bound: a document that no
-    list gives can't reach it. Sums, and what the lists held back, bound each
+    score. Phase 1 takes the first ``top`` entries of each list; the PROBES *
+    ``top`` documents of the best partial sums are looked up, and the
+    ``top``-th exact score is an item's lower bound. Phase 2 takes from each of
+    its lists the entries above one threshold, by which a document that no list
+    gives can't reach the bound. They are shuffled by ranges of documents, each
+    posting once for all items. Sums, and what the lists held back, bound each
     document from both sides, and those below the bound go. Phase 3 scores the
     rest exactly from the table by document.
 
