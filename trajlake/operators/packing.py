@@ -35,24 +35,36 @@ def in_order_greedy(lengths: list[int], bins: int) -> list[int]:
     return out
 
 
-def largest_differencing(lengths: list[int], bins: int) -> list[int]:
-    """Karmarkar-Karp: the two partitions of widest spread merge, largest parts with smallest."""
+def largest_differencing(lengths: list[int], bins: int, equal_size: bool = False) -> list[int]:
+    """Karmarkar-Karp: the two partitions of widest spread merge, largest parts with smallest.
+
+    Parts go by sum, then number of items, then items; of equally wide
+    partitions the one with the greater largest part is first. With
+    ``equal_size`` each bin gets as many items: partitions begin as ``bins``
+    neighbours of the sorted lengths, which must come out even.
+    """
     if not lengths:
         return []
+    ranked = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
+    width = bins if equal_size else 1
+    if len(ranked) % width:
+        raise ValueError(f"{len(ranked)} items don't fill {bins} bins evenly")
+
+    def entry(parts: list[tuple]) -> tuple:
+        parts = sorted(parts, reverse=True)
+        total, count, items = parts[0]
+        return (parts[-1][0] - total, -total, -count, tuple(-i for i in items)), parts
+
     queue = []
-    for i, n in enumerate(lengths):
-        parts = [(n, (i,))] + [(0, ())] * (bins - 1)
-        queue.append((-n, i, parts))
+    for at in range(0, len(ranked), width):
+        own = [(lengths[i], 1, (i,)) for i in ranked[at : at + width]]
+        queue.append(entry(own + [(0, 0, ())] * (bins - width)))
     heapq.heapify(queue)
-    fresh = len(lengths)
     while len(queue) > 1:
-        _, _, a = heapq.heappop(queue)
-        _, _, b = heapq.heappop(queue)
-        merged = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b), strict=True)), key=lambda t: (-t[0], t[1]))
-        heapq.heappush(queue, (merged[-1][0] - merged[0][0], fresh, merged))
-        fresh += 1
+        (_, a), (_, b) = heapq.heappop(queue), heapq.heappop(queue)
+        heapq.heappush(queue, entry([(x + y, m + n, p + q) for (x, m, p), (y, n, q) in zip(a, reversed(b), strict=True)]))
     out = [0] * len(lengths)
-    for b, (_, items) in enumerate(queue[0][2]):
+    for b, (_, _, items) in enumerate(queue[0][1]):
         for i in items:
             out[i] = b
     return out
@@ -91,21 +103,28 @@ def split_bin(items: list[int], sizes: list[int]) -> tuple[list[int], list[int]]
     return halves
 
 
+def split_heaviest(rows: list[list[int]], sizes: list[int], count: int) -> list[list[int]]:
+    """The heaviest bin of several items (the later one on ties) is split until there are ``count`` bins or only single items."""
+    rows = list(rows)
+    queue = [(-sum(sizes[i] for i in row), -k) for k, row in enumerate(rows) if len(row) > 1]
+    heapq.heapify(queue)
+    while len(rows) < count and queue:
+        k = -heapq.heappop(queue)[1]
+        rows[k], more = split_bin(rows[k], sizes)
+        rows.append(more)
+        for at in (k, len(rows) - 1):
+            if len(rows[at]) > 1:
+                heapq.heappush(queue, (-sum(sizes[i] for i in rows[at]), -at))
+    return rows
+
+
 def grow_bins(sizes: list[int], capacity: int, count: int) -> list[int]:
-    """First fit, then the heaviest bin of several items (the later one on ties) is split until there are ``count`` bins or only single items."""
+    """First fit, then splits of the heaviest bins until there are ``count`` of them."""
     bins: dict[int, list[int]] = {}
     for i, b in enumerate(first_fit(sizes, capacity)):
         bins.setdefault(b, []).append(i)
-    rows = [bins[b] for b in sorted(bins)]
-    while len(rows) < count:
-        many = [(sum(sizes[i] for i in row), k) for k, row in enumerate(rows) if len(row) > 1]
-        if not many:
-            break
-        k = max(many)[1]
-        rows[k], more = split_bin(rows[k], sizes)
-        rows.append(more)
     out = [0] * len(sizes)
-    for b, row in enumerate(rows):
+    for b, row in enumerate(split_heaviest([bins[b] for b in sorted(bins)], sizes, count)):
         for i in row:
             out[i] = b
     return out
