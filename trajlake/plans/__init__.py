@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES: list[str] = ["groups_q", "text_q", "tokens_q", "events_q", "cards_q", "rubrics_q", "rollouts_q", "search_q", "flow_q", "documents_q", "streams_q", "masks_q"]
+_MODULES: list[str] = ["groups_q", "text_q", "tokens_q", "events_q", "cards_q", "rubrics_q", "rollouts_q", "search_q", "flow_q", "documents_q", "streams_q", "masks_q", "training_q"]
 
 
 def _collect(what: str) -> dict:
