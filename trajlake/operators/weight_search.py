@@ -1,71 +1,178 @@
-"""Search for robust rubric weights: coordinate moves on the grid of tenths, one instance a group."""
+"""Search for robust rubric weights: a balanced panel of drawn scores, then coordinate moves and swaps on the grid of tenths."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .weights import LEAST_TENTHS, MOST_ACTIVE, MOST_TENTHS
 
-_GRID = (0, *range(LEAST_TENTHS, MOST_TENTHS + 1))
+_GRID = np.array((0, *range(LEAST_TENTHS, MOST_TENTHS + 1)))
+#: Tenths that a swapped-in rubric is tried with, beside those of the one it replaces.
+SWAPPED = [5, 10, 20, 30, 40, 50]
+#: Numbers of the margins of several moves that are held at once.
+BLOCK = 4_000_000
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers without pattern: two rounds of multiply and shift."""
+    with np.errstate(over="ignore"):
+        for factor in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+            x = x * np.uint64(factor)
+            x = x ^ (x >> np.uint64(32))
+    return x
+
+
+def _moves(key: np.ndarray, draws: int) -> np.ndarray:
+    """By key, which draws are lower (-1) and higher (1): a tenth each, by the order of the draws' hashes."""
+    order = np.argsort(_scrambled(_scrambled(key)[:, None] + np.arange(draws, dtype=np.uint64)), axis=1, kind="stable")
+    out, rows = np.zeros((len(key), draws), np.int64), np.arange(len(key))[:, None]
+    out[rows, order[:, : draws // 10]] = -1
+    out[rows, order[:, draws - draws // 10 :]] = 1
+    return out
+
+
+def panel(raw: DataFrame, draws: int, seed: int, mapping: tuple[int, ...] = (1, 2, 3, 4, 5)) -> DataFrame:
+    """(instance, draw, pair, rubric, value) of raw scores (instance, pair, rubric, sign, left, right), draw -1 the scores as they are.
+
+    ``left`` and ``right`` are arrays of scores 1 to 5. In a tenth of the draws
+    each of them is one lower, in a tenth one higher, within 1 to 5; which ones
+    follows from a hash of seed, cell, side, place and draw. The value is the
+    sign times the difference of both sides' mean mapped scores. ``draws`` is a
+    multiple of ten. A cell with an empty or null side is left out.
+    """
+    if draws < 10 or draws % 10:
+        raise ValueError("draws must be a positive multiple of ten")
+    worth = np.array(mapping, float)
+    cell = F.xxhash64(F.lit(seed), "instance", "pair", "rubric").alias("cell")
+    rows = raw.where("size(left) > 0 and size(right) > 0").select("instance", "pair", "rubric", "sign", cell, *(F.col(c).cast("array<int>").alias(c) for c in ("left", "right")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = np.zeros((batch.num_rows, draws + 1))
+            for side, sign in ((0, 1), (1, -1)):
+                lists = batch.column(5 + side)
+                sizes = np.diff(lists.offsets.to_numpy())
+                row, scores = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy()
+                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                with np.errstate(over="ignore"):
+                    key = batch.column(4).to_numpy().view(np.uint64)[row] + (place * 2 + side).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+                moved = scores[:, None] + np.concatenate((np.zeros((len(row), 1), np.int64), _moves(key, draws)), axis=1)
+                np.add.at(value, row, sign * worth[np.clip(moved, 1, 5) - 1] / sizes[row][:, None])
+            value *= batch.column(3).to_numpy().astype(float)[:, None]
+            each = pa.array(np.repeat(np.arange(batch.num_rows), draws + 1))
+            draw = np.tile(np.arange(-1, draws, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(each), pa.array(draw), batch.column(1).take(each), batch.column(2).take(each), pa.array(value.ravel())], ["instance", "draw", "pair", "rubric", "value"]
+            )
+
+    kind = {c: raw.schema[c].dataType.simpleString() for c in ("instance", "pair", "rubric")}
+    return rows.mapInArrow(run, f"instance {kind['instance']}, draw int, pair {kind['pair']}, rubric {kind['rubric']}, value double")
 
 
 class _Problem:
     """Score differences draws x pairs x rubrics of one instance; the nominal ones are a draw of their own."""
 
     def __init__(self, drawn: np.ndarray, nominal: np.ndarray, base: np.ndarray):
-        self.drawn, self.nominal = drawn, nominal
+        self.drawn, self.nominal = np.ascontiguousarray(np.moveaxis(drawn, 2, 0)), np.ascontiguousarray(nominal.T)
         self.base = base / max(base.sum(), 1)
-        self.worst = max(1, -(-len(drawn) // 10))
+        self.worst = max(1, -(-drawn.shape[0] // 10))
 
-    def score(self, w: np.ndarray) -> tuple:
-        """Greater is better: correct over all draws, over the worst tenth, nominally; margin, fewer and evener weights, nearness to the base."""
-        right = (self.drawn @ w > 0).sum(axis=1)
-        margin = self.nominal @ w
+    def margins(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.tensordot(w, self.drawn, 1), w @ self.nominal
+
+    def _key(self, w: np.ndarray, right: np.ndarray, margin: np.ndarray) -> tuple:
         active, total = int((w > 0).sum()), max(int(w.sum()), 1)
         even = w[w > 0].min() / w.max() if active else 0.0
         far = np.abs(w / total - self.base).sum()
-        return (int(right.sum()), int(np.sort(right)[: self.worst].sum()), int((margin > 0).sum()), round(float(margin.sum()) / total, 12), -active, even, -round(float(far), 12), *(-w))
+        worst = np.partition(right, self.worst - 1)[: self.worst].sum()
+        return (int(right.sum()), int(worst), int((margin > 0).sum()), round(float(margin.sum()) / total, 12), -active, float(even), -round(float(far), 12))
 
+    def key(self, w: np.ndarray) -> tuple:
+        """Greater is better: correct over all draws, over the worst tenth, nominally; margin, fewer and evener weights, nearness to the base."""
+        drawn, nominal = self.margins(w)
+        return self._key(w, (drawn > 0).sum(axis=1), nominal)
 
-def improve(problem: _Problem, start: np.ndarray, sweeps: int, active: int = MOST_ACTIVE) -> np.ndarray:
-    """The best vector that single changes, then swaps of an active for an idle rubric, reach in at most ``sweeps`` rounds."""
-    best, value = start.copy(), problem.score(start)
-
-    def attempt(w: np.ndarray) -> bool:
-        nonlocal best, value
-        if 0 < (w > 0).sum() <= active and (found := problem.score(w)) > value:
-            best, value = w, found
-            return True
-        return False
+    def score(self, w: np.ndarray) -> tuple:
+        return (*self.key(w), *(-w))
+
+    def best_of(self, w: np.ndarray, held: tuple[np.ndarray, np.ndarray], moves: list[dict[int, int]]) -> tuple[tuple, np.ndarray] | None:
+        """The best of the vectors that moves {rubric: tenths} make of ``w``, with its score; margins change by the moved columns alone."""
+        drawn, nominal = held
+        best = None
+        for move in moves:
+            v, d, n = w.copy(), drawn, nominal
+            for r, tenths in move.items():
+                step = tenths - w[r]
+                v[r] = tenths
+                if step:
+                    d, n = d + step * self.drawn[r], n + step * self.nominal[r]
+            found = (*self._key(v, (d > 0).sum(axis=1), n), *(-v))
+            if best is None or found > best[0]:
+                best = (found, v)
+        return best
+
+    def column(self, w: np.ndarray, held: tuple[np.ndarray, np.ndarray], r: int, values: np.ndarray) -> tuple[tuple, np.ndarray]:
+        """The best vector with another weight of one rubric: margins of all its weights are counted in blocks of pairs."""
+        drawn, nominal = held
+        steps = values - w[r]
+        right = np.zeros((len(values), drawn.shape[0]), np.int64)
+        span = max(1, BLOCK // max(1, len(values) * drawn.shape[0]))
+        for at in range(0, drawn.shape[1], span):
+            part = drawn[None, :, at : at + span] + steps[:, None, None] * self.drawn[r][None, :, at : at + span]
+            right += (part > 0).sum(axis=2)
+        best = None
+        for k, tenths in enumerate(values):
+            v = w.copy()
+            v[r] = tenths
+            found = (*self._key(v, right[k], nominal + steps[k] * self.nominal[r]), *(-v))
+            if best is None or found > best[0]:
+                best = (found, v)
+        return best
+
+
+def improve(problem: _Problem, start: np.ndarray, sweeps: int, active: int = MOST_ACTIVE, swaps: int = 2) -> np.ndarray:
+    """Sweeps over the rubrics, each set to its best weight, until one changes nothing; then rounds of the best swap of an active for an idle one."""
+    w = np.array(start, np.int64)
+    held, value = problem.margins(w), problem.key(w)
+    size = len(value)
+
+    def take(found: tuple[tuple, np.ndarray] | None) -> bool:
+        nonlocal w, held, value
+        if found is None or found[0][:size] <= value:
+            return False
+        for r in np.flatnonzero(found[1] != w):
+            step = found[1][r] - w[r]
+            held = (held[0] + step * problem.drawn[r], held[1] + step * problem.nominal[r])
+        w, value = found[1], found[0][:size]
+        return True
 
     for _ in range(sweeps):
-        moved = False
-        for r in range(len(best)):
-            for tenths in _GRID:
-                if tenths != best[r]:
-                    w = best.copy()
-                    w[r] = tenths
-                    moved |= attempt(w)
-        for on in np.flatnonzero(best > 0):
-            for off in np.flatnonzero(best == 0):
-                if best[on] > 0 and best[off] == 0:
-                    w = best.copy()
-                    w[off], w[on] = w[on], 0
-                    moved |= attempt(w)
-        if not moved:
+        changed = False
+        for r in range(len(w)):
+            others = int((np.delete(w, r) > 0).sum())
+            values = _GRID if 0 < others < active else _GRID[1:] if others < active else _GRID[:1]
+            changed |= take(problem.column(w, held, r, values))
+        if not changed:
+            break
+    for _ in range(swaps):
+        moves = [{on: 0, off: t} for on in np.flatnonzero(w > 0) for off in np.flatnonzero(w == 0) for t in dict.fromkeys([*SWAPPED, int(w[on])])]
+        if not take(problem.best_of(w, held, moves)):
             break
-    return best
+    return w
 
 
-def starts(problem: _Problem, base: np.ndarray, count: int, seed: int, active: int = MOST_ACTIVE) -> list[np.ndarray]:
-    """The base, each rubric alone, the best ones together one by one, and ``count`` random vectors: without repeats."""
+def starts(problem: _Problem, base: np.ndarray, count: int, seed: int, active: int = MOST_ACTIVE) -> Iterator[np.ndarray]:
+    """The base, the four best rubrics alone, the best ones together, and ``count`` random vectors: without repeats."""
     n = len(base)
     single = np.eye(n, dtype=np.int64) * MOST_TENTHS
-    order = sorted(range(n), key=lambda r: problem.score(single[r]), reverse=True)
-    rows = [base, *single]
+    order = sorted(range(n), key=lambda r: problem.key(single[r]), reverse=True)
+    rows = [base, *(single[r] for r in order[:4])]
     rows += [single[order[:k]].sum(axis=0) for k in range(2, min(active, n) + 1)]
     rng = np.random.default_rng(seed)
     for _ in range(count):
@@ -73,15 +180,19 @@ def starts(problem: _Problem, base: np.ndarray, count: int, seed: int, active: i
         chosen = rng.choice(n, size=int(rng.integers(1, min(active, n) + 1)), replace=False)
         w[chosen] = rng.integers(LEAST_TENTHS, MOST_TENTHS + 1, size=len(chosen))
         rows.append(w)
-    return [np.array(w) for w in dict.fromkeys(map(tuple, rows)) if 0 < np.count_nonzero(w) <= active]
+    for w in dict.fromkeys(map(tuple, rows)):
+        if 0 < np.count_nonzero(w) <= active:
+            yield np.array(w)
 
 
-def search_weights(cells: DataFrame, base: DataFrame, sweeps: int = 3, random_starts: int = 10, seed: int = 20260814, active: int = MOST_ACTIVE) -> DataFrame:
+def search_weights(cells: DataFrame, base: DataFrame, sweeps: int = 3, random_starts: int = 10, seed: int = 20260814, active: int = MOST_ACTIVE, tried: int = 4) -> DataFrame:
     """(instance, rubric, tenths): the best weights found for each instance.
 
     cells: (instance, draw, pair, rubric, value), signed score differences, draw
     -1 the nominal ones; base: (instance, rubric, tenths), all rubrics. Starts
-    and moves follow from the seed; one instance is held in memory.
+    follow from the seed; the ``tried`` best ones are improved, and of equal
+    results the lighter one wins. A move recomputes the margins of the columns
+    it changes. One instance is held in memory.
     """
     # Casts give both sides columns of their own, also where they come from one table.
     both = cells.selectExpr("cast(instance as string) AS instance", "draw", "pair", "cast(rubric as string) AS rubric", "cast(value as double) AS value")
@@ -99,7 +210,8 @@ def search_weights(cells: DataFrame, base: DataFrame, sweeps: int = 3, random_st
         drawn = cube[[k for v, k in draws.items() if v != -1] or [0]]
         first = right["tenths"].to_numpy(dtype=np.int64)
         problem = _Problem(drawn, nominal, first)
-        best = max((improve(problem, w, sweeps, active) for w in starts(problem, first, random_starts, seed, active)), key=problem.score)
+        begins = sorted(starts(problem, first, random_starts, seed, active), key=problem.key, reverse=True)[:tried]
+        best = max((improve(problem, w, sweeps, active) for w in begins), key=problem.score)
         return pd.DataFrame({"instance": key[0], "rubric": rubrics, "tenths": best.astype("int32")})
 
     found = both.groupBy("instance").cogroup(own.groupBy("instance")).applyInPandas(run, "instance string, rubric string, tenths int")

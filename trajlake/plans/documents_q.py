@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import documents as j
 from ..functions.text import compression
 from ..operators import weight_search
-from .groups_q import _lines, _t
+from .groups_q import _t
 
 _C = F.col
 
@@ -54,16 +55,39 @@ def repetition_flags(spark, d):
     return rows.select("doc_id", F.coalesce(_C("r") > 10, F.lit(False)).alias("repeats"))
 
 
+def _raw_scores(spark, d):
+    """Pairs of neighbouring lines of a supplier under four rubrics: two scores a side from price, tax, discount and quantity."""
+    score = lambda c: (F.floor(c) % 5 + 1).cast("int")
+    rows = _t(spark, d, "lineitem")
+    by = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    kinds = ["l_quantity", "l_extendedprice", "l_discount * 100", "l_tax * 100"]
+    own = rows.select("l_suppkey", F.row_number().over(by).alias("pair"), *(F.array(score(F.expr(e)), score(F.expr(f"({e}) / 2"))).alias(f"k{k}") for k, e in enumerate(kinds)))
+    ahead = Window.partitionBy("l_suppkey").orderBy("pair")
+    both = own.select("*", *(F.lead(f"k{k}").over(ahead).alias(f"n{k}") for k in range(4))).where("n0 is not null")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("rubric"), F.col(f"k{k}").alias("left"), F.col(f"n{k}").alias("right")) for k in range(4)))).alias("x")
+    return both.select(_C("l_suppkey").alias("instance"), "pair", each, F.when(_C("pair") % 2 == 0, 1).otherwise(-1).alias("sign")).select("instance", "pair", "sign", "x.*")
+
+
+def panel_draws(spark, d):
+    """Every score keeps its place in the panel: as many draws lower as higher, nominal values from the scores."""
+    raw = _raw_scores(spark, d)
+    rows = weight_search.panel(raw, 10, 7)
+    return rows.groupBy("instance").agg(F.count("*").alias("cells"), F.round(F.sum(F.when(_C("draw") == -1, _C("value"))), 6).alias("nominal"))
+
+
 def searched_weights(spark, d):
-    rows = _lines(spark, d).where("l_orderkey % 60 = 7").select((_C("l_orderkey") % 3).alias("instance"), _C("l_orderkey").alias("pair"), ((_C("pos") - 1) % 4).alias("rubric"), (_C("l_quantity") - 25).alias("value"))
-    rows = rows.groupBy("instance", "pair", "rubric").agg(F.sum("value").alias("value"))
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(9)))).withColumn("value", _C("value") + F.when(_C("draw") >= 0, F.pmod(F.xxhash64("pair", "rubric", "draw"), F.lit(21)) - 10).otherwise(0))
-    base = rows.select("instance", "rubric").distinct().withColumn("tenths", F.lit(10))
-    return weight_search.search_weights(drawn, base, 1, 2)
+    """Weights of four rubrics for each supplier over all of its lines."""
+    raw = _raw_scores(spark, d)
+    base = raw.select("instance", "rubric").distinct().withColumn("tenths", F.lit(10))
+    return weight_search.search_weights(weight_search.panel(raw, 10, 7), base, 2, 2)
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
 SQL = {
+    "panel_draws": """WITH o AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax) AS pair, [[1 + floor(l_quantity) % 5, 1 + floor(l_quantity / 2) % 5], [1 + floor(l_extendedprice) % 5, 1 + floor(l_extendedprice / 2) % 5],
+  [1 + floor(l_discount * 100) % 5, 1 + floor(l_discount * 100 / 2) % 5], [1 + floor(l_tax * 100) % 5, 1 + floor(l_tax * 100 / 2) % 5]] AS k FROM lineitem),
+b AS (SELECT l_suppkey, pair, k, lead(k) OVER (PARTITION BY l_suppkey ORDER BY pair) AS n FROM o)
+SELECT l_suppkey AS instance, 44 * count(*) AS cells, round(sum(CASE WHEN pair % 2 = 0 THEN 1 ELSE -1 END * (list_sum(list_transform(k, lambda x: list_sum(x) / 2)) - list_sum(list_transform(n, lambda x: list_sum(x) / 2)))), 6) AS nominal FROM b WHERE n IS NOT NULL GROUP BY 1""",
     "stable_ids": """SELECT page_id, sha256('{"list":[{"b":"x\\ny"},{"b":"t"}],"none":"","page_id":' || page_id || CASE WHEN url IS NULL THEN '' ELSE ',"url":' || to_json(url) END || '}') AS key FROM pages""",
     "flat_texts": "SELECT page_id, CASE WHEN url IS NULL OR url = '' THEN '' ELSE 'url: ' || url || chr(10) END || 'page_id: ' || page_id || chr(10) || 'list: b: x' || chr(10) || 'y' || chr(10) || 'b: t' AS text FROM pages",
     "markdown_texts": "SELECT page_id, '- **url**: ' || url || chr(10) || '- **page_id**: ' || page_id || chr(10) || '- **list**:' || chr(10) || '  -' || chr(10) || '    - **b**:' || chr(10) || '      x' || chr(10) || '      y' || chr(10) || '  -' || chr(10) || '    - **b**: t' || chr(10) || '- **none**: ' AS text FROM pages",
