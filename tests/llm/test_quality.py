@@ -85,3 +85,28 @@ def test_gradient_equals_finite_differences():
             down = loss()
             value[at] = keep
             assert abs((up - down) / (2 * step) - slope[at]) < 1e-6
+
+
+def test_decay_is_chosen_within_the_training_rows(spark):
+    from trajlake.llm.quality import DECAY, choose_decay
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    best, losses = choose_decay(docs, labels, decays=(1e-3, 1e-2), folds=2, fit_docs=150)
+    assert best == min(losses, key=losses.get) == DECAY
+    # Turned labels of held-out rows change nothing.
+    held = "pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2"
+    turned = labels.selectExpr("doc_id", f"CASE WHEN {held} THEN 1 - quality ELSE quality END AS quality")
+    assert choose_decay(docs, turned, decays=(1e-3, 1e-2), folds=2, fit_docs=150) == (best, losses)
+    assert choose_decay(docs, labels.limit(0)) == (1e-2, {})
+
+
+def test_sample_ends_at_its_passages(spark):
+    from trajlake.llm.quality import _sample
+
+    docs = spark.createDataFrame([(i, "word " * (64 * 5)) for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality")
+    whole = _sample(docs, labels, "doc_id", "text", "quality", 100, 10**6)
+    assert len(whole[2]) == docs.count() and np.bincount(whole[1]).tolist() == [5] * len(whole[2])
+    part = _sample(docs, labels, "doc_id", "text", "quality", 100, 130)
+    assert 0 < len(part[2]) < len(whole[2]) and np.bincount(part[1]).tolist() == [5] * len(part[2])
+    assert _sample(docs, labels, "doc_id", "text", "quality", 100, 3) is None

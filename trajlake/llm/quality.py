@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import parts, read
@@ -16,11 +16,13 @@ from .wordhash import Words, chunks, mix
 PASSAGE_WORDS = 64
 #: At most so many labelled documents of each class are used to fit (the bound of the training sample).
 FIT_DOCS = 2000
-#: At most so many passages of a document, evenly spaced, are used to fit; all are scored.
-FIT_PASSAGES = 256
+#: At most so many passages, of whole documents, are used to fit: documents of the sample are taken by hash until it is full.
+FIT_PASSAGES = 400_000
 #: A document is kept from this score on.
 THRESHOLD = 0.7
-HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 24, 12, 220, 0.02, 1e-3
+HIDDEN, ATTENTION, EPOCHS, RATE = 24, 12, 220, 0.02
+#: Weight decay: the best of DECAYS by ``choose_decay`` over the training rows of the test tables.
+DECAY, DECAYS, FOLDS = 1e-3, (1e-4, 1e-3, 1e-2), 4
 
 _GROUPS = [
     b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".", b",",
@@ -134,7 +136,7 @@ class AttentionModel:
         }
 
     @classmethod
-    def fit(cls, x: np.ndarray, row: np.ndarray, y: np.ndarray, weight: np.ndarray) -> AttentionModel:
+    def fit(cls, x: np.ndarray, row: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = DECAY) -> AttentionModel:
         """Full-batch Adam on the weighted logistic loss; the same input gives the same model."""
         rng = np.random.default_rng(7)
         f, rows = x.shape[1], len(y)
@@ -152,7 +154,7 @@ class AttentionModel:
         for step in range(1, EPOCHS + 1):
             grad = model.gradient(x, row, y, weight)
             for k in w:
-                grad[k] = grad[k] + DECAY * w[k]
+                grad[k] = grad[k] + decay * w[k]
                 first[k] = 0.9 * first[k] + 0.1 * grad[k]
                 second[k] = 0.999 * second[k] + 0.001 * grad[k] ** 2
                 w[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
@@ -168,32 +170,17 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, row, x in passages(batch.column(3)):
             cut = np.searchsorted(row, np.arange(hi - lo + 1))
-            some = lambda a, b: np.unique(np.linspace(a, b - 1, min(b - a, FIT_PASSAGES)).astype(np.int64))
-            data = [x[some(a, b)].astype("<f4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            data = [x[a:b].astype("<f4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:3], pa.array(data, pa.binary())], ["doc_id", "label", "weight", "bag"]
             )
 
 
-def fit_quality(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "quality",
-    fit_docs: int = FIT_DOCS,
-) -> AttentionModel:
-    """The model fitted on at most ``fit_docs`` labelled documents of each class, FIT_PASSAGES passages of each.
-
-    Documents with crc32(id) mod 4 = 2 are held out. The sample is the ids of
-    least hash; weights restore the classes' shares. Only that bounded sample
-    is broadcast and only its passage features reach the driver. Labels other
-    than 0 and 1, null ids and ids without a document are passed over; ids
-    labelled twice count twice, and of texts that repeat an id the least is
-    used. Without any label the score is 0.5.
-    """
-    spark = docs.sparkSession
+def _sample(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_docs: int, fit_passages: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(passage features, document of each, labels, weights) of the training sample; none without labelled documents."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~_held_out(F.col("doc_id")))
     shares = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -203,22 +190,72 @@ def fit_quality(
         one = one.withColumn("weight", F.lit(n / min(n, fit_docs)))
         some = one if some is None else some.unionByName(one)
     if some is None:
-        return AttentionModel(_neutral())
+        return None
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     some = some.groupBy("doc_id", "label").agg(F.sum("weight").alias("weight"))
     bags = plain.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text"))
+    # Whole documents by hash, as long as their passages (at least half a character to a word) fit the bound.
+    most = F.greatest(F.lit(1), F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / 2 / PASSAGE_WORDS))
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "label").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = bags.select("doc_id", "label", most.alias("most"))
+    taken = sizes.withColumn("upto", F.sum("most").over(upto)).where(F.col("upto") <= fit_passages)  # a row for each document of the sample
+    bags = bags.join(F.broadcast(taken.select("doc_id", "label")), ["doc_id", "label"]).select("doc_id", "label", "weight", "text")
     rows = bags.mapInArrow(_bags, "doc_id long, label int, weight double, bag binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, bytes(r.bag)))
     if not rows:
-        return AttentionModel(_neutral())
+        return None
     x = [np.frombuffer(r.bag, "<f4").reshape(-1, FEATURES) for r in rows]
     row = np.repeat(np.arange(len(rows)), [len(b) for b in x])
-    return AttentionModel.fit(
-        np.concatenate(x).astype(float),
-        row,
-        np.array([r.label for r in rows], float),
-        np.array([r.weight for r in rows]),
-    )
+    return np.concatenate(x).astype(float), row, np.array([r.label for r in rows], float), np.array([r.weight for r in rows])
+
+
+def fit_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    fit_docs: int = FIT_DOCS,
+    fit_passages: int = FIT_PASSAGES,
+    decay: float = DECAY,
+) -> AttentionModel:
+    """The model fitted on at most ``fit_docs`` labelled documents of each class, with all of their passages.
+
+    Documents with crc32(id) mod 4 = 2 are held out. The sample is the ids of
+    least hash; weights restore the classes' shares. It ends before its
+    passages could exceed ``fit_passages``, which bounds what the driver holds.
+    Only that bounded sample is broadcast and only its passage features reach
+    the driver. Labels other than 0 and 1, null ids and ids without a document
+    are passed over; ids labelled twice count twice, and of texts that repeat
+    an id the least is used. Without any label the score is 0.5.
+    """
+    sample = _sample(docs, labels, id_col, text_col, label_col, fit_docs, fit_passages)
+    return AttentionModel(_neutral()) if sample is None else AttentionModel.fit(*sample, decay=decay)
+
+
+def choose_decay(docs: DataFrame, labels: DataFrame, decays: tuple = DECAYS, folds: int = FOLDS, fit_docs: int = FIT_DOCS, **names) -> tuple[float, dict[float, float]]:
+    """(the best weight decay, weighted log loss by decay): folds within the training sample alone; ties go to the stronger decay.
+
+    Every ``folds``-th document is scored by a model of the others. Held-out
+    rows take no part.
+    """
+    sample = _sample(docs, labels, names.get("id_col", "doc_id"), names.get("text_col", "text"), names.get("label_col", "quality"), fit_docs, names.get("fit_passages", FIT_PASSAGES))
+    if sample is None:
+        return max(decays), {}
+    x, row, y, weight = sample
+    losses = dict.fromkeys(decays, 0.0)
+    for fold in range(folds):
+        own = np.arange(len(y)) % folds == fold
+        parts_ = []
+        for side in (~own, own):
+            keep = side[row]
+            parts_.append((x[keep], np.searchsorted(np.flatnonzero(side), row[keep]), y[side], weight[side]))
+        for decay in decays:
+            if len(parts_[0][2]) and len(parts_[1][2]):
+                p = AttentionModel.fit(*parts_[0], decay=decay).score(parts_[1][0], parts_[1][1], len(parts_[1][2]))
+                right = np.where(parts_[1][2] == 1, p, 1 - p)
+                losses[decay] -= float((parts_[1][3] * np.log(np.maximum(right, 1e-12))).sum() / weight.sum())
+    return min(sorted(decays, reverse=True), key=lambda d: round(losses[d], 9)), losses
 
 
 def _neutral() -> dict[str, np.ndarray]:
