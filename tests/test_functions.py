@@ -39,3 +39,20 @@ def test_masked_spans(spark):
     df = spark.createDataFrame(rows, "t array<int>, m array<int>")
     got = [r[0] for r in df.select(tokens.masked_spans(F.col("t"), F.col("m"))).collect()]
     assert got == [[[1, 2], [4]], [], []]
+
+
+def test_dedupe_fold_keeps_first_forms_of_many_lines(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from trajlake.functions.text import dedupe_fold
+
+    lines = [" B ", "a", "", "b", "A ", "  ", "É", "é", None, "c"]
+    rows = spark.createDataFrame([(lines,), ([],), (None,)], "x array<string>")
+    assert [r[0] for r in rows.select(dedupe_fold("x")).collect()] == [["B", "a", "É", "c"], [], None]
+    many = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.concat(F.lit("Line "), (i % 15_000).cast("string"))).alias("x"))
+    many.select(F.size(dedupe_fold("x"))).collect()
+    began = time.time()
+    assert many.select(F.size(dedupe_fold("x"))).first()[0] == 15_000
+    assert time.time() - began < 5

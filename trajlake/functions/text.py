@@ -66,9 +66,11 @@ def squeeze(text: Column) -> Column:
 
 
 def dedupe_fold(values: Column) -> Column:
-    """Trimmed, blanks dropped, the first of each lower-cased form, in order."""
+    """Trimmed, blanks dropped, the first of each lower-cased form, in order: the heads of the sorted forms' runs."""
     kept = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
-    return let(kept, lambda a: F.filter(a, lambda v, i: F.array_position(F.transform(a, F.lower), F.lower(v)) == i + 1))
+    forms = F.array_sort(F.transform(kept, lambda v, i: F.struct(F.lower(v).alias("form"), i.alias("at"), v.alias("text"))))
+    heads = let(forms, lambda s: F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["form"] != x["form"])))
+    return F.transform(F.array_sort(F.transform(heads, lambda x: F.struct(x["at"], x["text"]))), lambda x: x["text"])
 
 
 def clean_keyword(phrase: Column, forbidden: str, generic: list[str]) -> Column:
