@@ -49,7 +49,7 @@ def test_empty_repeated_null(spark):
 
 
 def test_recall_at_the_defaults(spark):
-    """All of a table, in two multiples of its size, with the parameters that its number of rows gives."""
+    """All of a table, with the parameters that its number of rows gives."""
     one = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     data = [(r.vec_id, r.embedding) for r in one.collect()]
     unit = np.array([np.array(v, float) / np.linalg.norm(v) for _, v in data])
@@ -60,7 +60,40 @@ def test_recall_at_the_defaults(spark):
 
 
 def test_tables_follow_the_number_of_vectors():
-    for n in (0, 1, 10**3, 10**6, 10**9, 10**12):
-        bits, tables = op.tables_for(n, 0.9)
-        assert n / 2**bits <= op.BUCKET or bits == 24
-        assert tables == 255 or 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables >= op.RECALL
+    for threshold in (0.95, 0.9, 0.8, 0.5, 0.0, -1.0):
+        for n in (0, 1, 10**3, 10**6, 10**9, 10**12, 10**15):
+            bits, tables = op.tables_for(n, threshold)
+            agree = 1 - np.arccos(threshold) / np.pi
+            assert 1 - (1 - agree**bits) ** tables >= op.RECALL - 1e-9 and 1 <= tables <= op.MOST_TABLES and 0 <= bits <= op.MOST_BITS
+    assert op.tables_for(10**9, 0.9)[0] == 21 and op.tables_for(10**9, 0.8)[0] == 21
+    assert op.tables_for(10**9, -1.0) == (0, 1)
+
+
+def test_recall_with_the_bits_of_a_billion_vectors(spark):
+    """Planted pairs at the threshold, with 21 bits and as many tables as 10^9 vectors get."""
+    rng = np.random.default_rng(9)
+    for threshold, pairs in ((0.9, 150), (0.8, 40)):
+        data = []
+        for k in range(pairs):
+            a, b = rng.standard_normal((2, 48))
+            a /= np.linalg.norm(a)
+            b -= (b @ a) * a
+            b /= np.linalg.norm(b)
+            c = threshold + 0.0005
+            data += [(2 * k, a.tolist()), (2 * k + 1, (c * a + np.sqrt(1 - c * c) * b).tolist())]
+        bits, tables = op.tables_for(10**9, threshold)
+        assert bits == 21
+        df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+        got = near_vectors(df, threshold=threshold, bits=bits, tables=tables).collect()
+        found = {r.vec_id for r in got if r.component_id == r.vec_id - 1 and r.vec_id % 2}
+        assert len(found) >= 0.93 * pairs
+        unit = np.array([np.array(v) / np.linalg.norm(v) for _, v in data])
+        near = (unit @ unit.T >= threshold).sum(axis=1) - 1
+        assert all(r.n_links <= near[r.vec_id] for r in got)
+
+
+def test_no_bits_compare_all(spark):
+    data = rows()
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = near_vectors(df, bits=0, tables=1).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(data)

@@ -23,18 +23,28 @@ PIECE = 2048
 SEED = 20240229
 
 
+#: Tables and sign bits that a bucket's number has room for. Where a threshold asks for more tables, fewer bits make up
+#: for it: buckets grow, and as pieces of them are compared whole, the recall stays.
+MOST_TABLES, MOST_BITS = 1024, 32
+
+
 def tables_for(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
-    """(sign bits a table, tables) for ``n`` vectors.
+    """(sign bits a table, tables) for ``n`` vectors, with which a pair at the threshold meets with probability ``recall``.
 
     Bits grow with log2 n, so that a bucket's size and the comparisons a
     vector has don't. Two vectors at the threshold agree in a sign with
     probability 1 - angle / pi; so many tables make up for all bits agreeing.
+    Without bits all vectors are one bucket.
     """
-    bits = min(24, max(4, math.ceil(math.log2(max(n, 1) / BUCKET))))
-    meet = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
-    if meet >= 1:
-        return bits, 1
-    return bits, min(255, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))) if meet > 0 else 255
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    for bits in range(min(MOST_BITS, max(4, math.ceil(math.log2(max(n, 1) / BUCKET)))), 0, -1):
+        meet = agree**bits
+        if meet >= recall:
+            return bits, 1
+        tables = math.log(1 - recall) / math.log1p(-meet) if meet > 1e-12 else math.inf
+        if tables <= MOST_TABLES:
+            return bits, math.ceil(tables)
+    return 0, 1
 
 
 def _planes(dim: int, bits: int, tables: int) -> np.ndarray:
@@ -63,7 +73,7 @@ def _place(bits: int, tables: int, payload: bool):
                 raw = values[begin[at][:, None] + np.arange(dim)]
                 signs = (_unit(raw) @ _planes(dim, bits, tables) > 0).reshape(len(at), tables, bits)
                 code = signs @ weight
-                bucket = (np.int64(dim) << 40) + (np.arange(tables, dtype=np.int64) << 32) + code
+                bucket = (np.int64(dim) << 42) + (np.arange(tables, dtype=np.int64) << 32) + code
                 if not payload:
                     yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel())], ["bucket"])
                     continue
@@ -130,7 +140,7 @@ def _compare(threshold: float, bits: int):
             part = table.column("part").to_numpy()
             lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
             bucket = table.column("bucket")[0].as_py()
-            dim, tab = bucket >> 40, bucket >> 32 & 255
+            dim, tab = bucket >> 42, bucket >> 32 & (MOST_TABLES - 1)
             ids = table.column("id").to_numpy()
             copies = table.column("copies").to_numpy()
             codes = np.stack([np.frombuffer(x, "<u4" if bits > 16 else "<u2") for x in table.column("codes").to_pylist()])
