@@ -14,14 +14,10 @@ from .groups_q import _t
 _C = F.col
 
 
-def _scores(spark, d):
+def bm25(spark, d):
     docs, items = _t(spark, d, "documents"), _t(spark, d, "benchmark")
     words = F.array_remove(F.split(F.lower("text"), "[^a-z0-9]+"), "")
-    return retrieval.bm25(docs, "doc_id", words, items, "item_id", words)
-
-
-def bm25(spark, d):
-    return retrieval.top_k(_scores(spark, d), "item_id", "doc_id", 6).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.bm25_top_k(docs, "doc_id", words, items, "item_id", words, 6).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 def rank_fusion(spark, d):
