@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +16,21 @@ _CLOSED = ["yes", "no", "noanswer"]
 def f1_table(df: DataFrame, key: str, prediction: str, truth: str) -> DataFrame:
     """(key, f1, precision, recall) of each row: multisets of the words of normalised answers.
 
-    Words are counted by key, so a text may be of any length; a closed answer
+    A row's words are counted where it lies, so none is shuffled; a closed answer
     (yes, no, noanswer) must be equal. Null or without a common word: zeros.
     """
+
+    @F.pandas_udf("k long, a long, b long")
+    def counts(p: pd.Series, t: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x, y in zip(p, t, strict=True):
+            a, b = (Counter(w for w in s.split(" ") if w) for s in (x, y))
+            rows.append((sum((a & b).values()), a.total(), b.total()))
+        return pd.DataFrame(rows, columns=["k", "a", "b"])
+
     pair = df.select(key, normalize_answer(F.coalesce(prediction, F.lit(""))).alias("p"), normalize_answer(F.coalesce(truth, F.lit(""))).alias("t"))
     apart = (F.col("p") != F.col("t")) & (F.col("p").isin(_CLOSED) | F.col("t").isin(_CLOSED))
-    sides = F.array(F.struct(F.lit(1).alias("x"), F.lit(0).alias("y"), F.col("p").alias("s")), F.struct(F.lit(0).alias("x"), F.lit(1).alias("y"), F.col("t").alias("s")))
-    words = pair.select(key, apart.alias("apart"), F.explode(sides).alias("o")).select(key, "apart", "o.x", "o.y", F.explode(F.split("o.s", " ")).alias("w"))
-    # A blank side keeps its key by a blank word, which counts for nothing.
-    counts = words.groupBy(key, "w").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.first("apart").alias("apart"))
-    some = lambda c: F.sum(F.when(F.col("w") != "", c).otherwise(0))
-    out = counts.groupBy(key).agg(some(F.least("x", "y")).alias("k"), some(F.col("x")).alias("a"), some(F.col("y")).alias("b"), F.first("apart").alias("apart"))
+    out = pair.select(key, apart.alias("apart"), counts("p", "t").alias("c")).select(key, "apart", "c.*")
     right = (F.col("k") > 0) & ~F.col("apart")
     value = lambda c: F.when(right, c).otherwise(0.0)
     return out.select(key, value(2.0 * F.col("k") / (F.col("a") + F.col("b"))).alias("f1"), value(F.col("k") / F.col("a")).alias("precision"), value(F.col("k") / F.col("b")).alias("recall"))
