@@ -74,3 +74,25 @@ def test_panel_is_balanced(spark):
     assert sorted(map(tuple, panel(raw, 20, 3).collect())) == sorted(map(tuple, rows)) != sorted(map(tuple, panel(raw, 20, 4).collect()))
     with pytest.raises(ValueError):
         panel(raw, 15, 3)
+
+
+def test_search_draws_the_panel_in_the_instance_s_task(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, p, r, int(rng.choice([-1, 1])), rng.integers(1, 6, 2).tolist(), rng.integers(1, 6, 1 + p % 2).tolist()) for i in (7, 12) for p in range(9) for r in range(3)]
+    rows.append((7, 99, 0, 1, [], [2]))
+    raw = spark.createDataFrame(rows, "instance long, pair int, rubric int, sign int, left array<int>, right array<int>")
+    base = spark.createDataFrame([(i, r, 10) for i in (7, 12) for r in range(3)], "instance long, rubric int, tenths int")
+    out = ws.search_weights(raw, base, 10, 3, 2, 2)
+    # Raw scores go through the exchange, not ten draws of each.
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.instance, r.rubric): r.tenths for r in out.collect()}
+    cells = panel(raw, 10, 3).collect()
+    for i in (7, 12):
+        cube = np.zeros((11, 9, 3))
+        for c in cells:
+            if c.instance == i:
+                cube[c.draw + 1, c.pair, c.rubric] = c.value
+        problem = _Problem(cube[1:], cube[0], np.full(3, 10))
+        begins = sorted(starts(problem, np.full(3, 10), 2, 20260814), key=problem.key, reverse=True)[:4]
+        best = max((improve(problem, w, 2) for w in begins), key=problem.score)
+        assert [got[str(i), r] for r in range(3)] == best.tolist()

@@ -37,6 +37,27 @@ def _moves(key: np.ndarray, draws: int) -> np.ndarray:
     return out
 
 
+def _values(cell: np.ndarray, sign: np.ndarray, sides: list[tuple], draws: int, worth: np.ndarray) -> np.ndarray:
+    """Cells x draws, the first the scores as they are; of each side the numbers of scores and all scores."""
+    value = np.zeros((len(cell), draws + 1))
+    for side, (sizes, scores) in enumerate(sides):
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        with np.errstate(over="ignore"):
+            key = cell.view(np.uint64)[row] + (place * 2 + side).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        moved = scores[:, None] + np.concatenate((np.zeros((len(row), 1), np.int64), _moves(key, draws)), axis=1)
+        np.add.at(value, row, (-1 if side else 1) * worth[np.clip(moved, 1, 5) - 1] / sizes[row][:, None])
+    return value * sign.astype(float)[:, None]
+
+
+def _cells(raw: DataFrame, draws: int, seed: int) -> DataFrame:
+    """Raw scores whose sides have some, and the hash that their draws follow from."""
+    if draws < 10 or draws % 10:
+        raise ValueError("draws must be a positive multiple of ten")
+    cell = F.xxhash64(F.lit(seed), "instance", "pair", "rubric").alias("cell")
+    return raw.where("size(left) > 0 and size(right) > 0").select("instance", "pair", "rubric", "sign", cell, *(F.col(c).cast("array<int>").alias(c) for c in ("left", "right")))
+
+
 def panel(raw: DataFrame, draws: int, seed: int, mapping: tuple[int, ...] = (1, 2, 3, 4, 5)) -> DataFrame:
     """(instance, draw, pair, rubric, value) of raw scores (instance, pair, rubric, sign, left, right), draw -1 the scores as they are.
 
@@ -46,25 +67,12 @@ def panel(raw: DataFrame, draws: int, seed: int, mapping: tuple[int, ...] = (1,
     sign times the difference of both sides' mean mapped scores. ``draws`` is a
     multiple of ten. A cell with an empty or null side is left out.
     """
-    if draws < 10 or draws % 10:
-        raise ValueError("draws must be a positive multiple of ten")
-    worth = np.array(mapping, float)
-    cell = F.xxhash64(F.lit(seed), "instance", "pair", "rubric").alias("cell")
-    rows = raw.where("size(left) > 0 and size(right) > 0").select("instance", "pair", "rubric", "sign", cell, *(F.col(c).cast("array<int>").alias(c) for c in ("left", "right")))
+    worth, rows = np.array(mapping, float), _cells(raw, draws, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = np.zeros((batch.num_rows, draws + 1))
-            for side, sign in ((0, 1), (1, -1)):
-                lists = batch.column(5 + side)
-                sizes = np.diff(lists.offsets.to_numpy())
-                row, scores = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy()
-                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                with np.errstate(over="ignore"):
-                    key = batch.column(4).to_numpy().view(np.uint64)[row] + (place * 2 + side).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-                moved = scores[:, None] + np.concatenate((np.zeros((len(row), 1), np.int64), _moves(key, draws)), axis=1)
-                np.add.at(value, row, sign * worth[np.clip(moved, 1, 5) - 1] / sizes[row][:, None])
-            value *= batch.column(3).to_numpy().astype(float)[:, None]
+            sides = [(np.diff(x.offsets.to_numpy()), x.flatten().to_numpy()) for x in batch.columns[5:7]]
+            value = _values(batch.column(4).to_numpy(), batch.column(3).to_numpy(), sides, draws, worth)
             each = pa.array(np.repeat(np.arange(batch.num_rows), draws + 1))
             draw = np.tile(np.arange(-1, draws, dtype=np.int32), batch.num_rows)
             yield pa.RecordBatch.from_arrays(
@@ -185,34 +193,38 @@ def starts(problem: _Problem, base: np.ndarray, count: int, seed: int, active: i
             yield np.array(w)
 
 
-def search_weights(cells: DataFrame, base: DataFrame, sweeps: int = 3, random_starts: int = 10, seed: int = 20260814, active: int = MOST_ACTIVE, tried: int = 4) -> DataFrame:
-    """(instance, rubric, tenths): the best weights found for each instance.
+def search_weights(
+    raw: DataFrame, base: DataFrame, draws: int, draw_seed: int, sweeps: int = 3, random_starts: int = 10, seed: int = 20260814, active: int = MOST_ACTIVE, tried: int = 4,
+    mapping: tuple[int, ...] = (1, 2, 3, 4, 5),
+) -> DataFrame:
+    """(instance, rubric, tenths): the best weights found for each instance over the ``panel`` of its raw scores.
 
-    cells: (instance, draw, pair, rubric, value), signed score differences, draw
-    -1 the nominal ones; base: (instance, rubric, tenths), all rubrics. Starts
+    raw: as ``panel`` takes them; base: (instance, rubric, tenths), all rubrics.
+    The panel is drawn in the instance's task, so raw scores are shuffled
+    rather than its cells, and not even these if they lie by instance. Starts
     follow from the seed; the ``tried`` best ones are improved, and of equal
     results the lighter one wins. A move recomputes the margins of the columns
     it changes. One instance is held in memory.
     """
-    # Casts give both sides columns of their own, also where they come from one table.
-    both = cells.selectExpr("cast(instance as string) AS instance", "draw", "pair", "cast(rubric as string) AS rubric", "cast(value as double) AS value")
-    own = base.selectExpr("cast(instance as string) AS instance", "cast(rubric as string) AS rubric", "cast(tenths as long) AS tenths")
+    worth = np.array(mapping, float)
+    # Expressions give both sides columns of their own, also where they come from one table; the instance keeps its type and so its place.
+    both = _cells(raw, draws, draw_seed).selectExpr("instance", "pair", "cast(rubric as string) AS rubric", "sign", "cell", "left", "right")
+    own = base.selectExpr("instance AS _instance", "cast(instance as string) AS name", "cast(rubric as string) AS rubric", "cast(tenths as long) AS tenths")
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("rubric")
         rubrics = right["rubric"].tolist()
         at = {r: k for k, r in enumerate(rubrics)}
-        draws, pairs = ({v: k for k, v in enumerate(sorted(left[c].unique()))} for c in ("draw", "pair"))
-        cube = np.zeros((max(len(draws), 1), max(len(pairs), 1), len(rubrics)))
+        pairs = {v: k for k, v in enumerate(sorted(left["pair"].unique()))}
+        cube = np.zeros((draws + 1 if len(left) else 1, max(len(pairs), 1), len(rubrics)))
         if len(left):
-            cube[left["draw"].map(draws), left["pair"].map(pairs), left["rubric"].map(at)] = left["value"]
-        nominal = cube[draws[-1]] if -1 in draws else cube[0]
-        drawn = cube[[k for v, k in draws.items() if v != -1] or [0]]
-        first = right["tenths"].to_numpy(dtype=np.int64)
-        problem = _Problem(drawn, nominal, first)
+            sides = [(left[c].map(len).to_numpy(), np.concatenate(left[c].tolist()).astype(np.int64)) for c in ("left", "right")]
+            value = _values(left["cell"].to_numpy(), left["sign"].to_numpy(), sides, draws, worth)
+            cube[:, left["pair"].map(pairs), left["rubric"].map(at)] = value.T
+        problem = _Problem(cube[1:] if len(left) else cube, cube[0], first := right["tenths"].to_numpy(dtype=np.int64))
         begins = sorted(starts(problem, first, random_starts, seed, active), key=problem.key, reverse=True)[:tried]
         best = max((improve(problem, w, sweeps, active) for w in begins), key=problem.score)
-        return pd.DataFrame({"instance": key[0], "rubric": rubrics, "tenths": best.astype("int32")})
+        return pd.DataFrame({"instance": right["name"].iloc[0], "rubric": rubrics, "tenths": best.astype("int32")})
 
-    found = both.groupBy("instance").cogroup(own.groupBy("instance")).applyInPandas(run, "instance string, rubric string, tenths int")
+    found = both.groupBy("instance").cogroup(own.groupBy("_instance")).applyInPandas(run, "instance string, rubric string, tenths int")
     return found.withColumn("rubric", F.col("rubric").cast(base.schema["rubric"].dataType))
