@@ -11,10 +11,11 @@ def score_weights(deltas: DataFrame, nominal: DataFrame, weights: DataFrame, bas
 
     deltas: (draw, pair, rubric, value); nominal: (pair, rubric, value, denominator), where value and the denominator of
     a pair are signed score differences and their scale; weights: (weight_id, rubric, weight); base: (rubric, weight).
-    The worst tenth of the draws (rounded up) makes ``cvar10_correct``. ``rank_weights`` orders the result.
+    The worst tenth of the draws (rounded up) makes ``cvar10_correct``. ``rank_weights`` orders the result. The weights
+    are broadcast; deltas and nominal rows that lie by pair stay where they are.
     """
     w = weights.select("weight_id", "rubric", "weight")
-    margins = deltas.join(w, "rubric").groupBy("weight_id", "draw", "pair").agg(F.sum(F.col("value") * F.col("weight")).alias("m"))
+    margins = deltas.join(F.broadcast(w), "rubric").groupBy("weight_id", "draw", "pair").agg(F.sum(F.col("value") * F.col("weight")).alias("m"))
     draws = margins.groupBy("weight_id", "draw").agg(F.count_if(F.col("m") > 0).alias("correct"))
     worst = Window.partitionBy("weight_id").orderBy("correct", "draw")
     draws = draws.withColumn("_r", F.row_number().over(worst)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("weight_id")))
@@ -25,7 +26,7 @@ def score_weights(deltas: DataFrame, nominal: DataFrame, weights: DataFrame, bas
         F.sum("weight").alias("_total"), F.count_if(F.col("weight") > 0).alias("active"),
         (F.min(F.when(F.col("weight") > 0, F.col("weight"))) / F.max("weight")).alias("min_max_ratio"),
     )
-    by_pair = nominal.join(w, "rubric").groupBy("weight_id", "pair").agg(
+    by_pair = nominal.join(F.broadcast(w), "rubric").groupBy("weight_id", "pair").agg(
         F.sum(F.col("value") * F.col("weight")).alias("m"), F.first("denominator").alias("_d"),
     )
     plain = by_pair.groupBy("weight_id").agg(F.count_if(F.col("m") > 0).alias("nominal_correct"), F.sum(F.col("m") / F.col("_d")).alias("_margin"))

@@ -57,7 +57,8 @@ def keyword_selection(spark, d):
 def score_weights(spark, d):
     li = _t(spark, d, "lineitem")
     parts = {1: F.round(F.col("l_discount") * 100) - 5, 2: F.round(F.col("l_tax") * 100) - 4, 3: F.floor(F.col("l_quantity") / 10) - 2}
-    rows = li.select(
+    # Lines lie by order before they are multiplied: a task then sums a share of them rather than what a file split makes.
+    rows = li.select("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity").repartition("l_orderkey").select(
         F.col("l_linenumber").alias("draw"), F.col("l_orderkey").alias("pair"),
         F.explode(F.array(*(F.struct(F.lit(k).alias("rubric"), v.cast("long").alias("value")) for k, v in parts.items()))).alias("x"),
     ).select("draw", "pair", "x.*")
