@@ -96,3 +96,28 @@ def test_search_draws_the_panel_in_the_instance_s_task(spark):
         begins = sorted(starts(problem, np.full(3, 10), 2, 20260814), key=problem.key, reverse=True)[:4]
         best = max((improve(problem, w, 2) for w in begins), key=problem.score)
         assert [got[str(i), r] for r in range(3)] == best.tolist()
+
+
+def test_weights_of_a_column_are_told_apart_by_their_counts(monkeypatch):
+    """Signs of margins that are rounded, without margins of all weights or keys of any but the best."""
+    monkeypatch.setattr(ws, "BLOCK", 40)
+    keys = []
+    plain = _Problem._key
+    monkeypatch.setattr(_Problem, "_key", lambda self, *args: keys.append(0) or plain(self, *args))
+    rng = np.random.default_rng(3)
+    asked = 0
+    for trial in range(20):
+        drawn = rng.integers(-4, 5, (10, 40, 3)) / rng.choice([1, 2, 3, 7])
+        problem = _Problem(drawn, drawn[0] * (trial % 2), np.full(3, 10))
+        w = rng.choice(_GRID, 3)
+        held = problem.margins(w)
+        for r in range(3):
+            for values in (_GRID, _GRID[1:], _GRID[:1]):
+                if not any(np.delete(w, r)) and 0 in values:
+                    continue
+                want = problem.best_of(w, held, [{r: int(t)} for t in values])
+                keys.clear()
+                got = problem.column(w, held, r, values)
+                asked += len(keys) * (len(values) > 1)
+                assert got[0] == want[0] and tuple(got[1]) == tuple(want[1])
+    assert asked < 20 * 3 * 2 * 12

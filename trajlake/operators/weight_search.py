@@ -15,8 +15,8 @@ from .weights import LEAST_TENTHS, MOST_ACTIVE, MOST_TENTHS
 _GRID = np.array((0, *range(LEAST_TENTHS, MOST_TENTHS + 1)))
 #: Tenths that a swapped-in rubric is tried with, beside those of the one it replaces.
 SWAPPED = [5, 10, 20, 30, 40, 50]
-#: Numbers of the margins of several moves that are held at once.
-BLOCK = 4_000_000
+#: Margins that are looked at at once.
+BLOCK = 1 << 15
 
 
 def _scrambled(x: np.ndarray) -> np.ndarray:
@@ -126,23 +126,51 @@ class _Problem:
         return best
 
     def column(self, w: np.ndarray, held: tuple[np.ndarray, np.ndarray], r: int, values: np.ndarray) -> tuple[tuple, np.ndarray]:
-        """The best vector with another weight of one rubric: margins of all its weights are counted in blocks of pairs."""
+        """The best vector with another weight of one rubric: a margin changes its sign once along the weights, which are ascending."""
         drawn, nominal = held
-        steps = values - w[r]
-        right = np.zeros((len(values), drawn.shape[0]), np.int64)
-        span = max(1, BLOCK // max(1, len(values) * drawn.shape[0]))
+        steps, last = values - w[r], len(values)
+        # How many of the weights are at most a whole number, from -1 on.
+        upto = np.searchsorted(values, np.arange(-1, values[-1] + 1), "right")
+        begin = np.arange(drawn.shape[0])[:, None] * (last + 1)
+        cells = np.zeros(2 * drawn.shape[0] * (last + 1), np.int64)
+        span = max(1, BLOCK // drawn.shape[0])
         for at in range(0, drawn.shape[1], span):
-            part = drawn[None, :, at : at + span] + steps[:, None, None] * self.drawn[r][None, :, at : at + span]
-            right += (part > 0).sum(axis=2)
+            d, x = drawn[:, at : at + span], self.drawn[r][:, at : at + span]
+            falls = x < 0
+            turn = self._turns(d, x, falls, steps, upto[np.clip(np.floor(w[r] - d / np.where(x == 0, 1, x)), -1, values[-1]).astype(np.int64) + 1])
+            cells += np.bincount((begin + turn + falls * (len(cells) // 2)).ravel(), minlength=len(cells))
+        turned = cells.reshape(2, drawn.shape[0], last + 1).cumsum(axis=2)
+        right = (turned[0, :, :last] + turned[1, :, last:] - turned[1, :, :last]).T
+        worst = np.partition(right, self.worst - 1, axis=1)[:, : self.worst].sum(axis=1)
+        first = np.stack((right.sum(axis=1), worst), axis=1)
+        top = max(map(tuple, first.tolist()))
         best = None
-        for k, tenths in enumerate(values):
+        for k in np.flatnonzero((first == top).all(axis=1)):
             v = w.copy()
-            v[r] = tenths
+            v[r] = values[k]
             found = (*self._key(v, right[k], nominal + steps[k] * self.nominal[r]), *(-v))
             if best is None or found > best[0]:
                 best = (found, v)
         return best
 
+    @staticmethod
+    def _turns(d: np.ndarray, x: np.ndarray, falls: np.ndarray, steps: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """The first step at which a margin is positive, or if it falls isn't, from a guess: margins are compared as they are rounded."""
+        last = len(steps)
+        turn = np.where(x == 0, np.where(d > 0, 0, last), turn)
+        turned = lambda k, d, x, falls: (d + steps[k] * x > 0) != falls
+        early = (turn > 0) & turned(np.maximum(turn - 1, 0), d, x, falls)
+        late = (turn < last) & ~turned(np.minimum(turn, last - 1), d, x, falls)
+        for wrong, by, edge in ((early, -1, 0), (late, 1, last)):
+            at = np.nonzero(wrong)
+            while len(at[0]):
+                turn[at] += by
+                now, own = turn[at], (d[at], x[at], falls[at])
+                more = turned(np.maximum(now - 1, 0), *own) if by < 0 else ~turned(np.minimum(now, last - 1), *own)
+                more &= now != edge
+                at = tuple(i[more] for i in at)
+        return turn
+
 
 def improve(problem: _Problem, start: np.ndarray, sweeps: int, active: int = MOST_ACTIVE, swaps: int = 2) -> np.ndarray:
     """Sweeps over the rubrics, each set to its best weight, until one changes nothing; then rounds of the best swap of an active for an idle one."""
@@ -194,21 +222,26 @@ def starts(problem: _Problem, base: np.ndarray, count: int, seed: int, active: i
 
 
 def search_weights(
-    raw: DataFrame, base: DataFrame, draws: int, draw_seed: int, sweeps: int = 3, random_starts: int = 10, seed: int = 20260814, active: int = MOST_ACTIVE, tried: int = 4,
-    mapping: tuple[int, ...] = (1, 2, 3, 4, 5),
-) -> DataFrame:
+    rows: DataFrame, base: DataFrame, *counts: int, seed: int = 20260814, active: int = MOST_ACTIVE, tried: int = 4, mapping: tuple[int, ...] = (1, 2, 3, 4, 5)
+) -> DataFrame:
     """(instance, rubric, tenths): the best weights found for each instance over the ``panel`` of its raw scores.
 
-    raw: as ``panel`` takes them; base: (instance, rubric, tenths), all rubrics.
-    The panel is drawn in the instance's task, so raw scores are shuffled
-    rather than its cells, and not even these if they lie by instance. Starts
+    rows: raw scores as ``panel`` takes them, with the counts draws, draw seed,
+    sweeps (3) and random starts (10); or cells as it returns them, with the
+    last two; base: (instance, rubric, tenths), all rubrics. The panel of raw
+    scores is drawn in the instance's task, so these are shuffled rather than
+    its cells, and not even these if they lie by instance. Starts
     follow from the seed; the ``tried`` best ones are improved, and of equal
     results the lighter one wins. A move recomputes the margins of the columns
     it changes. One instance is held in memory.
     """
-    worth = np.array(mapping, float)
+    worth, ready = np.array(mapping, float), "value" in rows.columns
+    draws, draw_seed = (0, 0) if ready else counts[:2]
+    given = counts if ready else counts[2:]
+    sweeps, random_starts = (*given, *(3, 10)[len(given) :])
     # Expressions give both sides columns of their own, also where they come from one table; the instance keeps its type and so its place.
-    both = _cells(raw, draws, draw_seed).selectExpr("instance", "pair", "cast(rubric as string) AS rubric", "sign", "cell", "left", "right")
+    named = ["instance", "pair", "cast(rubric as string) AS rubric"]
+    both = rows.selectExpr(*named, "draw", "cast(value as double) AS value") if ready else _cells(rows, draws, draw_seed).selectExpr(*named, "sign", "cell", "left", "right")
     own = base.selectExpr("instance AS _instance", "cast(instance as string) AS name", "cast(rubric as string) AS rubric", "cast(tenths as long) AS tenths")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -216,12 +249,17 @@ def search_weights(
         rubrics = right["rubric"].tolist()
         at = {r: k for k, r in enumerate(rubrics)}
         pairs = {v: k for k, v in enumerate(sorted(left["pair"].unique()))}
-        cube = np.zeros((draws + 1 if len(left) else 1, max(len(pairs), 1), len(rubrics)))
-        if len(left):
+        # The nominal draw comes first.
+        order = sorted(left["draw"].unique()) if ready else range(draws + 1 if len(left) else 1)
+        cube = np.zeros((max(len(order), 1), max(len(pairs), 1), len(rubrics)))
+        if len(left) and ready:
+            cube[left["draw"].map({v: k for k, v in enumerate(order)}), left["pair"].map(pairs), left["rubric"].map(at)] = left["value"]
+        elif len(left):
             sides = [(left[c].map(len).to_numpy(), np.concatenate(left[c].tolist()).astype(np.int64)) for c in ("left", "right")]
             value = _values(left["cell"].to_numpy(), left["sign"].to_numpy(), sides, draws, worth)
             cube[:, left["pair"].map(pairs), left["rubric"].map(at)] = value.T
-        problem = _Problem(cube[1:] if len(left) else cube, cube[0], first := right["tenths"].to_numpy(dtype=np.int64))
+        drawn = cube[1:] if len(cube) > 1 and (not ready or order[0] == -1) else cube
+        problem = _Problem(drawn, cube[0], first := right["tenths"].to_numpy(dtype=np.int64))
         begins = sorted(starts(problem, first, random_starts, seed, active), key=problem.key, reverse=True)[:tried]
         best = max((improve(problem, w, sweeps, active) for w in begins), key=problem.score)
         return pd.DataFrame({"instance": right["name"].iloc[0], "rubric": rubrics, "tenths": best.astype("int32")})
