@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -244,25 +244,26 @@ def search_weights(
     both = rows.selectExpr(*named, "draw", "cast(value as double) AS value") if ready else _cells(rows, draws, draw_seed).selectExpr(*named, "sign", "cell", "left", "right")
     own = base.selectExpr("instance AS _instance", "cast(instance as string) AS name", "cast(rubric as string) AS rubric", "cast(tenths as long) AS tenths")
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("rubric")
-        rubrics = right["rubric"].tolist()
-        at = {r: k for k, r in enumerate(rubrics)}
-        pairs = {v: k for k, v in enumerate(sorted(left["pair"].unique()))}
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("rubric")
+        rubrics = right["rubric"].to_pylist()
+        kinds = left["rubric"].combine_chunks().dictionary_encode()
+        at = np.array([rubrics.index(r) for r in kinds.dictionary.to_pylist()], np.int64)[kinds.indices.to_numpy()]
+        pairs, pair = np.unique(left["pair"].to_numpy(), return_inverse=True)
         # The nominal draw comes first.
-        order = sorted(left["draw"].unique()) if ready else range(draws + 1 if len(left) else 1)
+        order, draw = np.unique(left["draw"].to_numpy(), return_inverse=True) if ready else (range(draws + 1 if len(left) else 1), None)
         cube = np.zeros((max(len(order), 1), max(len(pairs), 1), len(rubrics)))
         if len(left) and ready:
-            cube[left["draw"].map({v: k for k, v in enumerate(order)}), left["pair"].map(pairs), left["rubric"].map(at)] = left["value"]
+            cube[draw, pair, at] = left["value"].to_numpy()
         elif len(left):
-            sides = [(left[c].map(len).to_numpy(), np.concatenate(left[c].tolist()).astype(np.int64)) for c in ("left", "right")]
+            sides = [(pc.list_value_length(left[c]).to_numpy(), pc.list_flatten(left[c]).to_numpy().astype(np.int64)) for c in ("left", "right")]
             value = _values(left["cell"].to_numpy(), left["sign"].to_numpy(), sides, draws, worth)
-            cube[:, left["pair"].map(pairs), left["rubric"].map(at)] = value.T
+            cube[:, pair, at] = value.T
         drawn = cube[1:] if len(cube) > 1 and (not ready or order[0] == -1) else cube
-        problem = _Problem(drawn, cube[0], first := right["tenths"].to_numpy(dtype=np.int64))
+        problem = _Problem(drawn, cube[0], first := right["tenths"].to_numpy().astype(np.int64))
         begins = sorted(starts(problem, first, random_starts, seed, active), key=problem.key, reverse=True)[:tried]
         best = max((improve(problem, w, sweeps, active) for w in begins), key=problem.score)
-        return pd.DataFrame({"instance": right["name"].iloc[0], "rubric": rubrics, "tenths": best.astype("int32")})
+        return pa.table({"instance": right["name"], "rubric": right["rubric"], "tenths": best.astype("int32")})
 
-    found = both.groupBy("instance").cogroup(own.groupBy("_instance")).applyInPandas(run, "instance string, rubric string, tenths int")
+    found = both.groupBy("instance").cogroup(own.groupBy("_instance")).applyInArrow(run, "instance string, rubric string, tenths int")
     return found.withColumn("rubric", F.col("rubric").cast(base.schema["rubric"].dataType))
